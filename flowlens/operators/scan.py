@@ -133,7 +133,7 @@ def exact_quantiles(
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_sums(counts, ["_v"], {"_upto": F.col("_c")}, keys, points)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_n", totals.scalar())
     position = {n: F.lit(float(p)) * (F.col("_n") - 1).cast("double") for n, p in probs.items()}
     wanted = F.array(*[f(pos).cast("bigint") for pos in position.values() for f in (F.floor, F.ceil)])
     hits = ranked.filter(F.exists(
@@ -150,3 +150,32 @@ def exact_quantiles(
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
     return ends.select(*keys, F.col("_n").alias("n"), *out)
+
+
+def carry_forward(
+    df: DataFrame,
+    order: Sequence[str],
+    take: Mapping[str, str],
+    present: Column,
+    keys: Sequence[str] = (),
+    points: Sequence | None = None,
+    cell: Column | None = None,
+) -> DataFrame:
+    """As-of lookup: adds the values of the latest row at or before this one where ``present`` holds."""
+    keys = list(keys)
+    df = _with_cell(df, order[0], points, cell)
+    packed = F.when(present, F.struct(*[F.col(s).alias(n) for n, s in take.items()]))
+    local = (Window.partitionBy(*keys, "_cell").orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = df.withColumn("_seen", F.last(packed, ignorenulls=True).over(local))
+    edges = df.filter(present).groupBy(*keys, "_cell").agg(F.max_by(packed, F.struct(*order)).alias("_edge"))
+    # Every cell needs the state it starts with, also the ones that set none themselves.
+    cells = df.groupBy(*keys, "_cell").agg(F.lit(None).alias("_none")).drop("_none")
+    before = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    entering = cells.join(edges, [*keys, "_cell"], "left").select(
+        *keys, "_cell", F.last("_edge", ignorenulls=True).over(before).alias("_edge"))
+    joined = within.join(entering, [*keys, "_cell"])
+    seen = F.coalesce(F.col("_seen"), F.col("_edge"))
+    kept = [c for c in df.columns if c != "_cell"]
+    return joined.select(*kept, *[seen[n].alias(n) for n in take])
