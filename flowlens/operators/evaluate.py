@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.scan import exact_quantiles, running_sums
+from flowlens.operators.scan import exact_quantiles, running_sums, split_points
 
 GOAL_F1 = 0.85
 MIN_VECTORS = 100
@@ -100,7 +100,8 @@ def _by_score(rows: DataFrame, score: str, y: str, keys: Sequence[str]) -> DataF
 def auc(rows: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """ROC AUC with ties at half weight; NULL when one class is missing."""
     keys = list(keys)
-    ranked = running_sums(_by_score(rows, score, y, keys), ["s"], {"neg_upto": F.col("neg")}, keys)
+    ranked = running_sums(_by_score(rows, score, y, keys), ["s"], {"neg_upto": F.col("neg")}, keys,
+                          points=split_points(rows, F.col(score).cast("double")))
     won = F.sum(F.col("pos") * ((F.col("neg_upto") - F.col("neg")) + F.col("neg_upto")).cast("double") / F.lit(2.0))
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     return ranked.groupBy(*keys).agg(
@@ -112,7 +113,8 @@ def threshold_curve(rows: DataFrame, score: str, y: str, keys: Sequence[str] = (
     """tp, fp, fn and F1 of ``score >= threshold`` for every distinct score."""
     keys = list(keys)
     counted = _by_score(rows, score, y, keys)
-    ranked = running_sums(counted, ["s"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, keys)
+    ranked = running_sums(counted, ["s"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, keys,
+                          points=split_points(rows, F.col(score).cast("double")))
     totals = counted.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     if keys:
         ranked = ranked.join(totals, keys)

@@ -203,12 +203,14 @@ def anchored_windows(
             .select(*events.columns, "window_start"))
 
 
-def window_bounds(windowed: DataFrame, keys: Sequence[str], ts: str = "ts_us") -> DataFrame:
+def window_bounds(windowed: DataFrame, keys: Sequence[str], ts: str = "ts_us", cell_us: int = 24 * 3600 * MICROS,
+                  ) -> DataFrame:
     """One row per window; ``window_end`` is the closing event's time, the last event's for the open one."""
     keys = list(keys)
     windows = windowed.groupBy(*keys, "window_start").agg(
         F.count(F.lit(1)).alias("n_events"), F.max(ts).alias("_last"))
-    ended = neighbours(windows, ["window_start"], {"_next": "window_start"}, keys, forward=True)
+    ended = neighbours(windows, ["window_start"], {"_next": "window_start"}, keys, forward=True,
+                       cell=F.col("window_start") - F.pmod("window_start", F.lit(cell_us)))
     return ended.select(
         *keys, "window_start", F.coalesce("_next", "_last").alias("window_end"),
         F.col("_next").isNotNull().alias("closed"), "n_events")

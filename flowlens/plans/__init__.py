@@ -1,0 +1,4 @@
+"""Registered queries over the driver tables."""
+
+from flowlens.plans import detection, metrics, samples  # noqa: F401
+from flowlens.plans.registry import ORACLES, QUERIES  # noqa: F401
