@@ -48,20 +48,20 @@ def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Cut:
-    """When a window closes: ``width`` after its anchor, and optionally after an idle gap."""
+    """When a window closes: its row's ``_width`` after the anchor, and optionally after an idle gap."""
 
-    def __init__(self, width: int, strict: bool, idle: int | None) -> None:
-        self.width = width
+    def __init__(self, strict: bool, idle: int | None) -> None:
         self.strict = strict
         self.idle = idle
 
-    def threshold(self, anchor):
-        return anchor + self.width + (1 if self.strict else 0)
+    def threshold(self, anchor, width):
+        return anchor + width + (1 if self.strict else 0)
 
     def layout(self, frame: pd.DataFrame):
         """Group bounds, times, next-anchor pointers and idle-gap flags of complete groups."""
         key, segment = frame["_key"].to_numpy(), frame["_segment"].to_numpy()
         ts = frame["_ts"].to_numpy(dtype=np.int64)
+        width = frame["_width"].to_numpy(dtype=np.int64)
         size = len(ts)
         opens = np.ones(size, dtype=bool)
         opens[1:] = (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])
@@ -69,9 +69,9 @@ class _Cut:
         ends = np.append(starts[1:], size)
         group = np.cumsum(opens) - 1
         relative = ts - segment.astype(np.int64)
-        stride = int(relative.max()) + self.width + 3
+        stride = int(relative.max() + width.max()) + 3
         flat = group * stride + relative
-        following = np.searchsorted(flat, self.threshold(flat), side="left")
+        following = np.searchsorted(flat, self.threshold(flat, width), side="left")
         gap = np.zeros(size, dtype=bool)
         if self.idle is not None:
             gap[1:] = (ts[1:] - ts[:-1] > self.idle) & ~opens[1:]
@@ -93,17 +93,18 @@ class _Cut:
                     break
                 leave = further
             segment = frame["_segment"].to_numpy(dtype=np.int64)
+            width = frame["_width"].to_numpy(dtype=np.int64)
             rows = []
             for begin, end in zip(starts, ends):
                 gaps = np.flatnonzero(gap[begin:end])
-                reach = np.searchsorted(ts[begin:end], segment[begin] + self.threshold(0), side="left")
+                reach = np.searchsorted(ts[begin:end], self.threshold(segment[begin], width[begin]), side="left")
                 last = min(end - begin - 1, int(reach), int(gaps[0]) if len(gaps) else end)
                 thresholds = ts[begin:begin + last + 1]
                 leaving = ts[leave[begin:begin + last + 1]]
                 keep = np.append(leaving[1:] != leaving[:-1], True)
                 rows.append((thresholds[keep], leaving[keep], ts[end - 1], bool(len(gaps))))
             yield pd.DataFrame({
-                "_key": frame["_key"].to_numpy()[starts], "_segment": segment[starts],
+                "_key": frame["_key"].to_numpy()[starts], "_segment": segment[starts], "_width": width[starts],
                 "thresholds": [r[0] for r in rows], "leaving": [r[1] for r in rows],
                 "first_ts": ts[starts], "last_ts": [r[2] for r in rows], "broken": [r[3] for r in rows],
             })
@@ -116,14 +117,14 @@ class _Cut:
             for row in frame.itertuples(index=False):
                 if row[0] != current:
                     current, anchor, seen = row[0], None, None
-                _, _, thresholds, leaving, first_ts, last_ts, broken = row
+                _, _, width, thresholds, leaving, first_ts, last_ts, broken = row
                 if anchor is not None and self.idle is not None and first_ts - seen > self.idle:
                     anchor = None
                 entries.append(anchor)
                 if anchor is None:
                     anchor = int(leaving[0])
                 else:
-                    at = int(np.searchsorted(thresholds, self.threshold(anchor), side="left"))
+                    at = int(np.searchsorted(thresholds, self.threshold(anchor, width), side="left"))
                     if at < len(thresholds):
                         anchor = int(leaving[at])
                     elif broken:
@@ -143,7 +144,8 @@ class _Cut:
             carried = np.array([int(v) if ok else 0 for v, ok in
                                 zip(frame["_entry"].iloc[starts], known)], dtype=np.int64)
             segment = frame["_segment"].to_numpy(dtype=np.int64)[starts]
-            offset = np.clip(self.threshold(carried) - segment, 0, stride - 1)
+            width = frame["_width"].to_numpy(dtype=np.int64)[starts]
+            offset = np.clip(self.threshold(carried, width) - segment, 0, stride - 1)
             target = np.arange(len(starts)) * stride + np.where(known, offset, 0)
             cursor = np.minimum(np.searchsorted(flat, target, side="left"), ends)
             if self.idle is not None:
@@ -173,7 +175,7 @@ def packed_key(keys: Sequence[str]) -> Column:
 
 def anchored_windows(
     events: DataFrame,
-    width_us: int,
+    width_us: int | str,
     keys: Sequence[str],
     ts: str = "ts_us",
     strict: bool = False,
@@ -183,16 +185,18 @@ def anchored_windows(
     """Adds ``window_start``: the time of the event that opened the row's window.
 
     A window closes at the first event with ``ts - start >= width_us`` (``>`` when ``strict``), or after a
-    gap of more than ``idle_us``; that event opens the next window.
+    gap of more than ``idle_us``; that event opens the next window. A width given as a column name may
+    differ from key to key.
     """
     keys = list(keys)
-    cut = _Cut(width_us, strict, idle_us)
-    segment_us = segment_us or width_us * SEGMENT_WINDOWS
+    cut = _Cut(strict, idle_us)
+    width = F.col(width_us) if isinstance(width_us, str) else F.lit(width_us)
     keyed = events.withColumn("_key", packed_key(keys))
-    times = (keyed.select("_key", F.col(ts).alias("_ts")).distinct()
-             .withColumn("_segment", F.col("_ts") - F.pmod("_ts", F.lit(segment_us))))
+    segment = F.lit(segment_us) if segment_us else F.col("_width") * SEGMENT_WINDOWS
+    times = (keyed.select("_key", F.col(ts).alias("_ts"), width.cast("bigint").alias("_width")).distinct()
+             .withColumn("_segment", F.col("_ts") - F.pmod("_ts", segment)))
     pieces = (times.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_ts")
-              .mapInPandas(cut.summarise, "_key string, _segment bigint, thresholds array<bigint>, "
+              .mapInPandas(cut.summarise, "_key string, _segment bigint, _width bigint, thresholds array<bigint>, "
                            "leaving array<bigint>, first_ts bigint, last_ts bigint, broken boolean"))
     entries = (pieces.repartition("_key").sortWithinPartitions("_key", "_segment")
                .mapInPandas(cut.chain, "_key string, _segment bigint, _entry bigint"))
@@ -226,15 +230,10 @@ def window_id(keys: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("window_start").cast("string")), 256)
 
 
-def cadence_windows(events: DataFrame, widths_us: Sequence[int], keys: Sequence[str],
-                    columns: Sequence[str], ts: str = "ts_us") -> DataFrame:
-    """The same stream windowed at several widths; adds ``cadence_us`` and ``window_start``."""
-    out = None
-    for width in widths_us:
-        one = anchored_windows(events.select(*columns), width, keys, ts)
-        one = one.withColumn("cadence_us", F.lit(int(width)).cast("bigint"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def cadence_windows(events: DataFrame, widths_us: Sequence[int], keys: Sequence[str], ts: str = "ts_us") -> DataFrame:
+    """The same stream windowed at several widths in one pass; adds ``cadence_us`` and ``window_start``."""
+    widths = F.array(*[F.lit(int(w)).cast("bigint") for w in widths_us])
+    return anchored_windows(events.withColumn("cadence_us", F.explode(widths)), "cadence_us", [*keys, "cadence_us"], ts)
 
 
 # --- attack intervals ---------------------------------------------------------------------------

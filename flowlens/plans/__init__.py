@@ -1,4 +1,5 @@
 """Registered queries over the driver tables."""
 
-from flowlens.plans import detection, metrics, samples  # noqa: F401
+from flowlens.plans import decisions, detection, metrics, samples  # noqa: F401
+from flowlens.plans.flagship import flagship  # noqa: F401
 from flowlens.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.operators import attention, flows, graph, windows
+from flowlens.operators.evaluate import long_form
 from flowlens.operators.scan import exact_quantiles
 from flowlens.operators.trailing import FEATURES, trailing_features
 from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, flow, query, rounded, table
+from flowlens.session import cut_lineage
 
 
 @query("trailing_features", f"""
@@ -206,13 +208,17 @@ select cadence_us, is_attack, count(*) as n, round(quantile_cont(cast(n_edges as
 @query("cadence_sweep", CADENCE_SQL)
 def cadence_sweep(spark, sf):
     keys = ["cadence_us", "stream", "window_start"]
-    cut = windows.cadence_windows(flow(spark, sf), CADENCES, ["stream"], ["stream", "ts_us", "src", "dst", "bytes"])
+    cut = windows.cadence_windows(flow(spark, sf).select("stream", "ts_us", "src", "dst", "bytes"), CADENCES, ["stream"])
     edges = cut.groupBy(*keys, "src", "dst").agg(F.sum("bytes").alias("bytes"))
     vectors = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.avg("bytes").alias("mean_bytes"))
-    labelled = windows.label_windows(vectors, attack_spans(spark, sf), ["stream"], DAY)
+    # One small row per window, read several times below.
+    labelled = cut_lineage(windows.label_windows(vectors, attack_spans(spark, sf), ["stream"], DAY))
     by = ["cadence_us", "is_attack"]
-    out = exact_quantiles(labelled, "n_edges", {"median_edges": 0.5}, by).join(
-        exact_quantiles(labelled, "mean_bytes", {"median_bytes": 0.5}, by).drop("n"), by)
+    values = long_form(labelled, ["n_edges", "mean_bytes"], by)
+    medians = exact_quantiles(values, "value", {"median": 0.5}, [*by, "feature"])
+    pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("median")))
+    out = medians.groupBy(*by).agg(F.max("n").alias("n"), pick("n_edges").alias("median_edges"),
+                                   pick("mean_bytes").alias("median_bytes"))
     return rounded(out, "median_edges", "median_bytes")
 
 

@@ -157,7 +157,7 @@ TEMPERATURES = [0.25 * i for i in range(1, 17)]
 
 
 @query("temperature_grid", f"""with {SCORED}, z as (select y, score * 8 - 2 as logit from s),
-t as (select unnest({TEMPERATURES}) as temperature),
+t as (select cast(unnest({TEMPERATURES}) as double) as temperature),
 p as (select t.temperature, y, 1 / (1 + exp(-logit / t.temperature)) as p from z, t)
 select temperature, round(avg(-ln(least(1.0, greatest(1e-12, case when y = 1 then p else 1 - p end)))), 6) as nll from p group by temperature""")
 def temperature_grid(spark, sf):
@@ -206,7 +206,7 @@ def halves(spark, sf):
 
 PSI = f"""{HALVES}, q as (select feature, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as edges
  from l where base group by feature),
-b as (select l.feature, len(list_filter(q.edges, e -> e <= l.v)) as bin, count(*) filter (base) as b, count(*) filter (not base) as n
+b as (select l.feature, len([e for e in q.edges if e <= l.v]) as bin, count(*) filter (base) as b, count(*) filter (not base) as n
  from l join q on q.feature = l.feature group by all),
 t as (select feature, count(*) filter (base) as nb, count(*) filter (not base) as nl from l group by feature),
 psi as (select b.feature, coalesce(sum(case when nl > 0 then (greatest(n / nl, 1e-6) - greatest(b / nb, 1e-6))
