@@ -140,3 +140,9 @@ def sessions_to_events(sessions: DataFrame) -> DataFrame:
         F.lit("honeypot").alias("sensor"), F.lit(None).cast("struct<process:string,syscall:string>").alias("host_event"),
         F.struct("decoy_service", "credentials_tried", "commands_typed", length.alias("session_duration_ms"))
         .alias("honeypot_detail"))
+
+
+def with_endpoints(rows: DataFrame) -> DataFrame:
+    """Drops rows that cannot be placed between two hosts."""
+    present = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return rows.filter(present(F.col("source_ip")) & present(F.col("dest_ip")))

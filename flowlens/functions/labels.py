@@ -145,3 +145,8 @@ def agreed_token_class(text: Column, table: Mapping[str, str]) -> Column:
 def path_class(sources: Sequence[Column], table: Mapping[str, str]) -> Column:
     """First source (directory, then file, then row label) whose tokens agree on a class."""
     return F.coalesce(*[agreed_token_class(s, table) for s in sources])
+
+
+def class_frame(rows, label: str, mapping: Mapping[str, str]):
+    """Keeps the mapped labels only, renamed to the frame's classes (for a lane that knows fewer)."""
+    return rows.withColumn(label, lookup(F.col(label), mapping)).filter(F.col(label).isNotNull())

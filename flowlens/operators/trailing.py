@@ -63,22 +63,24 @@ def trailing_features(
     sign = F.col("sign")
     weight = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     has_port = F.col("port").isNotNull()
-    stepped = (
-        changes
-        .withColumn("on_dest", F.sum(sign).over(by_dest))
-        .withColumn("on_port", F.sum(sign).over(by_port))
-        .withColumn("d_dests", F.when((sign > 0) & (F.col("on_dest") == 1), 1)
-                    .when((sign < 0) & (F.col("on_dest") == 0), -1).otherwise(0))
-        .withColumn("d_weight", F.when(
-            has_port, weight(F.col("on_port")) - weight(F.col("on_port") - sign)).otherwise(F.lit(0.0)))
-        .withColumn("n", F.sum(sign).over(by_source))
-        .withColumn("window_bytes", F.sum(sign * F.col("bytes")).over(by_source))
-        .withColumn("window_duration", F.sum(sign * F.col("duration_ms")).over(by_source))
-        .withColumn("dests", F.sum("d_dests").over(by_source))
-        .withColumn("ports", F.sum(F.when(has_port, sign).otherwise(0)).over(by_source))
-        .withColumn("weight", F.sum("d_weight").over(by_source))
-        .filter((F.col("kind") == 0) & F.col("own"))
-    )
+    counted = changes.select(
+        "*", F.sum(sign).over(by_dest).alias("on_dest"), F.sum(sign).over(by_port).alias("on_port"))
+    steps = counted.select(
+        "*",
+        F.when((sign > 0) & (F.col("on_dest") == 1), 1)
+        .when((sign < 0) & (F.col("on_dest") == 0), -1).otherwise(0).alias("d_dests"),
+        F.when(has_port, weight(F.col("on_port")) - weight(F.col("on_port") - sign)).otherwise(F.lit(0.0))
+        .alias("d_weight"))
+    total = lambda e, name: F.sum(e).over(by_source).alias(name)
+    stepped = steps.select(
+        *keys, "seq", "ts_us", "kind", "own", "on_dest",
+        total(sign, "n"),
+        total(sign * F.col("bytes"), "window_bytes"),
+        total(sign * F.col("duration_ms"), "window_duration"),
+        total(F.col("d_dests"), "dests"),
+        total(F.when(has_port, sign).otherwise(0), "ports"),
+        total(F.col("d_weight"), "weight"),
+    ).filter((F.col("kind") == 0) & F.col("own"))
     n = F.col("n").cast("double")
     ports = F.col("ports").cast("double")
     span = F.lit(window_us / MICROS)
