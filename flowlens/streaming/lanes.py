@@ -67,14 +67,14 @@ def stream_flows(packets: DataFrame, idle_us: int = int(FLOW_IDLE_SECONDS * MICR
 
 
 def stream_gate(verdicts: DataFrame, cap: int = BREAKER_CAP, window_us: int = BREAKER_WINDOW_SECONDS * MICROS,
-                ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+                ttl_us: int = 24 * 3600 * MICROS, delay: str = "10 seconds") -> DataFrame:
     """Per verdict: is its window resolved, is the shard's cap reached. Input carries ``on_allowlist``."""
     use_state_store(verdicts.sparkSession)
     ready = verdicts.withColumn("breaker_tripped", F.lit(False)).withColumn("acts", decide._acts())
-    return (ready.select(F.col("shard").cast("string").alias("shard"), "seq", "ts_us", "window_id", "acts", "on_allowlist")
-            .groupBy("shard").transformWithStateInPandas(
-                statefulProcessor=state.DecisionGate(cap, window_us, ttl_ms), outputStructType=state.FLAG_ROWS,
-                outputMode="Append", timeMode="ProcessingTime"))
+    narrow = ready.select(F.col("shard").cast("string").alias("shard"), "seq", "ts_us", "window_id", "acts", "on_allowlist")
+    return clocked(narrow, delay).groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=state.DecisionGate(cap, window_us, ttl_us), outputStructType=state.FLAG_ROWS,
+        outputMode="Append", timeMode="EventTime")
 
 
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):

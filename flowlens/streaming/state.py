@@ -159,27 +159,29 @@ class AnchoredWindows(StatefulProcessor):
 class DecisionGate(StatefulProcessor):
     """First action per window and action cap per shard; the policy table itself stays an expression.
 
-    State: resolved window ids (with a time to live) and the times of at most ``cap`` blocks.
+    State: resolved window ids, forgotten ``ttl_us`` after they acted, and the times of at most ``cap`` blocks.
     """
 
-    def __init__(self, cap: int, window_us: int, ttl_ms: int) -> None:
+    def __init__(self, cap: int, window_us: int, ttl_us: int) -> None:
         self.cap = cap
         self.window_us = window_us
-        self.ttl_ms = ttl_ms
+        self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.resolved = handle.getMapState("resolved", "window_id string", "seq bigint", self.ttl_ms)
+        self.handle = handle
+        self.resolved = handle.getMapState("resolved", "window_id string", "ts_us bigint")
         self.taken = handle.getListState("taken", "ts_us bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         taken = deque(r[0] for r in self.taken.get())
-        out = []
+        out, newest = [], None
         frame = ordered(rows, "seq")
         for seq, ts, window, acts, exempt in zip(*[frame[c] for c in ("seq", "ts_us", "window_id", "acts", "on_allowlist")]):
             done = bool(self.resolved.containsKey((window,))) if window is not None else False
             tripped = False
             if acts and not done:
-                self.resolved.updateValue((window,), (int(seq),))
+                self.resolved.updateValue((window,), (int(ts),))
+                newest = int(ts)
                 if not exempt:
                     while taken and ts - taken[0] > self.window_us:
                         taken.popleft()
@@ -188,8 +190,22 @@ class DecisionGate(StatefulProcessor):
                         taken.append(int(ts))
             out.append((key[0], int(seq), done, tripped))
         self.taken.put([(t,) for t in taken])
+        if newest is not None and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(millis(newest + self.ttl_us))
         yield pd.DataFrame(out, columns=["shard", "seq", "already_resolved", "breaker_tripped"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Forgets windows that are too old to come back."""
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.ttl_us
+        kept = [(w[0], t[0]) for w, t in self.resolved.iterator()]
+        for window, ts in kept:
+            if ts <= limit:
+                self.resolved.removeKey((window,))
+        newer = [ts for _, ts in kept if ts > limit]
+        if newer:
+            self.handle.registerTimer(millis(min(newer) + self.ttl_us))
+        yield from ()
+
     def close(self) -> None:
         pass
 

@@ -13,6 +13,15 @@ EVENT = "seq bigint, ts_us bigint, stream string, src string, dst string, port i
 S = 1_000_000
 
 
+@pytest.fixture(autouse=True)
+def narrow(spark):
+    """Two state partitions: every one costs a Python worker per micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture()
 def feed(spark, tmp_path):
     """Writes rows in batches (each shuffled inside) and returns them as a stream."""
@@ -89,7 +98,7 @@ def test_flows_equal_the_batch_operator(spark, feed, tmp_path):
 def test_gate_log_tail_and_explanations(spark, feed, tmp_path):
     rng, rows = random.Random(4), []
     for seq in range(120):
-        rows.append((seq, seq * 9 * S, rng.choice("st"), f"v{seq}", f"w{rng.randrange(50)}", "bouncer",
+        rows.append((seq, (10_000 + seq * 9) * S, rng.choice("st"), f"v{seq}", f"w{rng.randrange(50)}", "bouncer",
                      rng.choice(["flood", "benign", "uncertain"]), rng.choice([0.4, 0.9, 0.95]), rng.choice(["h1", "h2"])))
     schema = ("seq bigint, ts_us bigint, shard string, verdict_id string, window_id string, tier string, label string, "
               "confidence double, target string")
