@@ -98,6 +98,5 @@ def ingest_summary(rows: DataFrame) -> DataFrame:
 
 def require_real(rows: DataFrame, origin: str = "origin") -> DataFrame:
     """Training input guard: a row of any other origin fails the job."""
-    guard = F.when(F.col(origin) == "real", F.col(origin)).otherwise(
-        F.raise_error(F.concat(F.lit("training input must be real, found "), F.coalesce(F.col(origin), F.lit("null")))))
-    return rows.withColumn(origin, guard)
+    stop = F.raise_error(F.concat(F.lit("training input must be real, found "), F.coalesce(F.col(origin), F.lit("null"))))
+    return rows.filter(F.when(F.col(origin) == "real", F.lit(True)).otherwise(stop.cast("boolean")))

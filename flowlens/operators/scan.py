@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_CELLS = 512
 
@@ -23,10 +24,17 @@ def cell_count(df: DataFrame) -> int:
 
 
 def split_points(df: DataFrame, value: str | Column, cells: int | None = None) -> list:
-    """Ascending cut values of about equal weight; at most ``cells - 1`` values reach the driver."""
+    """Ascending cut values of about equal weight, from a sketch (numbers) or a small random sample (text).
+
+    The driver sees the cuts, or at most forty sampled texts per cell.
+    """
     cells = cells or cell_count(df)
     probs = [i / cells for i in range(1, cells)]
     column = F.col(value) if isinstance(value, str) else value
+    narrow = df.select(column.alias("v"))
+    if isinstance(narrow.schema[0].dataType, T.StringType):
+        sample = sorted(r["v"] for r in narrow.filter("v is not null").orderBy(F.rand(7)).limit(40 * cells).collect())
+        return sorted({sample[int(p * len(sample))] for p in probs}) if sample else []
     row = df.agg(F.percentile_approx(column, probs, 20 * cells).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 

@@ -313,7 +313,7 @@ def segment_softmax(spark, sf):
 
 
 @query("evidence_topk", HOURLY + "," + SOFTMAX + """,
-k as (select *, row_number() over (partition by window_start order by attention desc, cast(src as varchar), dst) as rn from att)
+k as (select *, row_number() over (partition by window_start order by round(attention, 9) desc, cast(src as varchar), dst) as rn from att)
 select window_start, string_agg(src || '->' || dst, ',' order by rn) as top_edges,
   array_to_string(list_sort(list_distinct(flatten(list([cast(src as varchar), dst])))), ',') as nodes
 from k where rn <= 3 group by window_start""")
