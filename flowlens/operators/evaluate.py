@@ -97,55 +97,71 @@ def _by_score(rows: DataFrame, score: str, y: str, keys: Sequence[str]) -> DataF
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
-def auc(rows: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC with ties at half weight; NULL when one class is missing."""
-    keys = list(keys)
-    ranked = running_sums(_by_score(rows, score, y, keys), ["s"], {"neg_upto": F.col("neg")}, keys,
-                          points=split_points(rows, F.col(score).cast("double")))
-    won = F.sum(F.col("pos") * ((F.col("neg_upto") - F.col("neg")) + F.col("neg_upto")).cast("double") / F.lit(2.0))
-    p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    return ranked.groupBy(*keys).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
-        F.when((p > 0) & (n > 0), won / (p * n)).alias("auc"))
-
-
-def threshold_curve(rows: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn and F1 of ``score >= threshold`` for every distinct score."""
+def _ranked(rows: DataFrame, score: str, y: str, keys: Sequence[str], points: Sequence | None) -> DataFrame:
+    """Distinct scores with their class counts, running counts from below and the totals."""
     keys = list(keys)
     counted = _by_score(rows, score, y, keys)
-    ranked = running_sums(counted, ["s"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, keys,
-                          points=split_points(rows, F.col(score).cast("double")))
-    totals = counted.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    if points is None:
+        points = split_points(rows, F.col(score).cast("double"))
+    ranked = running_sums(counted, ["s"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, keys, points)
+    totals = counted.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if keys:
         ranked = ranked.join(totals, keys)
     else:
-        ranked = (ranked.withColumn("_p", totals.select("_p").scalar())
-                  .withColumn("_n", totals.select("_n").scalar()))
-    tp = F.col("_p") - F.col("pos_upto") + F.col("pos")
-    fp = F.col("_n") - F.col("neg_upto") + F.col("neg")
-    fn = F.col("_p") - tp
-    return ranked.select(*keys, F.col("s").alias("threshold"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
-                         ratio(tp * 2, tp * 2 + fp + fn).alias("f1"))
+        ranked = (ranked.withColumn("all_pos", totals.select("all_pos").scalar())
+                  .withColumn("all_neg", totals.select("all_neg").scalar()))
+    tp = F.col("all_pos") - F.col("pos_upto") + F.col("pos")
+    fp = F.col("all_neg") - F.col("neg_upto") + F.col("neg")
+    return ranked.withColumn("tp", tp).withColumn("fp", fp).withColumn("fn", F.col("all_pos") - F.col("tp")).withColumn(
+        "f1", ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn")))
+
+
+def _area() -> Column:
+    """Aggregate over ranked scores: AUC with ties at half weight, NULL when one class is missing."""
+    won = F.sum(F.col("pos") * (F.col("neg_upto") * 2 - F.col("neg")).cast("double") / F.lit(2.0))
+    p, n = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
+    return F.when((p > 0) & (n > 0), won / (p * n))
+
+
+def _best() -> Column:
+    """Aggregate: highest F1; the lowest threshold wins a tie."""
+    return F.max(F.struct(F.col("f1"), (-F.col("s")).alias("down")))
+
+
+def auc(rows: DataFrame, score: str, y: str, keys: Sequence[str] = (), points: Sequence | None = None) -> DataFrame:
+    """ROC AUC with ties at half weight; NULL when one class is missing."""
+    return _ranked(rows, score, y, keys, points).groupBy(*keys).agg(
+        F.max("all_pos").alias("positives"), F.max("all_neg").alias("negatives"), _area().alias("auc"))
+
+
+def threshold_curve(rows: DataFrame, score: str, y: str, keys: Sequence[str] = (), points: Sequence | None = None) -> DataFrame:
+    """tp, fp, fn and F1 of ``score >= threshold`` for every distinct score."""
+    return _ranked(rows, score, y, keys, points).select(
+        *keys, F.col("s").alias("threshold"), "tp", "fp", "fn", "f1")
 
 
-def best_threshold(rows: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+def best_threshold(rows: DataFrame, score: str, y: str, keys: Sequence[str] = (), points: Sequence | None = None) -> DataFrame:
     """Highest F1 over all thresholds; the lowest threshold wins a tie, none is given when F1 is 0."""
-    curve = threshold_curve(rows, score, y, keys)
-    best = curve.groupBy(*keys).agg(F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("down"))).alias("b"))
-    return best.select(*keys, F.col("b.f1").alias("best_f1"),
-                       F.when(F.col("b.f1") > 0, -F.col("b.down")).alias("best_threshold"))
-
-
-def threshold_report(rows: DataFrame, score: str, y: str, threshold: float) -> DataFrame:
-    """Metrics at a fixed threshold next to AUC and the best reachable F1."""
-    named = rows.select(
-        score, y, F.when(F.col(y) == 1, "attack").otherwise("benign").alias("_t"),
-        F.when(F.col(score) >= threshold, "attack").otherwise("benign").alias("_p"))
-    base = report(named, "_t", "_p", ["benign", "attack"], "attack")
-    curve = best_threshold(rows, score, y)
-    return (base.withColumn("auc", auc(rows, score, y).select("auc").scalar())
-            .withColumn("best_f1", curve.select("best_f1").scalar())
-            .withColumn("best_threshold", curve.select("best_threshold").scalar()))
+    best = _ranked(rows, score, y, keys, points).groupBy(*keys).agg(_best().alias("b"))
+    return best.select(*keys, F.col("b.f1").alias("best_f1"), F.when(F.col("b.f1") > 0, -F.col("b.down")).alias("best_threshold"))
+
+
+def threshold_report(rows: DataFrame, score: str, y: str, threshold: float, keys: Sequence[str] = (),
+                     points: Sequence | None = None) -> DataFrame:
+    """Metrics at a fixed threshold next to AUC and the best reachable F1, all from one table of distinct scores."""
+    at = F.col("s") >= threshold
+    count = lambda c, hit: F.coalesce(F.sum(F.when(hit, F.col(c))), F.lit(0))
+    t = _ranked(rows, score, y, keys, points).groupBy(*keys).agg(
+        count("pos", at).alias("tp"), count("neg", at).alias("fp"), count("pos", ~at).alias("fn"), count("neg", ~at).alias("tn"),
+        _area().alias("auc"), _best().alias("b"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    precision, recall, f1 = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(tp * 2, tp * 2 + fp + fn)
+    other = (ratio(tn, tn + fn), ratio(tn, tn + fp), ratio(tn * 2, tn * 2 + fp + fn))
+    return t.select(
+        *keys, ((precision + other[0]) / 2).alias("precision_macro"), ((recall + other[1]) / 2).alias("recall_macro"),
+        ((f1 + other[2]) / 2).alias("f1_macro"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+        ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), "auc", F.col("b.f1").alias("best_f1"),
+        F.when(F.col("b.f1") > 0, -F.col("b.down")).alias("best_threshold"))
 
 
 def prediction_breakdown(rows: DataFrame, truth: str, predicted: str, positive: str) -> DataFrame:

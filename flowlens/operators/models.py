@@ -19,6 +19,8 @@ from flowlens.operators.trailing import FEATURES, trailing_features
 from flowlens.operators.windows import in_intervals
 
 DEPTH, STEP, ROUNDS = 5, 0.1, 100
+# Cut values for probabilities; a fixed grid saves scoring the rows once more to find them.
+GRID = tuple(i / 64 for i in range(1, 64))
 
 
 def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -94,7 +96,7 @@ def train_and_report(features: DataFrame, identity: str, label: str = "y", split
     sided = sampling.class_split(features, split_keys, identity, seed)
     model = fit_fast(sided.filter("side = 'train'"), identity, label, rounds=rounds, seed=seed)
     scored = model.score(sided.filter("side = 'test'"))
-    return model, evaluate.threshold_report(scored, "p_flood", label, 0.5)
+    return model, evaluate.threshold_report(scored, "p_flood", label, 0.5, points=GRID)
 
 
 def cross_day(features: DataFrame, identity: str, day: str = "day", label: str = "y", rounds: int = ROUNDS) -> DataFrame:
@@ -102,7 +104,8 @@ def cross_day(features: DataFrame, identity: str, day: str = "day", label: str =
     out = None
     for (fold,) in features.select(day).distinct().orderBy(day).collect():
         model = fit_fast(features.filter(F.col(day) != fold), identity, label, rounds=rounds)
-        row = evaluate.threshold_report(model.score(features.filter(F.col(day) == fold)), "p_flood", label, 0.5).withColumn(
+        row = evaluate.threshold_report(model.score(features.filter(F.col(day) == fold)), "p_flood", label, 0.5,
+                                        points=GRID).withColumn(
             "test_day", F.lit(fold))
         out = row if out is None else out.unionByName(row)
     return out
@@ -122,7 +125,7 @@ def separability_probe(vectors: DataFrame, identity: str, label: str = "y", feat
         part = model.transform(assemble(weighted.filter(F.col("_fold") == fold), features)).select(
             identity, label, vector_to_array("probability")[1].alias("p"))
         scored = part if scored is None else scored.unionByName(part)
-    report = evaluate.threshold_report(scored, "p", label, 0.5)
+    report = evaluate.threshold_report(scored, "p", label, 0.5, points=GRID)
     medians = exact_quantiles(vectors, "n_edges", {"median": 0.5}, [label])
     pick = lambda v: medians.filter(F.col(label) == v).select("median").scalar()
     return (report.withColumn("windows", vectors.agg(F.count(F.lit(1))).scalar())
@@ -135,7 +138,7 @@ def lane_substitution(events: DataFrame, verdicts: DataFrame, keys: Sequence[str
     lifted = evaluate.window_scores(events, keys, score).join(verdicts.select(*keys, deep, y), list(keys))
     out = None
     for grain, column in (("event_max", "score_max"), ("event_mean", "score_mean"), ("window", deep)):
-        row = evaluate.threshold_report(lifted, column, y, threshold).withColumn("grain", F.lit(grain))
+        row = evaluate.threshold_report(lifted, column, y, threshold, points=GRID).withColumn("grain", F.lit(grain))
         out = row if out is None else out.unionByName(row)
     return out
 
