@@ -130,10 +130,10 @@ def decision_rows(decided: DataFrame) -> DataFrame:
         "verdict_id", "seq", "ts_us", "r.step", "r.entry_type", "r.payload")
 
 
-def latest_entries(log: DataFrame, entry_type: str, count: int) -> DataFrame:
+def latest_entries(log: DataFrame, entry_type: str, count: int, order: str = "seq") -> DataFrame:
     """The newest ``count`` entries of a type, oldest first."""
-    newest = log.filter(F.col("entry_type") == entry_type).orderBy(F.desc("seq")).limit(count)
-    return newest.orderBy("seq")
+    newest = log.filter(F.col("entry_type") == entry_type).orderBy(F.desc(order)).limit(count)
+    return newest.orderBy(order)
 
 
 def entry_counts(log: DataFrame) -> DataFrame:

@@ -89,14 +89,3 @@ def edge_endpoints(edge_rows: DataFrame, node_rows: DataFrame, window: Sequence[
     return (edge_rows.join(side("src", "src"), [*window, "src"]).join(side("dst", "dst"), [*window, "dst"])
             .withColumn("log_bytes", F.log1p("bytes")))
 
-
-def snapshots(edge_rows: DataFrame, node_rows: DataFrame, window: Sequence[str]) -> DataFrame:
-    """Nested form for export: one row per window with sorted node and edge arrays.
-
-    Only for sinks that need the nested shape; every operator here works on the long tables.
-    """
-    e = edge_rows.groupBy(*window).agg(F.array_sort(F.collect_list(F.struct(
-        "src", "dst", "bytes", "flow_count", "port_entropy", "duration_mean_ms"))).alias("edges"))
-    n = node_rows.groupBy(*window).agg(F.array_sort(F.collect_list(F.struct(
-        "node", "degree_in", "degree_out", "bytes_total", "unique_ports_contacted"))).alias("nodes"))
-    return n.join(e, list(window), "left")

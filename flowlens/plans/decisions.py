@@ -37,11 +37,12 @@ def allowlist(spark, sf):
     return f.filter(F.col("src") < 5).select(F.concat(F.lit("10.0.0."), F.pmod("src", F.lit(50)).cast("string")).alias("ip")).distinct()
 
 
-FLAGS = f"""{VERDICTS}, al as (select distinct target as ip from v where src < 5),
+FLAG_STEPS = """al as (select distinct target as ip from v where src < 5),
 f as (select v.*, target in (select ip from al) as on_allowlist,
  tier <> 'spy' and confidence between 0 and 1 as valid from v),
 a as (select *, valid and label not in ('benign', 'uncertain') and confidence >= 0.85 as acts from f),
 r as (select *, coalesce(bool_or(acts) over (partition by window_id order by seq rows between unbounded preceding and 1 preceding), false) as resolved from a)"""
+FLAGS = f"{VERDICTS}, {FLAG_STEPS}"
 
 ACTION = """case when not valid then null when resolved then 'dry_run' when label in ('benign', 'uncertain') or confidence < 0.85 then 'dry_run'
  when on_allowlist then 'allowlist_exempt' when {trip} then 'throttled' else 'block' end"""
@@ -96,17 +97,17 @@ def review_queue(spark, sf):
 
 # Cap 3 per 12 hours and shard. The state is the list of the times taken so far.
 CAP, SPAN = 3, 12 * HOUR
-CAPPED = f"""with recursive {FLAGS},
-c as (select shard, seq, ts_us, row_number() over (partition by shard order by ts_us, seq) as rn from r
+WALK = """c as (select shard, seq, ts_us, row_number() over (partition by shard order by ts_us, seq) as rn from r
       where acts and not resolved and not on_allowlist),
 walk(shard, rn, seq, taken, trip) as (
   select shard, rn, seq, [ts_us], false from c where rn = 1
   union all
   select c.shard, c.rn, c.seq,
-    case when len([t for t in w.taken if c.ts_us - t <= {SPAN}]) >= {CAP} then [t for t in w.taken if c.ts_us - t <= {SPAN}]
-         else list_append([t for t in w.taken if c.ts_us - t <= {SPAN}], c.ts_us) end,
-    len([t for t in w.taken if c.ts_us - t <= {SPAN}]) >= {CAP}
+    case when len([t for t in w.taken if c.ts_us - t <= {span}]) >= {cap} then [t for t in w.taken if c.ts_us - t <= {span}]
+         else list_append([t for t in w.taken if c.ts_us - t <= {span}], c.ts_us) end,
+    len([t for t in w.taken if c.ts_us - t <= {span}]) >= {cap}
   from walk w join c on c.shard = w.shard and c.rn = w.rn + 1)"""
+CAPPED = f"with recursive {FLAGS}, {WALK.format(cap=CAP, span=SPAN)}"
 
 
 @query("action_cap", CAPPED + " select shard, seq, trip as breaker_tripped from walk")
@@ -116,8 +117,9 @@ def action_cap(spark, sf):
     return decide.action_cap(wants, ["shard"], CAP, SPAN).select("shard", "seq", "breaker_tripped")
 
 
-FULL = CAPPED + f""", t as (select r.*, coalesce(w.trip, false) as trip from r left join walk w on w.seq = r.seq),
+OUTCOME = f""", t as (select r.*, coalesce(w.trip, false) as trip from r left join walk w on w.seq = r.seq),
 d as (select *, {ACTION.format(trip='trip')} as action, {REASON.format(trip='trip')} as reason from t)"""
+FULL = CAPPED + OUTCOME
 
 
 def full(spark, sf):
@@ -248,11 +250,11 @@ def audit_chain_verify(spark, sf):
     return audit.verify_chains(log.withColumn("payload", F.when(hit, "altered").otherwise(F.col("payload"))))
 
 
-@query("audit_latest", LOG + """, l as (select * from w where chain = '7' and entry_type = 'detection' order by seq desc limit 2)
+@query("audit_latest", LOG + """, l as (select * from w where entry_type = 'detection' order by cast(chain as bigint) * 1000 + seq desc limit 20)
  select chain, seq, entry_hash from l""")
 def audit_latest(spark, sf):
-    log = audit.append_chain(entries(spark, sf)).filter("chain = '7'")
-    return audit.latest_entries(log, "detection", 2).select("chain", "seq", "entry_hash")
+    log = audit.append_chain(entries(spark, sf))
+    return audit.latest_entries(log, "detection", 20, "ts_us").select("chain", "seq", "entry_hash")
 
 
 @query("audit_type_counts", LOG + """ select k.entry_type, count(w.chain) as n from

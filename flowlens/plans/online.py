@@ -7,10 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import graph, models
+from flowlens.operators import graph, models, windows
 from flowlens.operators.trailing import FEATURES
-from flowlens.plans.detection import ANCHORED, attack_spans, hourly
-from flowlens.plans.registry import DAY, FLOW, HOUR, ORACLES, flow, query, table
+from flowlens.plans.detection import ANCHORED, hourly
+from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, ORACLES, flow, query, table
 from flowlens.session import cut_lineage
 from flowlens.sources.streams import file_events
 from flowlens.streaming import lanes
@@ -90,8 +90,8 @@ def attention_verdicts(spark, sf):
 @query("separability_probe")
 def separability_probe(spark, sf):
     vectors = graph.window_vectors(hourly(spark, sf), ["window_start"])
-    everywhere = attack_spans(spark, sf).filter("stream = 0").drop("stream")
-    labelled = cut_lineage(models.windows_in_attack(vectors, everywhere, [], DAY))
+    spans = windows.merged_intervals(flow(spark, sf).filter("dst = 'error'"), guard_us=2 * MINUTE)
+    labelled = cut_lineage(models.windows_in_attack(vectors, spans, [], DAY))
     return models.separability_probe(labelled, "window_start")
 
 
