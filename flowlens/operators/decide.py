@@ -190,9 +190,9 @@ def decide(
     return policy(joined.withColumn("breaker_tripped", F.coalesce("_t", F.lit(False))).drop("_t"))
 
 
-def _day(ts: str = "ts_us") -> Column:
-    """Time cell of the ordered steps below: a hot target is one group per day, not one group."""
-    return F.col(ts) - F.pmod(ts, F.lit(24 * 3600 * MICROS))
+def _hour(ts: str = "ts_us") -> Column:
+    """Time cell of the ordered steps below: a hot target is one group per hour, not one group."""
+    return F.col(ts) - F.pmod(ts, F.lit(3600 * MICROS))
 
 
 def block_intervals(blocks: DataFrame, reversals: DataFrame | None = None, ttl_us: int = BLOCK_TTL_SECONDS * MICROS,
@@ -204,7 +204,7 @@ def block_intervals(blocks: DataFrame, reversals: DataFrame | None = None, ttl_u
         rows = rows.unionByName(reversals.select(
             F.col(target).alias("target"), "ts_us", F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("kind")))
     near = neighbours(rows, ["ts_us", "kind", "seq"], {"_next": "ts_us", "_kind": "kind"}, ["target"], forward=True,
-                      cell=_day())
+                      cell=_hour())
     expiry = F.col("ts_us") + ttl_us
     return near.filter(F.col("kind") == 0).select(
         "target", "seq", F.col("ts_us").alias("start_us"),
@@ -234,7 +234,7 @@ def resolve_corrections(corrections: DataFrame, decisions: DataFrame, target: st
                            F.lit(1).alias("kind"), F.lit(None).cast("string").alias("decision_id"),
                            F.col("correction_id").cast("string").alias("correction_id"), "is_false_positive")
     found = carry_forward(d.unionByName(c), ["ts_us", "kind", "seq"], {"last_decision": "decision_id"},
-                          F.col("kind") == 0, ["target"], cell=_day())
+                          F.col("kind") == 0, ["target"], cell=_hour())
     return found.filter(F.col("kind") == 1).select(
         "correction_id", "target", "ts_us", "seq", "last_decision",
         F.when(F.col("is_false_positive"), "false_positive").otherwise("true_positive").alias("verdict_was"),

@@ -2,17 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.scan import running_sums, split_points
 from flowlens.schemas import MICROS, WINDOW_SECONDS
 
 FEATURES = (
     "event_rate", "byte_rate", "dest_port_entropy",
     "unique_dest_count", "avg_duration_ms", "same_dest_ratio",
 )
+ORDER = ("t", "kind", "seq")
+HOT_ROWS = 4_000_000
+
+Totals = Callable[[DataFrame, Sequence[str], Mapping[str, Column]], DataFrame]
+
+
+def _changes(events: DataFrame, keys: Sequence[str], window_us: int, bucket_us: int) -> DataFrame:
+    """Arrivals and expiries per time bucket; the last window of a bucket is copied into the next as history."""
+    home = F.col("ts_us") - F.pmod("ts_us", F.lit(bucket_us))
+    after = home + bucket_us
+
+    def change(bucket: Column, time: Column, kind: int, own: bool) -> Column:
+        return F.struct(bucket.alias("bucket"), time.alias("t"), F.lit(kind).alias("kind"),
+                        F.lit(1 - 2 * kind).cast("bigint").alias("sign"), F.lit(own).alias("own"))
+
+    arrival, expiry = F.col("ts_us"), F.col("ts_us") + window_us
+    spans = F.when(expiry >= after, F.array(change(home, arrival, 0, True), change(after, arrival, 0, False),
+                                            change(after, expiry, 1, False))
+                   ).otherwise(F.array(change(home, arrival, 0, True), change(home, expiry, 1, False)))
+    return events.select(
+        *keys, "seq", "ts_us", "dst", "port", F.col("bytes").cast("bigint").alias("bytes"),
+        F.col("duration_ms").cast("bigint").alias("duration_ms"), F.explode(spans).alias("change"),
+    ).select(*keys, "seq", "ts_us", "dst", "port", "bytes", "duration_ms", "change.*")
+
+
+def _sweep(changes: DataFrame, keys: Sequence[str], totals: Totals) -> DataFrame:
+    """Running totals over the changes; ``totals`` says how a running total is computed."""
+    group, sign = [*keys, "bucket"], F.col("sign")
+    weight = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    has_port = F.col("port").isNotNull()
+    keyed = changes.withColumn("_port", F.coalesce(F.col("port").cast("bigint"), F.lit(-1)))
+    counted = totals(totals(keyed, [*group, "dst"], {"on_dest": sign}), [*group, "_port"], {"on_port": sign})
+    steps = counted.select(
+        "*",
+        F.when((sign > 0) & (F.col("on_dest") == 1), 1)
+        .when((sign < 0) & (F.col("on_dest") == 0), -1).otherwise(0).alias("d_dests"),
+        F.when(has_port, weight(F.col("on_port")) - weight(F.col("on_port") - sign)).otherwise(F.lit(0.0))
+        .alias("d_weight"))
+    return totals(steps, group, {
+        "n": sign, "window_bytes": sign * F.col("bytes"), "window_duration": sign * F.col("duration_ms"),
+        "dests": F.col("d_dests"), "ports": F.when(has_port, sign).otherwise(0), "weight": F.col("d_weight"),
+    }).filter((F.col("kind") == 0) & F.col("own"))
+
+
+def _within_group(df: DataFrame, group: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """One task per group: a sorted pass."""
+    over = Window.partitionBy(*group).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *[F.sum(e).over(over).alias(name) for name, e in sums.items()])
+
+
+def _across_groups(points: Sequence[str]) -> Totals:
+    """Many tasks per group: the two-level scan over one order-preserving text key, which also splits equal times."""
+    return lambda df, group, sums: running_sums(df, ["_at"], sums, group, points)
 
 
 def trailing_features(
@@ -20,6 +74,7 @@ def trailing_features(
     window_us: int = int(WINDOW_SECONDS * MICROS),
     keys: Sequence[str] = ("src",),
     bucket_windows: int = 30,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Six features over the inclusive trailing window of each event's source.
 
@@ -29,63 +84,30 @@ def trailing_features(
 
     Every event is turned into an arrival and an expiry, and the features are running totals over those
     changes, so the work is linear in the events however full a window is. Time is cut into buckets of
-    ``bucket_windows`` windows; the last window of a bucket is copied into the next as history. A hot
-    source is therefore many groups, each as long as one bucket.
+    ``bucket_windows`` windows, so a busy source is many groups, all sharing one shuffle. A source that
+    sends more than ``hot_rows`` events within one bucket is swept by many tasks instead of one; there are
+    at most ``rows / hot_rows`` such groups.
     """
     keys = list(keys)
     bucket_us = window_us * bucket_windows
-    home = F.col("ts_us") - F.pmod("ts_us", F.lit(bucket_us))
-    arrive = lambda b, own: F.struct(
-        b.alias("bucket"), F.col("ts_us").alias("t"), F.lit(0).alias("kind"),
-        F.lit(1).cast("bigint").alias("sign"), F.lit(own).alias("own"))
-    expire = lambda b: F.struct(
-        b.alias("bucket"), (F.col("ts_us") + window_us).alias("t"), F.lit(1).alias("kind"),
-        F.lit(-1).cast("bigint").alias("sign"), F.lit(False).alias("own"))
-    after = home + bucket_us
-    reaches = F.col("ts_us") + window_us >= after
-    changes = (
-        events
-        .select(
-            *keys, "seq", "ts_us", "dst", "port",
-            F.col("bytes").cast("bigint").alias("bytes"),
-            F.col("duration_ms").cast("bigint").alias("duration_ms"),
-            F.explode(F.when(reaches, F.array(arrive(home, True), arrive(after, False), expire(after)))
-                      .otherwise(F.array(arrive(home, True), expire(home)))).alias("change"))
-        .select(*keys, "seq", "ts_us", "dst", "port", "bytes", "duration_ms", "change.*")
-        .repartition(*keys, "bucket")
-    )
-    sofar = (Window.unboundedPreceding, Window.currentRow)
-    order = ("t", "kind", "seq")
-    by_dest = Window.partitionBy(*keys, "bucket", "dst").orderBy(*order).rowsBetween(*sofar)
-    by_port = Window.partitionBy(*keys, "bucket", "port").orderBy(*order).rowsBetween(*sofar)
-    by_source = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(*sofar)
-
-    sign = F.col("sign")
-    weight = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    has_port = F.col("port").isNotNull()
-    counted = changes.select(
-        "*", F.sum(sign).over(by_dest).alias("on_dest"), F.sum(sign).over(by_port).alias("on_port"))
-    steps = counted.select(
-        "*",
-        F.when((sign > 0) & (F.col("on_dest") == 1), 1)
-        .when((sign < 0) & (F.col("on_dest") == 0), -1).otherwise(0).alias("d_dests"),
-        F.when(has_port, weight(F.col("on_port")) - weight(F.col("on_port") - sign)).otherwise(F.lit(0.0))
-        .alias("d_weight"))
-    total = lambda e, name: F.sum(e).over(by_source).alias(name)
-    stepped = steps.select(
-        *keys, "seq", "ts_us", "kind", "own", "on_dest",
-        total(sign, "n"),
-        total(sign * F.col("bytes"), "window_bytes"),
-        total(sign * F.col("duration_ms"), "window_duration"),
-        total(F.col("d_dests"), "dests"),
-        total(F.when(has_port, sign).otherwise(0), "ports"),
-        total(F.col("d_weight"), "weight"),
-    ).filter((F.col("kind") == 0) & F.col("own"))
-    n = F.col("n").cast("double")
-    ports = F.col("ports").cast("double")
+    home = (F.col("ts_us") - F.pmod("ts_us", F.lit(bucket_us))).alias("bucket")
+    sizes = events.groupBy(*keys, home).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).drop("_n")
+    changes = _changes(events, keys, window_us, bucket_us)
+    group = [*keys, "bucket"]
+    if hot.isEmpty():
+        swept = _sweep(changes.repartition(*group), keys, _within_group)
+    else:
+        cold = changes.join(hot, group, "left_anti").repartition(*group)
+        text = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+        warm = changes.join(hot, group, "left_semi").withColumn(
+            "_at", F.concat(text("t"), F.col("kind").cast("string"), text("seq")))
+        spread = _sweep(warm, keys, _across_groups(split_points(warm, "_at")))
+        swept = _sweep(cold, keys, _within_group).unionByName(spread.drop("_at"))
+    n, ports = F.col("n").cast("double"), F.col("ports").cast("double")
     span = F.lit(window_us / MICROS)
     entropy = F.when(F.col("ports") > 0, F.greatest(F.lit(0.0), F.log2(ports) - F.col("weight") / ports))
-    return stepped.select(
+    return swept.select(
         *keys, "seq", "ts_us", "n",
         (n / span).alias("event_rate"),
         (F.col("window_bytes").cast("double") / span).alias("byte_rate"),

@@ -22,9 +22,9 @@ def brute(rows, window):
     return out
 
 
-def check(spark, rows, window, buckets):
+def check(spark, rows, window, buckets, hot=4_000_000):
     df = spark.createDataFrame(rows, "seq bigint, ts_us bigint, src string, dst string, port int, bytes bigint, duration_ms bigint")
-    got = trailing_features(df, window, bucket_windows=buckets).collect()
+    got = trailing_features(df, window, bucket_windows=buckets, hot_rows=hot).collect()
     want = brute(rows, window)
     assert len(got) == len(rows)
     for r in got:
@@ -44,6 +44,14 @@ def test_equals_brute_force_across_bucket_edges(spark):
     check(spark, rows, 10, 7)
 
 
+def test_hot_groups_and_equal_times_are_spread_without_changing_results(spark):
+    rng = random.Random(8)
+    times = sorted(1_000_000 + (50 if i % 3 else rng.randrange(200)) for i in range(240))
+    rows = [(seq, times[seq], "hot" if seq % 5 else "b", rng.choice("xyz"),
+             rng.choice([None, 80, 443]), rng.randrange(1000), rng.randrange(50)) for seq in range(240)]
+    check(spark, rows, 40, 2, hot=30)
+
+
 def test_exactly_one_window_old_is_in_and_later_peers_are_not(spark):
     rows = [(1, 0, "a", "x", 80, 10, 1), (2, 2_000_000, "a", "x", 80, 10, 1), (3, 2_000_000, "a", "y", 81, 10, 1),
             (4, 2_000_001, "a", "x", 80, 10, 1)]
