@@ -17,6 +17,7 @@ from flowlens.operators.graph import WINDOW_VECTOR
 from flowlens.operators.scan import exact_quantiles
 from flowlens.operators.trailing import FEATURES, trailing_features
 from flowlens.operators.windows import in_intervals
+from flowlens.session import cut_lineage
 
 DEPTH, STEP, ROUNDS = 5, 0.1, 100
 # Cut values for probabilities; a fixed grid saves scoring the rows once more to find them.
@@ -61,7 +62,7 @@ def fit_fast(rows: DataFrame, identity: str, label: str = "y", features: Sequenc
     train, held = holdout(rows, identity, calibration, seed)
     learner = GBTClassifier(featuresCol="_x", labelCol=label, maxDepth=DEPTH, stepSize=STEP, maxIter=rounds, seed=seed)
     model = FastModel(learner.fit(assemble(train, features)), 1.0, tuple(features))
-    logits = model.logits(held).select("logit", label)
+    logits = cut_lineage(model.logits(held).select("logit", label))  # read once per round of the search
     model.temperature = evaluate.fit_temperature(logits, "logit", label)
     return model
 
@@ -93,7 +94,7 @@ def replay_features(rows: DataFrame, streams: Sequence[str], order: Sequence[str
 def train_and_report(features: DataFrame, identity: str, label: str = "y", split_keys: Sequence[str] = ("y",),
                      rounds: int = ROUNDS, seed: int = 42) -> tuple[FastModel, DataFrame]:
     """Split per class (and day), fit on the train side, report on the test side."""
-    sided = sampling.class_split(features, split_keys, identity, seed)
+    sided = cut_lineage(sampling.class_split(features, split_keys, identity, seed))
     model = fit_fast(sided.filter("side = 'train'"), identity, label, rounds=rounds, seed=seed)
     scored = model.score(sided.filter("side = 'test'"))
     return model, evaluate.threshold_report(scored, "p_flood", label, 0.5, points=GRID)
@@ -117,7 +118,7 @@ def separability_probe(vectors: DataFrame, identity: str, label: str = "y", feat
     folded = sampling.hash_rank(vectors, seed, identity, [label], "_rank").withColumn("_fold", F.pmod("_rank", F.lit(folds)))
     sizes = folded.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = sizes.agg(F.sum("_c")).scalar()
-    weighted = folded.join(sizes, label).withColumn("_w", total / (F.col("_c") * 2.0))
+    weighted = cut_lineage(folded.join(sizes, label).withColumn("_w", total / (F.col("_c") * 2.0)))
     scored = None
     for fold in range(folds):
         learner = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=300)

@@ -47,6 +47,19 @@ def clean_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
+    """First line of a (possibly compressed) file, read on the driver without a job."""
+    jvm = spark._jvm
+    at, conf = jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    stream = at.getFileSystem(conf).open(at)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, encoding))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
+
+
 def parse_header(line: str) -> list[str]:
     return clean_names(next(csv.reader([line])))
 
@@ -100,10 +113,14 @@ def read_csv(
         if names is not None:
             header = tuple(names)
         else:
-            first = spark.read.option("encoding", encoding).text(path).first()
-            header = tuple(parse_header(first[0])) if first else ()
+            line = first_line(spark, path, encoding)
+            if line is None:
+                continue
+            header = tuple(parse_header(line))
             require_columns(header, required, path)
         groups.setdefault(header, []).append(path)
+    if not groups:
+        raise HeaderError(f"all of {list(files)[:5]} are empty")
     scans = []
     for header, paths in groups.items():
         reader = spark.read.schema(string_schema(header)).option("encoding", encoding).option("enforceSchema", True)
