@@ -14,8 +14,17 @@ from flowlens.schemas import PSI_BREACH
 FLOOR = 1e-6
 
 
-def _sizes(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("feature").agg(F.count("value").alias(name))
+def _folded(baseline: DataFrame, live: DataFrame) -> DataFrame:
+    """Distinct values per feature with their count on either side; copies fold before any join."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    sides = baseline.select("feature", "value", one.alias("b"), none.alias("l")).unionByName(
+        live.select("feature", "value", none.alias("b"), one.alias("l")))
+    return sides.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+
+
+def _sizes(folded: DataFrame) -> DataFrame:
+    """Sample sizes of the baseline's features."""
+    return folded.groupBy("feature").agg(F.sum("b").alias("n_b"), F.sum("l").alias("n_l")).filter(F.col("n_b") > 0)
 
 
 def psi(baseline: DataFrame, live: DataFrame, bins: int = 10) -> DataFrame:
@@ -23,39 +32,29 @@ def psi(baseline: DataFrame, live: DataFrame, bins: int = 10) -> DataFrame:
     probs = {f"q{i}": i / bins for i in range(1, bins)}
     edges = exact_quantiles(baseline, "value", probs, ["feature"]).select(
         "feature", F.array_sort(F.array_distinct(F.array(*probs))).alias("edges"))
-    sides = baseline.select("feature", "value", F.lit(1).alias("b"), F.lit(0).alias("l")).unionByName(
-        live.select("feature", "value", F.lit(0).alias("b"), F.lit(1).alias("l"))).filter(F.col("value").isNotNull())
-    # Copies of a value fold before the edges are joined.
-    folded = sides.groupBy("feature", "value").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+    folded = _folded(baseline, live)
     binned = folded.join(edges, "feature").groupBy(
         "feature", F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("bin")).agg(
         F.sum("b").alias("b"), F.sum("l").alias("l"))
-    totals = _sizes(baseline, "n_b").join(_sizes(live, "n_l"), "feature", "left")
-    joined = binned.join(totals, "feature")
+    joined = binned.join(_sizes(folded), "feature")
     e = F.greatest(F.col("b").cast("double") / F.col("n_b"), F.lit(FLOOR))
-    a = F.greatest(F.col("l").cast("double") / F.col("n_l"), F.lit(FLOOR))
-    return joined.groupBy("feature").agg(
-        F.coalesce(F.sum(F.when(F.col("n_l") > 0, (a - e) * F.log(a / e))), F.lit(0.0)).alias("psi"))
+    a = F.when(F.col("n_l") > 0, F.greatest(F.col("l").cast("double") / F.nullif(F.col("n_l"), F.lit(0)), F.lit(FLOOR)))
+    return joined.groupBy("feature").agg(F.coalesce(F.sum((a - e) * F.log(a / e)), F.lit(0.0)).alias("psi"))
 
 
 def ks(baseline: DataFrame, live: DataFrame) -> DataFrame:
     """Two-sample KS statistic and its asymptotic p-value per baseline feature."""
-    sides = baseline.select("feature", "value", F.lit(1).alias("b"), F.lit(0).alias("l")).unionByName(
-        live.select("feature", "value", F.lit(0).alias("b"), F.lit(1).alias("l"))).filter(F.col("value").isNotNull())
-    folded = sides.groupBy("feature", "value").agg(
-        F.sum("b").cast("bigint").alias("b"), F.sum("l").cast("bigint").alias("l"))
+    folded = _folded(baseline, live)
     upto = running_sums(folded, ["value"], {"b_upto": F.col("b"), "l_upto": F.col("l")}, ["feature"],
-                        points=split_points(sides, "value"))
-    totals = _sizes(baseline, "n_b").join(_sizes(live, "n_l"), "feature", "left")
-    gap = F.abs(F.col("b_upto").cast("double") / F.col("n_b") - F.col("l_upto").cast("double") / F.col("n_l"))
-    out = upto.join(totals, "feature").groupBy("feature").agg(
-        F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
+                        points=split_points(baseline, "value"))
+    part = lambda c, n: F.col(c).cast("double") / F.nullif(F.col(n), F.lit(0).cast("bigint"))
+    out = upto.join(_sizes(folded), "feature").groupBy("feature").agg(
+        F.coalesce(F.max(F.abs(part("b_upto", "n_b") - part("l_upto", "n_l"))), F.lit(0.0)).alias("ks"),
         F.max("n_b").cast("double").alias("_n"), F.max("n_l").cast("double").alias("_m"))
     z = F.col("ks") * F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")))
-    series = None
-    for k in range(1, 101):
-        term = F.lit(2.0 if k % 2 else -2.0) * F.exp(F.lit(-2.0 * k * k) * F.col("z") * F.col("z"))
-        series = term if series is None else series + term
+    # Terms beyond the twentieth are below 1e-13 from z = 0.2 on, and under it the tail is 1.
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda total, k: total + F.when(
+        k % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(F.lit(-2.0) * k * k * F.col("z") * F.col("z")))
     tail = F.when(F.col("z") < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
     return out.withColumn("z", z).select(
         "feature", "ks", F.coalesce(F.when(F.col("_m") > 0, tail), F.lit(1.0)).alias("p_value"))
