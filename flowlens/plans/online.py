@@ -36,7 +36,14 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """Runs a stream over everything there is and returns what it wrote."""
     spark, folder = stream.sparkSession, scratch(stream.sparkSession)
-    lanes.start(stream, lanes.to_table(f"{folder}/out"), f"{folder}/state", once=True).awaitTermination()
+    # One state partition per core: more of them only add workers to every micro-batch.
+    width = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(width)
+    spark.conf.set(width, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        lanes.start(stream, lanes.to_table(f"{folder}/out"), f"{folder}/state", once=True).awaitTermination()
+    finally:
+        spark.conf.set(width, before)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
