@@ -94,7 +94,8 @@ def flag_allowlist(verdicts: DataFrame, allowlist: DataFrame, target: str = "tar
     return verdicts.join(listed, target, "left").withColumn("on_allowlist", F.coalesce("_on", F.lit(False))).drop("_on")
 
 
-def _acts() -> Column:
+def acts() -> Column:
+    """Strong enough to act on: a valid verdict with an attack label at or over the block threshold."""
     return (valid_input() & ~F.col("label").isin("benign", "uncertain") & (F.col("confidence") >= BLOCK_AT))
 
 
@@ -104,8 +105,9 @@ def first_action(verdicts: DataFrame, seq: str = "seq") -> DataFrame:
     Which verdict acts first does not depend on the cap (a throttled one uses the window up just as a block
     does), so a window is resolved by one minimum per window and a join back.
     """
-    verdicts = verdicts.withColumn("breaker_tripped", F.lit(False)) if "breaker_tripped" not in verdicts.columns else verdicts
-    acting = verdicts.filter(_acts()).groupBy("window_id").agg(F.min(seq).alias("_first"))
+    if "breaker_tripped" not in verdicts.columns:
+        verdicts = verdicts.withColumn("breaker_tripped", F.lit(False))
+    acting = verdicts.filter(acts()).groupBy("window_id").agg(F.min(seq).alias("_first"))
     return verdicts.join(acting, "window_id", "left").withColumn(
         "already_resolved", F.coalesce(F.col("_first") < F.col(seq), F.lit(False))).drop("_first")
 
@@ -183,7 +185,7 @@ def decide(
 ) -> DataFrame:
     """The whole decision path in verdict order: allowlist, first action per window, cap, policy table."""
     flagged = first_action(flag_allowlist(verdicts, allowlist).withColumn("breaker_tripped", F.lit(False)))
-    wants = _acts() & ~F.col("already_resolved") & ~F.col("on_allowlist")
+    wants = acts() & ~F.col("already_resolved") & ~F.col("on_allowlist")
     capped = action_cap(flagged.filter(wants).select(*shard, "ts_us", "seq", "breaker_tripped"), shard, cap, cap_window_us)
     joined = flagged.drop("breaker_tripped").join(
         capped.select("seq", F.col("breaker_tripped").alias("_t")), "seq", "left")

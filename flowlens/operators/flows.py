@@ -13,7 +13,8 @@ from flowlens.schemas import FLOW_ACTIVE_SECONDS, FLOW_IDLE_SECONDS, MICROS
 _ENDS = ("end_a", "end_b", "protocol")
 
 
-def _end(ip: str, port: str) -> Column:
+def endpoint(ip: str, port: str) -> Column:
+    """Comparable (address, port) pair; a missing port sorts first."""
     return F.struct(F.col(ip).alias("ip"), F.coalesce(F.col(port), F.lit(-1)).alias("port"))
 
 
@@ -30,7 +31,7 @@ def assemble_flows(
     a flow that holds most of a capture reaches the last step as two rows.
     """
     keys = list(keys)
-    a, b = _end("src_ip", "src_port"), _end("dst_ip", "dst_port")
+    a, b = endpoint("src_ip", "src_port"), endpoint("dst_ip", "dst_port")
     keyed = packets.withColumn("end_a", F.least(a, b)).withColumn("end_b", F.greatest(a, b))
     cut = anchored_windows(keyed, active_us, [*keys, *_ENDS], strict=True, idle_us=idle_us, segment_us=segment_us)
     sender = cut.groupBy(*keys, *_ENDS, "window_start", "src_ip", "src_port").agg(

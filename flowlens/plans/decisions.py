@@ -113,7 +113,7 @@ CAPPED = f"with recursive {FLAGS}, {WALK.format(cap=CAP, span=SPAN)}"
 @query("action_cap", CAPPED + " select shard, seq, trip as breaker_tripped from walk")
 def action_cap(spark, sf):
     wants = flagged(spark, sf).filter(
-        decide._acts() & ~F.col("already_resolved") & ~F.col("on_allowlist")).select("shard", "ts_us", "seq")
+        decide.acts() & ~F.col("already_resolved") & ~F.col("on_allowlist")).select("shard", "ts_us", "seq")
     return decide.action_cap(wants, ["shard"], CAP, SPAN).select("shard", "seq", "breaker_tripped")
 
 

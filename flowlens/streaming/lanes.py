@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import audit, decide, graph
-from flowlens.operators.flows import _end
+from flowlens.operators.flows import endpoint
 from flowlens.operators.windows import packed_key
 from flowlens.schemas import (BREAKER_CAP, BREAKER_WINDOW_SECONDS, FLOW_ACTIVE_SECONDS, FLOW_IDLE_SECONDS, MICROS,
                               WINDOW_SECONDS)
@@ -58,7 +58,7 @@ def stream_flows(packets: DataFrame, idle_us: int = int(FLOW_IDLE_SECONDS * MICR
                  active_us: int = int(FLOW_ACTIVE_SECONDS * MICROS), delay: str = "10 seconds") -> DataFrame:
     """Flows from a live packet stream."""
     use_state_store(packets.sparkSession)
-    a, b = _end("src_ip", "src_port"), _end("dst_ip", "dst_port")
+    a, b = endpoint("src_ip", "src_port"), endpoint("dst_ip", "dst_port")
     keyed = packets.withColumn("_a", F.to_json(F.least(a, b))).withColumn("_b", F.to_json(F.greatest(a, b)))
     keyed = keyed.withColumn("flow_key", packed_key(["capture", "_a", "_b", "protocol"])).drop("_a", "_b")
     return clocked(keyed, delay).groupBy("flow_key").transformWithStateInPandas(
@@ -70,7 +70,7 @@ def stream_gate(verdicts: DataFrame, cap: int = BREAKER_CAP, window_us: int = BR
                 ttl_us: int = 24 * 3600 * MICROS, delay: str = "10 seconds") -> DataFrame:
     """Per verdict: is its window resolved, is the shard's cap reached. Input carries ``on_allowlist``."""
     use_state_store(verdicts.sparkSession)
-    ready = verdicts.withColumn("breaker_tripped", F.lit(False)).withColumn("acts", decide._acts())
+    ready = verdicts.withColumn("breaker_tripped", F.lit(False)).withColumn("acts", decide.acts())
     narrow = ready.select(F.col("shard").cast("string").alias("shard"), "seq", "ts_us", "window_id", "acts", "on_allowlist")
     return clocked(narrow, delay).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=state.DecisionGate(cap, window_us, ttl_us), outputStructType=state.FLAG_ROWS,
