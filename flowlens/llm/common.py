@@ -79,3 +79,27 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, size: int = 1 << 24) -> None:
+    """Bounds the bytes of an Arrow batch, so that many long texts do not meet in one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text",
+                    key: str = "doc_id", keep: Column | None = None) -> DataFrame:
+    """``_key, _label, _text``: at most ``rows`` labelled documents, the same ones on every run.
+
+    Ids whose labels are null or disagree are left out, and so is every id for which ``keep`` is false. The ids come
+    first, so no text is moved for a row that is not in the sample.
+    """
+    named = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    if keep is not None:
+        named = named.filter(keep)
+    once = (named.filter(F.col("_key").isNotNull() & F.col("_label").isin(0, 1)).groupBy("_key")
+            .agg(F.min("_label").alias("_label"), F.max("_label").alias("_top")).filter("_label = _top"))
+    draw = F.md5(F.col("_key").cast("string").cast("binary"))
+    picked = once.orderBy(draw, "_key").limit(rows).select("_key", "_label")
+    found = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    # At most `rows` rows, so the broadcast is bounded.
+    return found.join(F.broadcast(picked), F.col("_id") == F.col("_key")).select("_key", "_label", "_text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import line_dedup, mixing
+from flowlens.llm import line_dedup, mixing, quality_gam
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,3 +64,10 @@ select d.doc_id, d.lang, d.source, d.n_chars,
 from (select *, row_number() over () as rowid from documents) d left join kept k on d.rowid = k.r""")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_gam.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
