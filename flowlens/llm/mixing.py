@@ -38,15 +38,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     weighed = cut(placed.withColumn("_weight", turn).withColumn("_ratio", F.col("_total") / F.col("_weight")))
     run = running_sums(weighed, ["_ratio", "_order"],
                        {"_sum": F.col("_total"), "_wsum": F.col("_weight")})
-    whole = weighed.agg(F.sum("_total").alias("_all"), F.sum("_weight").alias("_w"))
+    whole = weighed.agg(F.struct(F.sum("_total").alias("all"), F.sum("_weight").alias("w"))).scalar()
     # A source is below its cap where the level that the sources before it leave over does not reach its cap.
-    over = run.crossJoin(F.broadcast(whole)).select(  # one row
-        "*", ((F.col("_all") - cap * (F.col("_sum") - F.col("_total")))
-              / (F.col("_w") - (F.col("_wsum") - F.col("_weight")))).alias("_level"))
+    over = run.withColumn("_level", (whole["all"] - cap * (F.col("_sum") - F.col("_total")))
+                          / (whole["w"] - (F.col("_wsum") - F.col("_weight"))))
     level = over.filter(cap * F.col("_ratio") >= F.col("_level")).agg(
-        F.min_by("_level", F.struct("_ratio", "_order")).alias("_level"))
-    share = F.least(F.col("_total") * F.lit(float(cap)), F.col("_level") * F.col("_weight"))
-    return weighed.crossJoin(F.broadcast(level)).select("_source", "_total", share.alias("_target"))  # one row
+        F.min_by("_level", F.struct("_ratio", "_order"))).scalar()
+    share = F.least(F.col("_total") * F.lit(float(cap)), level * F.col("_weight"))
+    return weighed.select("_source", "_total", share.alias("_target"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import line_dedup, mixing, quality_gam
+from flowlens.llm import line_dedup, mixing, quality_gam, topk_nra
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -71,3 +71,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_gam.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                        table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op5_top_inner_products", r"""
+with valid as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(x) >= 4096)) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from valid q join valid c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5""")
+def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_nra.top_k(table(spark, sf_dir, "embeddings"))
