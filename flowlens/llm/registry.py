@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import line_dedup, mixing, quality_gam, topk_nra
+from flowlens.llm import line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,10 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5""")
 def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_nra.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_knn.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                         table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "near", "cosines")
