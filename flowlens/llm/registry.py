@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
+from flowlens.llm import license_scan, line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -93,3 +93,40 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_knn.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                          table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "near", "cosines")
+
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{phrase}')" for i, (label, phrase) in enumerate(license_scan.TEMPLATES))
+
+
+@query("op8_license_scan", r"""
+with docs as (
+  select row_number() over () as r, doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low
+  from documents),
+words as (select r, doc_id, low, regexp_extract_all(low, '[0-9a-z\x{80}-\x{10FFFF}]+') as w from docs),
+phrases(label, p) as (values ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']),
+                             ('reserved', ['all', 'rights', 'reserved'])),
+spots as (select r, w, unnest(range(len(w))) as i from words),
+places as (select r, i, label from spots, phrases where list_extract(w, i + 1) = p[1] and w[i + 1 : i + len(p)] = p),
+lines as (select r, regexp_extract_all(unnest(string_split(low, chr(10))), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from docs),
+blocks as (
+  select r, w as b from lines where len(w) <= 64
+  union all
+  select r, w[i + 1 : i + 64] from (select r, w, unnest(range(0, len(w) - 31, 32)) as i from lines where len(w) > 64)),
+templates as (select id, label, list_distinct(string_split(phrase, ' ')) as t from (values TEMPLATE_ROWS) v(id, label, phrase)),
+hits as (
+  select r, label, len(list_intersect(t, b)) / len(t)::double as c from blocks, templates
+  where list_has(b, 'licensed') or list_has(b, 'license') or list_has(b, 'software') or list_has(b, 'domain')
+     or list_has(b, 'reserved') or list_has(b, 'modification')),
+best as (select r, label, max(c) as c from hits where c >= 0.9 group by r, label)
+select d.doc_id, len(w.w)::bigint as n_words, (select count(*) from places p where p.r = d.r)::bigint as n_base,
+       (select min(i) from places p where p.r = d.r)::bigint as first_word,
+       (select max(i) from places p where p.r = d.r)::bigint as last_word,
+       coalesce((select string_agg(distinct label, ',' order by label) from places p where p.r = d.r), '') as base_labels,
+       coalesce((select string_agg(distinct label, ',' order by label) from
+         (select r, label from places union select r, label from best) a where a.r = d.r), '') as labels,
+       case when exists (select 1 from places p where p.r = d.r) then 1.0::double
+            else coalesce((select max(c) from best b where b.r = d.r), 0.0)::double end as score
+from docs d join words w on d.r = w.r""".replace("TEMPLATE_ROWS", _TEMPLATE_ROWS))
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
