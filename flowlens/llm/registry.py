@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import license_scan, line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
+from flowlens.llm import decontam, license_scan, line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -130,3 +130,40 @@ select d.doc_id, len(w.w)::bigint as n_words, (select count(*) from places p whe
 from docs d join words w on d.r = w.r""".replace("TEMPLATE_ROWS", _TEMPLATE_ROWS))
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination", r"""
+with docs as (
+  select distinct doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+items as (
+  select distinct item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as iw
+  from benchmark),
+grams as (
+  select distinct item_id, len(iw) as l, array_to_string(iw[i + 1 : i + 5], ' ') as gram
+  from (select *, unnest(range(len(iw) - 4)) as i from items where len(iw) >= 5)),
+spots as (
+  select doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') as gram
+  from (select *, unnest(range(len(w) - 4)) as p from docs where len(w) >= 5)),
+seeds as (select distinct doc_id, item_id, l, p from spots join grams using (gram)),
+starts as (
+  select distinct s.doc_id, item_id, l, unnest(range(greatest(p - l + 5, 0), greatest(least(p, len(w) - l), 0) + 1)) as s
+  from seeds s join docs using (doc_id)),
+bags as (
+  select doc_id, item_id, s, array_to_string(w[s + i + 1 : s + i + 5], ' ') as gram, count(*) as n
+  from (select *, unnest(range(least(l, len(w)) - 4)) as i from starts join docs using (doc_id)) group by all),
+item_bags as (
+  select item_id, array_to_string(iw[i + 1 : i + 5], ' ') as gram, count(*) as n
+  from (select *, unnest(range(len(iw) - 4)) as i from items where len(iw) >= 5) group by all),
+sizes as (select doc_id, item_id, s, sum(n) as n from bags group by all),
+item_sizes as (select item_id, sum(n) as n from item_bags group by all),
+common as (
+  select b.doc_id, b.item_id, b.s, sum(least(b.n, i.n)) as c
+  from bags b join item_bags i on b.item_id = i.item_id and b.gram = i.gram group by all),
+sims as (
+  select c.doc_id, c.item_id, c.s, c.c::double / (z.n + i.n - c.c)::double as sim
+  from common c join sizes z using (doc_id, item_id, s) join item_sizes i on c.item_id = i.item_id)
+select doc_id, item_id, arg_min(s, row(-sim, s))::bigint as first_word, max(sim) as similarity
+from sims where sim >= 0.8 group by doc_id, item_id""")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "first_word", "similarity")
