@@ -20,51 +20,76 @@ from flowlens.llm.common import cut
 SCALE = 256
 #: Components of a larger size take no part, so that every score is exact in a double (and in a long).
 LARGEST = 1 << 20
-ROW_BLOCK = 4096
+ROW_BLOCK = 8192
+#: Rows of the parts a block is read in: the first ones, then all others.
+FIRST_PARTS = (256, 1024)
+PART = 2048
+#: How far the lists are read before the bounds are looked at, in eighths, and the share of rows that is then resolved.
+DEPTHS = (5, 7)
+RESOLVE = 16
 QUERY_BLOCK = 1024
 
 
 class SortedLists:
-    """The rows of a block, and for each dimension their order by that component."""
+    """The rows of a block, and for each dimension the list of its components in order.
+
+    Reading a list to a depth is done for all rows at once: an entry at least as good as the last one read counts with
+    its value; one that was not reached counts with the last value read (upper bound) or the worst one (lower bound).
+    """
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         self.rows, self.ids = rows.astype(np.float64), ids
-        self.order = np.argsort(rows, 0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(self.rows.T, self.order, 1)
-
-    def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but ``own``; ties go to the smaller id."""
-        n, width = self.rows.shape
-        query = query.astype(np.float64)
-        positive = query >= 0
-        best = np.where(positive, self.sorted[:, -1], self.sorted[:, 0]) * query
-        worst = np.where(positive, self.sorted[:, 0], self.sorted[:, -1]) * query
-        others = self.ids != own
-        seen = np.zeros((n, width), np.float32)
-        part, floor = np.zeros(n), np.full(n, worst.sum())
-        depth, live = 0, np.flatnonzero(others)
-        while len(live) > k and depth < n:
-            reach = min(n, max(64, depth * 2))
-            spots = np.where(positive[:, None], self.order[:, n - reach: n - depth], self.order[:, depth:reach])
-            values = np.where(positive[:, None], self.sorted[:, n - reach: n - depth], self.sorted[:, depth:reach])
-            gain = values * query[:, None]
-            flat = spots.ravel()
-            part += np.bincount(flat, gain.ravel(), n)
-            floor += np.bincount(flat, (gain - worst[:, None]).ravel(), n)
-            seen[spots, np.arange(width)[:, None]] = 1
-            edge = np.where(positive, self.sorted[:, n - reach], self.sorted[:, reach - 1]) * query
-            depth = reach
-            ceiling = part[live] + (edge.sum() - seen[live] @ edge)
-            bar = np.partition(floor[live], len(live) - k)[len(live) - k]
-            live = live[ceiling >= bar - 1e-6]
-            if len(live) <= 8 * k:
+        self.columns = np.ascontiguousarray(self.rows.T)
+        self.sorted = np.sort(self.columns, 1)
+
+    def top(self, query: np.ndarray, k: int, own: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best rows but ``own`` that score at least ``bar``; ties go to the smaller id."""
+        n = len(self.rows)
+        live = np.flatnonzero(self.ids != own)
+        up = query >= 0
+        worst = np.where(up, self.sorted[:, 0], self.sorted[:, -1]) * query
+        for eighths in DEPTHS:
+            depth = n * eighths // 8
+            if depth == 0 or len(live) <= k:
+                continue
+            edge = np.where(up, self.sorted[:, n - depth], self.sorted[:, depth - 1]) * query
+            gain = (self.columns if len(live) >= n - 1 else self.columns[:, live]) * query[:, None]
+            reached = bar
+            if bar == -np.inf:
+                floor = np.where(gain >= edge[:, None], gain, worst[:, None]).sum(0)
+                reached = np.partition(floor, len(floor) - k - 1)[len(floor) - k - 1]  # one more: own may be among them
+            ceiling = np.maximum(gain, edge[:, None], out=gain).sum(0)
+            live = live[(ceiling[live] if len(ceiling) == n else ceiling) >= reached - 1e-6]
+            if len(live) <= max(8 * k, n // RESOLVE):
                 break
         # What is left is resolved: the unread entries of these rows complete their scores.
         scores = self.rows[live] @ query
         order = np.lexsort((self.ids[live], -scores))[:k]
+        order = order[scores[order] >= bar]
         return self.ids[live][order], scores[order]
 
 
+def best_of_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, owns: np.ndarray, k: int):
+    """``query number, id, score`` of the best rows of a block for each query.
+
+    The block is read in parts, a small one first: the k-th score of the parts before is a bar that outsiders of the next
+    part must reach, so its lists need not be read to the end.
+    """
+    parts, low = [], 0
+    for size in (*FIRST_PARTS, *[PART] * (len(ids) // PART + 1)):
+        if low < len(ids):
+            parts.append(SortedLists(rows[low: low + size], ids[low: low + size]))
+            low += size
+    for number, (query, own) in enumerate(zip(queries.astype(np.float64), owns, strict=True)):
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        for part in parts:
+            more, values = part.top(query, k, own, scores[k - 1] if len(scores) >= k else -np.inf)
+            best, scores = np.concatenate([best, more]), np.concatenate([scores, values])
+            order = np.lexsort((best, -scores))[:k]
+            best, scores = best[order], scores[order]
+        yield number, best, scores
+
+
 def _integers(values: str):
     return F.transform(F.col(values), lambda x: F.floor(x.cast("double") * SCALE))
 
@@ -96,10 +121,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            lists = SortedLists(np.stack(left["_v"].to_numpy()), left["_id"].to_numpy())
-            for own, query in zip(right["_id"].to_numpy(), right["_v"].to_numpy(), strict=True):
-                ids, scores = lists.top(np.asarray(query), k, own)
-                out["query_id"].append(np.full(len(ids), own))
+            owns = right["_id"].to_numpy()
+            for i, ids, scores in best_of_block(np.stack(left["_v"].to_numpy()), left["_id"].to_numpy(),
+                                                np.stack(right["_v"].to_numpy()), owns, k):
+                out["query_id"].append(np.full(len(ids), owns[i]))
                 out["vec_id"].append(ids)
                 out["score"].append(scores)
         return pd.DataFrame({c: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
