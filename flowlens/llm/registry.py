@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontam, license_scan, line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
+from flowlens.llm import dartminhash, decontam, license_scan, line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -167,3 +167,8 @@ from sims where sim >= 0.8 group by doc_id, item_id""")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "first_word", "similarity")
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
