@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import dartminhash, decontam, license_scan, line_dedup, mixing, quality_gam, topk_nra, toxicity_knn
+from flowlens.llm import dartminhash, decontam, license_scan, line_dedup, mixing, quality_gam, substring_rlz, topk_nra, toxicity_knn
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -172,3 +172,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_duplicates")
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_substring_dedup", r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+blocks as (
+  select r, doc_id, p, array_to_string(w[p + 1 : p + 13], ' ') as b
+  from (select *, unnest(range(len(w) - 12)) as p from docs where len(w) >= 13 and doc_id is not null)),
+firsts as (select b, min(doc_id) as src from blocks group by b),
+gone as (
+  select distinct r, unnest(range(p, p + 13)) as i from blocks join firsts using (b) where src < doc_id),
+kept as (
+  select d.r, count(g.i) as n, string_agg(d.word, ' ' order by d.i) filter (where g.i is null) as text
+  from (select r, unnest(w) as word, unnest(range(len(w))) as i from docs) d
+  left join gone g on d.r = g.r and d.i = g.i group by d.r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from docs d left join kept k on d.r = k.r""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_rlz.dedup_substrings(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
