@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import dartminhash, decontam, license_scan, line_dedup, mixing, quality_gam, substring_rlz, topk_nra, toxicity_knn
+from flowlens.llm import dartminhash, decontam, license_scan, line_dedup, mixing, pii_crf, quality_gam, substring_rlz, topk_nra, toxicity_knn
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -193,3 +193,8 @@ from docs d left join kept k on d.r = k.r""")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substring_rlz.dedup_substrings(table(spark, sf_dir, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_pii(table(spark, sf_dir, "documents"))
