@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, md5_unit
+from flowlens.llm.common import cut, fresh, md5_unit, stored
 from flowlens.operators.scan import row_positions, running_sums
 
 #: ASCII white space as the contract names it.
@@ -48,6 +48,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     return weighed.select("_source", "_total", share.alias("_target"))
 
 
+def _size(text: str):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def source_rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``_named, _total, _target, _rate`` per source of ``_source, _size``, as a table of known size."""
+    targets = source_targets(sized.groupBy("_source").agg(F.sum("_size").alias("_total")), weights, cap)
+    rate = F.when(F.col("_total") > 0, F.least(F.col("_target") / F.col("_total"), F.lit(float(cap)))).otherwise(0.0)
+    return stored(targets.select(F.col("_source").alias("_named"), "_total", "_target", rate.alias("_rate")))
+
+
+def _copies(key: str, seed: str):
+    """Whole copies, and one more where the draw of the id falls under the fraction."""
+    return F.floor("_rate") + (md5_unit(F.lit(seed), key) < F.col("_rate") - F.floor("_rate")).cast("bigint")
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
         weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per input document: ``key, size, source_size, target, rate, copies, taken``.
@@ -55,27 +71,24 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     Null or empty text has size 0 and takes nothing; documents of a null source form one source; rows that repeat an id
     share its draw; a null id is a seed like any other. An empty table gives an empty result.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = cut(docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), size.alias("_size")))
-    totals = sized.groupBy("_source").agg(F.sum("_size").alias("_total"))
-    targets = source_targets(totals, weights, cap)
-    joined = sized.join(targets.withColumnRenamed("_source", "_named"),
-                        F.col("_source").eqNullSafe(F.col("_named")))
-    rate = F.when(F.col("_total") > 0, F.least(F.col("_target") / F.col("_total"), F.lit(float(cap)))).otherwise(0.0)
-    extra = (md5_unit(F.lit(seed), "_key") < F.col("_rate") - F.floor("_rate")).cast("bigint")
-    return (joined.withColumn("_rate", rate).withColumn("_copies", F.floor("_rate") + extra)
-            .select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
-                    F.col("_target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"),
-                    (F.col("_size") * F.col("_copies")).alias("taken")))
+    sized = cut(docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"),
+                            _size(text).alias("_size")))
+    rates = source_rates(sized, weights, cap)
+    joined = sized.join(rates, F.col("_source").eqNullSafe(F.col("_named"))).withColumn("_copies", _copies("_key", seed))
+    return joined.select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
+                         F.col("_target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"),
+                         (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
-def copies_of(docs: DataFrame, **options) -> DataFrame:
+def copies_of(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
+              weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus itself: the documents' columns and ``copy`` (from 0), one row per copy taken.
 
-    Ids must be unique here: the copies are joined to the texts by id. A null id is taken like any other.
+    A document without words is copied at its source's rate too. A ``copy`` column gets a trailing underscore if there is
+    one already.
     """
-    key = options.get("key", "doc_id")
-    counts = mix(docs, **options).filter("copies > 0").select(F.col(key).alias("_id"), "copies")
-    joined = docs.join(counts, docs[key].eqNullSafe(counts["_id"]))
-    return joined.select(*[docs[c] for c in docs.columns],
-                         F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))
+    rates = source_rates(docs.select(F.col(source).cast("string").alias("_source"), _size(text).alias("_size")), weights, cap)
+    joined = docs.join(rates, docs[source].cast("string").eqNullSafe(rates["_named"])).withColumn("_copies", _copies(key, seed))
+    return joined.filter("_copies > 0").select(
+        *[docs[c] for c in docs.columns],
+        F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias(fresh(docs.columns, "copy")))
