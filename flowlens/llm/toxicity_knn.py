@@ -23,7 +23,7 @@ from flowlens.llm.tokens import LETTER, words_of
 
 #: Bounds of the labelled sample and of the terms kept.
 FIT_ROWS = 12_000
-TERMS = 2_000
+TERMS = 512
 MIN_ROWS = 4
 #: Lengths, in bytes, of the word beginnings that are terms of their own.
 PREFIXES = (4, 6)
@@ -69,50 +69,43 @@ def term_counts(texts: pa.Array, vocabulary: np.ndarray):
 
 
 class BlockMaxIndex:
-    """Labelled vectors in blocks; per term the postings by block and the largest weight in each block."""
+    """Labelled vectors in blocks of ``BLOCK``: per block and term the postings, and the largest weight among them."""
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, width: int):
-        """``rows`` index ``labels``; vectors have length 1. Rows are renumbered so that alike vectors share a block."""
-        self.labels, self.width = labels, width
+        """``rows`` index ``labels``; vectors have length 1. Rows are placed so that alike vectors share a block."""
+        self.labels = labels
         n = len(labels)
         heaviest = np.full(n, width)
         by_weight = np.lexsort((weights, rows))
         heaviest[rows[by_weight]] = terms[by_weight]
-        order = np.lexsort((np.arange(n), labels, heaviest))
+        self.rows = np.lexsort((np.arange(n), labels, heaviest))
         place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.rows = order
-        place = place[rows]
-        by_term = np.lexsort((place, terms))
-        self.post_row, self.post_weight = place[by_term], weights[by_term]
-        self.blocks = -(-n // BLOCK)
-        block = self.post_row // BLOCK
-        cell = terms[by_term] * self.blocks + block
-        self.cell_start = np.searchsorted(cell, np.arange(width * self.blocks + 1))
-        self.block_max = np.zeros(width * self.blocks)
-        np.maximum.at(self.block_max, cell, self.post_weight)
-        self.block_max = self.block_max.reshape(width, self.blocks)
+        place[self.rows] = np.arange(n)
+        blocks = -(-n // BLOCK)
+        #: Postings by block and term; a block's lists are short, so they are kept as rows of BLOCK weights.
+        self.postings = np.zeros((blocks, width, BLOCK), np.float32)
+        self.postings[place[rows] // BLOCK, terms, place[rows] % BLOCK] = weights
+        self.block_max = np.ascontiguousarray(self.postings.max(2).T) if n else np.zeros((width, 0), np.float32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and cosines of the ``k`` nearest rows with a cosine over 0; ties go to the smaller row number."""
+        weights = weights.astype(np.float32)
         bound = weights @ self.block_max[terms]
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < best[k - 1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for term, weight in zip(terms, weights, strict=True):
-                cell = term * self.blocks + block
-                low, high = self.cell_start[cell], self.cell_start[cell + 1]
-                score[self.post_row[low:high] - block * BLOCK] += weight * self.post_weight[low:high]
-            hit = np.flatnonzero(score > 0)
-            rows, scores = self.rows[block * BLOCK + hit], score[hit]
-            if own >= 0:
-                rows, scores = rows[rows != own], scores[rows != own]
-            rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, scores])
-            order = np.lexsort((rows, -scores.round(12)))[:k]
-            best_rows, best = rows[order], scores[order]
-        return best_rows, best
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
+        step = 2
+        while len(order) and (len(cosines) < k or bound[order[0]] >= cosines[k - 1] - 1e-5):
+            now, order, step = order[:step], order[step:], step * 2
+            score = np.einsum("t,btr->br", weights, self.postings[now[:, None], terms[None, :]])
+            block, spot = np.nonzero(score > 0)
+            more = self.rows[now[block] * BLOCK + spot]
+            values = score[block, spot].astype(float).round(6)
+            keep = more != own
+            rows, cosines = np.concatenate([rows, more[keep]]), np.concatenate([cosines, values[keep]])
+            best = np.lexsort((rows, -cosines))[:k]
+            rows, cosines = rows[best], cosines[best]
+        return rows, cosines
 
 
 def pooled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
