@@ -16,20 +16,16 @@ from flowlens.schemas import ENTRY_TYPES, GENESIS_HASH
 TECHNIQUES = {
     "flood": (
         "T1498", "Network Denial of Service", "Impact",
-        "Degrading or blocking availability by exhausting the network bandwidth a service relies on, typically "
-        "via a high volume of traffic directed at one target from one or few sources."),
+        "So much traffic reaches one target that its link is full and regular users are shut out."),
     "port_scan": (
         "T1046", "Network Service Discovery", "Discovery",
-        "Enumerating services running on remote hosts, typically via port or vulnerability scanning, to map "
-        "which systems and services are reachable before deciding where to act next."),
+        "Many ports or hosts are tried in turn to learn which of them answer."),
     "lateral_movement": (
         "T1021", "Remote Services", "Lateral Movement",
-        "Using valid accounts to log into a service accessible over the network to move between hosts already "
-        "inside the environment, extending an initial foothold host by host."),
+        "A host inside the network signs in to its neighbours, one after another."),
     "decoy_interaction": (
         "T1110", "Brute Force", "Credential Access",
-        "Systematically guessing credentials to gain access to an account or service — here, credentials "
-        "attempted against a service on a port no legitimate user was ever told about."),
+        "Logins are attempted on a decoy, which nobody has a reason to use."),
 }
 
 
@@ -158,17 +154,15 @@ def narratives(verdicts: DataFrame) -> DataFrame:
     """Adds the technique and an offline incident note to each verdict."""
     known = verdicts.join(F.broadcast(techniques(verdicts.sparkSession)), "label", "left")
     share = F.concat(F.bround(F.col("confidence") * 100).cast("bigint").cast("string"), F.lit("%"))
-    opening = F.concat(F.lit("Window "), F.col("window_id"), F.lit(": the "), F.col("tier"), F.lit(" tier "))
-    quoted = F.concat(F.lit("'"), F.col("label"), F.lit("' at "), share, F.lit(" confidence"))
+    opening = F.concat(F.lit("["), F.col("window_id"), F.lit("] "), F.col("label"), F.lit(" by "), F.col("tier"),
+                       F.lit(" ("), share, F.lit(" sure)"))
     hosts, links = F.size("node_ids"), F.size("edge_ids")
     evidence = F.when((hosts > 0) | (links > 0), F.concat(
-        F.lit("Evidence: "), hosts.cast("string"), F.lit(" host(s), "), links.cast("string"), F.lit(" flow(s)."))
-    ).otherwise(F.lit("Evidence: direct signal, no graph attribution required for this tier."))
-    plain = F.concat(opening, F.lit("reported "), quoted,
-                     F.lit(". No specific technique is attributed at this confidence level."))
-    full = F.concat(opening, F.lit("flagged "), quoted, F.lit(", matching MITRE ATT&CK "), F.col("technique_id"),
-                    F.lit(" ("), F.col("technique"), F.lit(", "), F.col("tactic"), F.lit("). "), F.col("summary"),
-                    F.lit(" "), evidence)
+        F.lit("Seen on "), links.cast("string"), F.lit(" edge(s) between "), hosts.cast("string"), F.lit(" node(s)."))
+    ).otherwise(F.lit("Seen in the flow itself."))
+    plain = F.concat(opening, F.lit(". No technique."))
+    full = F.concat(opening, F.lit(". "), F.col("technique_id"), F.lit(" "), F.col("technique"), F.lit(" / "), F.col("tactic"),
+                    F.lit(". "), F.col("summary"), F.lit(" "), evidence)
     return known.withColumn("narrative", F.when(F.col("technique_id").isNull(), plain).otherwise(full)).drop("summary")
 
 

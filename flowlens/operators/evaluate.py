@@ -212,11 +212,12 @@ def temperature_grid(rows: DataFrame, logit: str, y: str, temperatures: Sequence
 def fit_temperature(rows: DataFrame, logit: str, y: str, low: float = 0.05, high: float = 10.0,
                     steps: int = 24, rounds: int = 4) -> float:
     """T in [low, high] with the smallest loss: a grid that narrows around its best point."""
+    least, most = low, high
     for _ in range(rounds):
         grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
         best = temperature_grid(rows, logit, y, grid).orderBy("nll", "temperature").first()["temperature"]
         width = (high - low) / (steps - 1)
-        low, high = max(0.05, best - width), min(10.0, best + width)
+        low, high = max(least, best - width), min(most, best + width)
     return best
 
 

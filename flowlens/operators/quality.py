@@ -14,7 +14,7 @@ def vector_key(columns: Sequence[str], exact: bool = True) -> Column:
     return F.sha2(joined, 256) if exact else F.crc32(joined)
 
 
-def map_key(features: str = "features") -> Column:
+def map_key(features: str | Column = "features") -> Column:
     """Key of a feature map, independent of its entry order."""
     entries = F.array_sort(F.map_entries(features))
     return F.sha2(F.concat_ws("\u001f", F.transform(

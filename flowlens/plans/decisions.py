@@ -61,12 +61,12 @@ def decided(spark, sf):
     return decide.policy(flagged(spark, sf)).withColumn("reason", F.try_element_at("reason_codes", F.lit(1)))
 
 
-@query("label_bands", f"""with {FLOW}, p as (select seq, value / 60 as p from flow where value <= 60),
+@query("label_bands", f"""with {FLOW}, p as (select seq, least(value / 60, 1.0::double) as p from flow),
 q as (select seq, case when p >= 0.5 then 'flood' else 'benign' end as raw, case when p >= 0.5 then p else 1 - p end as confidence from p)
 select seq, case when raw = 'flood' and confidence >= 0.5 and confidence < 0.85 then 'uncertain' else raw end as label,
  round(confidence, 6) as confidence, 'bouncer' as tier from q""")
 def label_bands(spark, sf):
-    f = flow(spark, sf).filter("value <= 60").select("seq", (F.col("value") / 60).alias("p_flood"))
+    f = flow(spark, sf).select("seq", F.least(F.col("value") / 60, F.lit(1.0)).alias("p_flood"))
     return rounded(decide.fast_verdicts(f).select("seq", "label", "confidence", "tier"), "confidence")
 
 
@@ -175,11 +175,11 @@ def active_blocks(spark, sf):
 
 @query("corrections_applied", f"""with {PLAIN}, co as (select 'c' || seq as correction_id, '10.0.0.' || (src % 50) as target, ts_us, seq,
  port % 2 = 0 as fp from flow where dst = 'purchase'),
-x as (select co.*, (select arg_max('d' || d.seq, (d.ts_us, d.seq)) from d where d.target = co.target and d.action = 'block' and d.ts_us <= co.ts_us) as last_decision from co)
+x as (select co.*, (select arg_max('d' || d.seq, (d.ts_us, d.seq)) from d where d.target = co.target and d.action is not null and d.ts_us <= co.ts_us) as last_decision from co)
 select correction_id, target, last_decision, case when fp then 'false_positive' else 'true_positive' end as verdict_was,
  case when last_decision is null then 'no_decision_for_target' end as error from x""")
 def corrections_applied(spark, sf):
-    made = decided(spark, sf).filter("action = 'block'").withColumn("decision_id", F.concat(F.lit("d"), "seq"))
+    made = decided(spark, sf).filter("action is not null").withColumn("decision_id", F.concat(F.lit("d"), "seq"))
     asked = flow(spark, sf).filter("dst = 'purchase'").select(
         F.concat(F.lit("c"), "seq").alias("correction_id"),
         F.concat(F.lit("10.0.0."), F.pmod("src", F.lit(50)).cast("string")).alias("target"), "ts_us", "seq",
@@ -266,14 +266,12 @@ def audit_type_counts(spark, sf):
 
 _names = " ".join(f"when '{k}' then '{v[0]}'" for k, v in audit.TECHNIQUES.items())
 _quote = lambda s: s.replace("'", "''")
-_full = " ".join(
-    f"when '{k}' then ', matching MITRE ATT&CK {v[0]} ({v[1]}, {v[2]}). {_quote(v[3])} '" for k, v in audit.TECHNIQUES.items())
+_full = " ".join(f"when '{k}' then '. {v[0]} {v[1]} / {v[2]}. {_quote(v[3])} '" for k, v in audit.TECHNIQUES.items())
 NOTES = f"""n as (select seq, verdict_id, label, case label {_names} end as technique_id,
- 'Window ' || window_id || ': the ' || tier || ' tier ' || case when label in ('benign', 'uncertain') then 'reported ' else 'flagged ' end
- || '''' || label || ''' at ' || cast(round_even(confidence * 100, 0) as bigint) || '% confidence'
- || case when label in ('benign', 'uncertain') then '. No specific technique is attributed at this confidence level.'
-    else case label {_full} end || case when tier = 'detective' then 'Evidence: 2 host(s), 1 flow(s).'
-    else 'Evidence: direct signal, no graph attribution required for this tier.' end end as narrative from d)"""
+ '[' || window_id || '] ' || label || ' by ' || tier || ' (' || cast(round_even(confidence * 100, 0) as bigint) || '% sure)'
+ || case when label in ('benign', 'uncertain') then '. No technique.'
+    else case label {_full} end || case when tier = 'detective' then 'Seen on 1 edge(s) between 2 node(s).'
+    else 'Seen in the flow itself.' end end as narrative from d)"""
 
 
 def explained(spark, sf):

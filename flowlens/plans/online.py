@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +11,14 @@ from flowlens.operators import graph, models, windows
 from flowlens.operators.trailing import FEATURES
 from flowlens.plans.detection import ANCHORED, hourly
 from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, ORACLES, flow, query, table
-from flowlens.session import cut_lineage
+from flowlens.session import cut_lineage, shared_folder
 from flowlens.sources.streams import file_events
 from flowlens.streaming import lanes
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared scratch space (a local one only where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{spark.range(1).select(F.uuid().alias('u')).first()['u']}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the cluster's shared scratch space."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:

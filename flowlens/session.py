@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,33 @@ def session(app: str = "flowlens", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``; under a local master a scratch folder will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once per application, so that it need not lie on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_flowlens_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{package.name}", "zip",
+                                  package.parent, package.name)
+    context.addPyFile(archive)
+    context._flowlens_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (a scratch folder only when none is set)."""
+    """Reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -109,5 +109,5 @@ def read_zip_csv(spark: SparkSession, archives: Sequence[str], required: Sequenc
         scans.append(lines.select(parsed.alias("r"), "file", "position").select(
             *[F.col(f"r.c{i}").alias(n) for i, n in enumerate(header)], "file", "position"))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    pairs = [F.lit(x) for item in ranks.items() for x in item]
-    return union.withColumn("file_rank", F.try_element_at(F.create_map(*pairs), F.col("file")))
+    order = spark.createDataFrame(list(ranks.items()), "file string, file_rank int")
+    return union.join(order, "file", "left").select(*union.columns, "file_rank")

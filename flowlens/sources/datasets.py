@@ -20,12 +20,13 @@ from flowlens.sources import archives, files
 
 # Column lists and file names of the releases.
 KDD_COLUMNS = (
-    "duration protocol_type service flag src_bytes dst_bytes land wrong_fragment urgent hot num_failed_logins logged_in "
-    "num_compromised root_shell su_attempted num_root num_file_creations num_shells num_access_files num_outbound_cmds "
-    "is_host_login is_guest_login count srv_count serror_rate srv_serror_rate rerror_rate srv_rerror_rate same_srv_rate "
-    "diff_srv_rate srv_diff_host_rate dst_host_count dst_host_srv_count dst_host_same_srv_rate dst_host_diff_srv_rate "
-    "dst_host_same_src_port_rate dst_host_srv_diff_host_rate dst_host_serror_rate dst_host_srv_serror_rate "
-    "dst_host_rerror_rate dst_host_srv_rerror_rate label difficulty").split()
+    "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "land", "wrong_fragment", "urgent", "hot",
+    "num_failed_logins", "logged_in", "num_compromised", "root_shell", "su_attempted", "num_root", "num_file_creations",
+    "num_shells", "num_access_files", "num_outbound_cmds", "is_host_login", "is_guest_login", "count", "srv_count",
+    "serror_rate", "srv_serror_rate", "rerror_rate", "srv_rerror_rate", "same_srv_rate", "diff_srv_rate",
+    "srv_diff_host_rate", "dst_host_count", "dst_host_srv_count", "dst_host_same_srv_rate", "dst_host_diff_srv_rate",
+    "dst_host_same_src_port_rate", "dst_host_srv_diff_host_rate", "dst_host_serror_rate", "dst_host_srv_serror_rate",
+    "dst_host_rerror_rate", "dst_host_srv_rerror_rate", "label", "difficulty")
 DNS_FEATURES = ("FQDN_count", "subdomain_length", "upper", "lower", "numeric", "entropy", "special", "labels", "labels_max",
                 "labels_average", "longest_word", "sld", "len", "subdomain")
 DNS_TEXT = ("sld", "longest_word")
@@ -52,13 +53,16 @@ def features_of(raw: DataFrame, *excluded: str) -> list[str]:
     return [c for c in raw.columns if c not in skip and not c.startswith("_")]
 
 
-def flow_shape(raw: DataFrame, reject: Column, **columns: Column) -> DataFrame:
-    """Selects the shared columns in order; what a dataset lacks gets its default."""
+def flow_shape(raw: DataFrame, reject: Column, key: Column, **columns: Column) -> DataFrame:
+    """Selects the shared columns in order; what a dataset lacks gets its default.
+
+    ``key`` identifies the feature vector by the release's own features. It costs nothing where no guard reads it.
+    """
     default = {"source_port": F.lit(None), "difficulty": F.lit(0), "origin": F.lit("real"),
                "label": L.verdict_label(columns["category"])}
     out = [({**default, **columns})[f.name].cast(f.dataType).alias(f.name) for f in FLOW_ROW.fields]
     ts = F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp")
-    return raw.select(*out, ts.alias("ts"), "file", "file_rank", "position", reject.alias("reject_reason"))
+    return raw.select(*out, ts.alias("ts"), "file", "file_rank", "position", reject.alias("reject_reason"), key.alias("_key"))
 
 
 def unmapped(raw_label: Column, category: Column) -> Column:
@@ -73,12 +77,18 @@ def kdd(raw: DataFrame, with_features: bool) -> DataFrame:
     category = L.category_kdd(F.col("label"))
     source, dest = V.kdd_hosts(category, F.col("protocol_type"), F.col("service"), F.col("flag"),
                                V.int_or_null(F.col("dst_host_count")), F.col("position"))
+    columns = list(KDD_COLUMNS[:41])
     return flow_shape(
-        raw, F.lit(None).cast("string"), source_ip=source, dest_ip=dest,
+        raw, F.lit(None).cast("string"), quality.vector_key(columns), source_ip=source, dest_ip=dest,
         dest_port=L.lookup(F.col("service"), V.KDD_SERVICE_PORT), protocol=V.protocol_by_name(F.col("protocol_type")),
         total_bytes=V.truncate(number("src_bytes")) + V.truncate(number("dst_bytes")),
         duration_ms=V.truncate(number("duration")) * 1000, raw_label=F.col("label"), category=category,
-        difficulty=V.int_or_null(F.col("difficulty")), features=features(list(KDD_COLUMNS[:41]), with_features))
+        difficulty=V.int_or_null(F.col("difficulty")), features=features(columns, with_features))
+
+
+def number_key(columns: list[str], zero: bool = False) -> Column:
+    """Key of the numeric feature map of these columns."""
+    return quality.map_key(features(columns, True, zero))
 
 
 def features(columns: list[str], with_features: bool, zero: bool = False) -> Column:
@@ -90,25 +100,27 @@ def features(columns: list[str], with_features: bool, zero: bool = False) -> Col
 def ids2017(raw: DataFrame, with_features: bool) -> DataFrame:
     label = files.utf8_or_latin(F.col("Label"))
     category = L.category_2017(label)
+    columns = features_of(raw, "Source IP", "Destination IP", "Label")
     return flow_shape(
-        raw, unmapped(label, category), source_ip=F.trim("Source IP"), dest_ip=F.trim("Destination IP"),
+        raw, unmapped(label, category), number_key(columns), source_ip=F.trim("Source IP"), dest_ip=F.trim("Destination IP"),
         source_port=V.int_or_null(F.col("Source Port")), dest_port=V.int_or_null(F.col("Destination Port")),
         protocol=V.protocol_by_number(number("Protocol")),
         total_bytes=V.at_least_zero(V.truncate(number("Total Length of Fwd Packets") + number("Total Length of Bwd Packets"))),
         duration_ms=V.at_least_zero(V.truncate(number("Flow Duration") / 1000.0)), raw_label=F.trim(label), category=category,
-        features=features(features_of(raw, "Source IP", "Destination IP", "Label"), with_features))
+        features=features(columns, with_features))
 
 
 def nb15(raw: DataFrame, with_features: bool) -> DataFrame:
     category = L.category_nb15(F.col("attack_cat"))
     source, dest = V.nb15_hosts(category, F.col("proto"), F.col("service"), F.col("state"),
                                 V.int_or_null(F.col("ct_srv_src")), F.col("position"))
+    columns = features_of(raw, "id", "attack_cat", "label")
     return flow_shape(
-        raw, unmapped(F.col("attack_cat"), category), source_ip=source, dest_ip=dest,
+        raw, unmapped(F.col("attack_cat"), category), quality.vector_key(columns), source_ip=source, dest_ip=dest,
         dest_port=L.lookup(F.col("service"), V.NB15_SERVICE_PORT), protocol=V.protocol_by_name(F.col("proto")),
         total_bytes=V.at_least_zero(V.truncate(number("sbytes") + number("dbytes"))),
         duration_ms=V.at_least_zero(V.truncate(number("dur") * 1000.0)), raw_label=F.trim("attack_cat"), category=category,
-        features=features(features_of(raw, "id", "attack_cat", "label"), with_features))
+        features=features(columns, with_features))
 
 
 def doh(raw: DataFrame, with_features: bool) -> DataFrame:
@@ -124,13 +136,14 @@ def doh(raw: DataFrame, with_features: bool) -> DataFrame:
     reject = F.when(category.isNull(), "unresolved_file").when(
         ~(has(F.col("SourceIP")) & has(F.col("DestinationIP"))), "missing_endpoint")
     source_port, dest_port = V.int_or_null(F.col("SourcePort")), V.int_or_null(F.col("DestinationPort"))
+    columns = features_of(raw, "Label", "DoH", "SourceIP", "DestinationIP", "TimeStamp")
     return flow_shape(
-        raw, reject, source_ip=F.trim("SourceIP"), dest_ip=F.trim("DestinationIP"), source_port=source_port, dest_port=dest_port,
+        raw, reject, number_key(columns), source_ip=F.trim("SourceIP"), dest_ip=F.trim("DestinationIP"), source_port=source_port, dest_port=dest_port,
         protocol=V.protocol_by_port(dest_port, source_port),
         total_bytes=V.at_least_zero(F.bround(number("FlowBytesSent") + number("FlowBytesReceived")).cast("bigint")),
         duration_ms=V.at_least_zero(F.bround(number("Duration") * 1000.0).cast("bigint")),
         raw_label=files.stem(name), category=category,
-        features=features(features_of(raw, "Label", "DoH", "SourceIP", "DestinationIP", "TimeStamp"), with_features))
+        features=features(columns, with_features))
 
 
 def dns(raw: DataFrame, with_features: bool) -> DataFrame:
@@ -139,13 +152,12 @@ def dns(raw: DataFrame, with_features: bool) -> DataFrame:
     category = L.path_class(sources, L.DNS_CATEGORY)
     raw = raw.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
     kept = [c for c in DNS_FEATURES if c in raw.columns]
-    shaped = flow_shape(
-        raw.withColumn("_key", quality.vector_key(kept)), F.when(category.isNull(), "unresolved_class"),
+    return flow_shape(
+        raw, F.when(category.isNull(), "unresolved_class"), quality.vector_key(kept),
         source_ip=F.lit(MONITORED_DNS), dest_ip=V.hashed_host("10.40", F.coalesce(F.trim("sld"), F.lit("nan"))),
         dest_port=F.lit(53), protocol=F.lit("udp"), total_bytes=V.dns_bytes(F.col("len")), duration_ms=F.lit(0),
         raw_label=F.concat(folder, F.lit("/"), name), category=category,
         features=features([c for c in kept if c not in DNS_TEXT], with_features))
-    return shaped
 
 
 def ids2018(raw: DataFrame, with_features: bool) -> DataFrame:
@@ -153,12 +165,13 @@ def ids2018(raw: DataFrame, with_features: bool) -> DataFrame:
     category = L.category_2018(F.col("Label"))
     port = V.int_or_null(F.col("Dst Port"))
     reject = F.when(L.is_header_row(F.col("Label")), "header_row").otherwise(unmapped(F.col("Label"), category))
+    columns = features_of(raw, *IDS2018_EXCLUDED)
     return flow_shape(
-        raw, reject, source_ip=F.lit(MONITORED_2018), dest_ip=V.port_host("10.60", port), dest_port=port,
+        raw, reject, number_key(columns, zero=True), source_ip=F.lit(MONITORED_2018), dest_ip=V.port_host("10.60", port), dest_port=port,
         protocol=V.protocol_by_number(number("Protocol")),
         total_bytes=V.at_least_zero(V.truncate(number("TotLen Fwd Pkts") + number("TotLen Bwd Pkts"))),
         duration_ms=V.at_least_zero(V.truncate(number("Flow Duration") / 1000.0)), raw_label=F.trim("Label"), category=category,
-        features=features(features_of(raw, *IDS2018_EXCLUDED), with_features, zero=True))
+        features=features(columns, with_features, zero=True))
 
 
 def ddos2019(raw: DataFrame, with_features: bool) -> DataFrame:
@@ -169,13 +182,14 @@ def ddos2019(raw: DataFrame, with_features: bool) -> DataFrame:
               .when(category.isNull(), unmapped(F.col("Label"), category))
               .when(~(has(F.col("Source IP")) & has(F.col("Destination IP"))), "missing_endpoint"))
     port = V.int_or_null(F.col("Source Port"))
+    columns = features_of(raw, *DDOS2019_EXCLUDED)
     return flow_shape(
-        raw, reject, source_ip=F.trim("Source IP"), dest_ip=F.trim("Destination IP"),
+        raw, reject, number_key(columns, zero=True), source_ip=F.trim("Source IP"), dest_ip=F.trim("Destination IP"),
         source_port=F.when(port.between(0, 65535), port), dest_port=V.int_or_null(F.col("Destination Port")),
         protocol=V.protocol_by_number(number("Protocol")),
         total_bytes=V.at_least_zero(V.truncate(number("Total Length of Fwd Packets") + number("Total Length of Bwd Packets"))),
         duration_ms=V.at_least_zero(V.truncate(number("Flow Duration") / 1000.0)), raw_label=F.trim("Label"), category=category,
-        features=features(features_of(raw, *DDOS2019_EXCLUDED), with_features, zero=True))
+        features=features(columns, with_features, zero=True))
 
 
 @dataclass(frozen=True)
@@ -192,6 +206,8 @@ class Dataset:
     only: tuple[str, ...] = ()
     patterns: tuple[str, ...] = ("*.csv",)
     zipped: bool = field(default=False)
+    #: Are vectors of several classes and copies refused unless the caller says otherwise?
+    guarded: bool = False
 
 
 DATASETS = {
@@ -200,7 +216,7 @@ DATASETS = {
     "nb15": Dataset(nb15, required=("attack_cat",), first=("training",),
                     only=("UNSW_NB15_training-set.csv", "UNSW_NB15_testing-set.csv")),
     "doh2020": Dataset(doh, first=tuple(f.lower() for f in DOH_FILES)),
-    "dnsexf2021": Dataset(dns, folders=DNS_FOLDERS),
+    "dnsexf2021": Dataset(dns, folders=DNS_FOLDERS, guarded=True),
     "ids2018": Dataset(ids2018, required=IDS2018_REQUIRED, budget="stride"),
     "ddos2019": Dataset(ddos2019, required=DDOS2019_REQUIRED, budget="stride", zipped=True),
 }
@@ -247,6 +263,25 @@ def read_raw(spark: SparkSession, dataset: str, path: str) -> DataFrame:
     return files.read_csv(spark, found, spec.required, spec.names, spec.encoding)
 
 
+def refuse_ambiguous(rows: DataFrame) -> DataFrame:
+    """Marks accepted rows whose vector (``_key``) occurs with several classes."""
+    fine = F.col("reject_reason").isNull()
+    several = quality.ambiguous_vectors(rows.filter(fine), "_key").select("_key", F.lit(True).alias("_several"))
+    marked = rows.join(several, "_key", "left")
+    return marked.withColumn("reject_reason", F.when(fine & F.col("_several"), "ambiguous_vector").otherwise(
+        F.col("reject_reason"))).select(rows.columns)
+
+
+def refuse_copies(rows: DataFrame) -> DataFrame:
+    """Marks accepted rows whose vector (``_key``) an earlier row has: by file, then by time, then by position."""
+    fine = F.col("reject_reason").isNull()
+    order = F.struct("file_rank", F.col("ts").isNull().alias("late"), "ts", "position", "file")
+    first = rows.filter(fine).groupBy("_key").agg(F.min(order).alias("_first"))
+    marked = rows.join(first, "_key", "left")
+    return marked.withColumn("reject_reason", F.when(fine & (order != F.col("_first")), "duplicate_vector").otherwise(
+        F.col("reject_reason"))).select(rows.columns)
+
+
 def read_flows(
     spark: SparkSession,
     dataset: str,
@@ -255,23 +290,22 @@ def read_flows(
     sample_per_file: int | None = None,
     stride: int | None = None,
     with_features: bool = True,
-    drop_ambiguous: bool = False,
-    dedupe: bool = False,
+    drop_ambiguous: bool | None = None,
+    dedupe: bool | None = None,
 ) -> DataFrame:
-    """Flow rows of a release, refused rows included (see ``reject_reason``)."""
+    """Flow rows of a release, refused rows included (see ``reject_reason``).
+
+    ``drop_ambiguous`` refuses rows whose feature vector occurs with several classes, ``dedupe`` all but the first of equal
+    vectors. Vectors are made of the release's own features; by default both hold for the DNS release only.
+    """
     spec = DATASETS[dataset]
     raw = sample_rows(read_raw(spark, dataset, path), spec, sample_per_file, stride)
     rows = spec.project(raw, with_features)
-    if drop_ambiguous or dedupe:
-        keyed = raw.select("file", "position", quality.vector_key([c for c in DNS_FEATURES if c in raw.columns]).alias("_key"))
-        rows = rows.join(keyed, ["file", "position"])
-        good, bad = rows.filter(F.col("reject_reason").isNull()), rows.filter(F.col("reject_reason").isNotNull())
-        if drop_ambiguous:
-            good = quality.drop_ambiguous(good, "_key", "category")
-        if dedupe:
-            good = good.withColumn("_order", F.struct("file_rank", F.col("ts").isNull(), "ts", "position"))
-            good = quality.dedupe_first(good, "_key", "_order").drop("_order")
-        rows = good.unionByName(bad).drop("_key")
+    if spec.guarded if drop_ambiguous is None else drop_ambiguous:
+        rows = refuse_ambiguous(rows)
+    if spec.guarded if dedupe is None else dedupe:
+        rows = refuse_copies(rows)
+    rows = rows.drop("_key")
     if limit:
         rows = rows.filter(F.col("reject_reason").isNull()).orderBy("file_rank", "position").limit(limit)
     return rows

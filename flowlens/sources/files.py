@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import fnmatch
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Headers opened at a time; each is one short read without a job.
+HEADER_READERS = 32
+
+
 class HeaderError(ValueError):
     """A file lacks columns its dataset must have."""
 
@@ -109,11 +115,14 @@ def read_csv(
     without a header. The header decides the columns, never the values.
     """
     groups: dict[tuple, list[str]] = {}
-    for path in files:
+    lines: Sequence[str | None] = [None] * len(files)
+    if names is None:
+        with ThreadPoolExecutor(HEADER_READERS) as readers:
+            lines = list(readers.map(lambda p: first_line(spark, p, encoding), files))
+    for path, line in zip(files, lines, strict=True):
         if names is not None:
             header = tuple(names)
         else:
-            line = first_line(spark, path, encoding)
             if line is None:
                 continue
             header = tuple(parse_header(line))
@@ -126,15 +135,15 @@ def read_csv(
         reader = spark.read.schema(string_schema(header)).option("encoding", encoding).option("enforceSchema", True)
         scans.append(_file_columns(reader.csv(paths, header=names is None)))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [with_positions(s) for s in scans])
-    return union.withColumn("file_rank", rank_of(F.col("file"), files))
+    return with_ranks(union, files)
 
 
-def rank_of(path: Column, files: Sequence[str]) -> Column:
-    """Discovery order of a path; names are compared by their last two parts."""
-    tail = lambda p: "/".join(p.rstrip("/").split("/")[-2:])
-    pairs = [F.lit(x) for i, p in enumerate(files) for x in (tail(p), i)]
-    parts = F.split(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "/")
-    return F.try_element_at(F.create_map(*pairs), F.array_join(F.slice(parts, -2, 2), "/"))
+def with_ranks(rows: DataFrame, files: Sequence[str]) -> DataFrame:
+    """Adds ``file_rank``, the discovery order of ``file``; a join on the whole path, so the plan has no list of files."""
+    plain = [(re.sub(r"^(\w+):/+", r"\1:/", p if ":" in p.split("/")[0] else f"file:{p}"), i) for i, p in enumerate(files)]
+    ranks = rows.sparkSession.createDataFrame(plain, "_path string, file_rank int")
+    decoded = F.url_decode(F.regexp_replace(F.col("file"), r"\+", "%2B"))
+    return rows.join(ranks, F.regexp_replace(decoded, r"^(\w+):/+", "$1:/") == F.col("_path"), "left").drop("_path")
 
 
 def file_name(path: Column) -> Column:

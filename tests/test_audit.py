@@ -39,4 +39,4 @@ def test_jobs_use_the_latest_detection_and_drop_unknown(spark):
         [("v1", 1, "w", "bouncer", "uncertain", 0.5, [], []), ("v1", 2, "w", "detective", "port_scan", 0.905, ["a", "b"], ["a->b"])],
         "verdict_id string, seq bigint, window_id string, tier string, label string, confidence double, node_ids array<string>, edge_ids array<string>")
     (row,) = drain_jobs(jobs, seen).collect()
-    assert row.technique_id == "T1046" and "Evidence: 2 host(s), 1 flow(s)." in row.narrative
+    assert row.technique_id == "T1046" and "Seen on 1 edge(s) between 2 node(s)." in row.narrative

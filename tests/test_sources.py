@@ -102,11 +102,12 @@ def test_dns_directory_beats_name_and_ambiguity(spark, tmp_path):
     write(tmp_path / "benign_labeled" / "stateless_features-light_benign.csv", DNS,
           [dns("2021-01-01 00:00:02", "x", 10), dns("2021-01-01 00:00:01", "x", 10), dns("2021-01-01 00:00:03", "shared", 12)])
     write(tmp_path / "heavy_attack_labeled" / "stateless.csv", DNS, [dns("2021-01-01 00:00:05", "shared", 12), dns("bad", "evil", 20)])
-    rows = usable(read_flows(spark, "dnsexf2021", str(tmp_path))).collect()
+    rows = usable(read_flows(spark, "dnsexf2021", str(tmp_path), drop_ambiguous=False, dedupe=False)).collect()
     assert sorted(r.category for r in rows) == ["lateral_movement"] * 2 + ["normal"] * 3
     assert rows[0].source_ip == "10.30.0.1" and rows[0].total_bytes - 44 in (10, 12, 20) and "sld" not in rows[0].features
-    kept = usable(read_flows(spark, "dnsexf2021", str(tmp_path), drop_ambiguous=True, dedupe=True)).collect()
-    assert sorted((r.category, r.position) for r in kept) == [("lateral_movement", 1), ("normal", 1)]
+    guarded = read_flows(spark, "dnsexf2021", str(tmp_path))
+    assert sorted((r.category, r.position) for r in usable(guarded).collect()) == [("lateral_movement", 1), ("normal", 1)]
+    assert {(r.reject_reason, r.n) for r in drop_counts(guarded).collect()} == {("ambiguous_vector", 2), ("duplicate_vector", 1)}
 
 
 IDS18 = ["Dst Port", "Protocol", "Timestamp", "Flow Duration", "TotLen Fwd Pkts", "TotLen Bwd Pkts", "Flow Byts/s", "Label"]
@@ -134,6 +135,38 @@ def test_ids2018_clock_headers_and_budget(spark, tmp_path):
         read_flows(spark, "ids2018", str(tmp_path / "nothing"))
 
 
+def reasons(rows):
+    return {r.reject_reason: r.n for r in drop_counts(rows).collect()}
+
+
+def test_guards_use_the_features_of_the_release(spark, tmp_path):
+    """Every release: equal vectors are refused after the first, vectors of two classes altogether, the rest stays."""
+    both = {"drop_ambiguous": True, "dedupe": True}
+    rows = [[443, 6, "16/02/2018 08:00:00", us, 10, 5, 1.5, lab] for us, lab in
+            [(1, "Benign"), (1, "Benign"), (2, "Benign"), (3, "DoS attacks-Hulk"), (3, "Benign"), (4, "Label")]]
+    path = write(tmp_path / "a" / "Friday-16-02-2018.csv", IDS18, rows)
+    kept = usable(read_flows(spark, "ids2018", path, **both)).collect()
+    assert sorted(r.position for r in kept) == [0, 2]
+    assert reasons(read_flows(spark, "ids2018", path, **both)) == {"ambiguous_vector": 2, "duplicate_vector": 1, "header_row": 1}
+    assert sorted(r.position for r in usable(read_flows(spark, "ids2018", path, dedupe=True)).collect()) == [0, 2, 3]
+    path = write(tmp_path / "b" / "KDDTrain.txt", None, [kdd_row("neptune"), kdd_row("neptune"), kdd_row("normal", count=3), kdd_row("normal", "ftp")])
+    assert sorted(r.position for r in usable(read_flows(spark, "nsl_kdd", path, **both)).filter("category is not null").collect()) == [0, 2, 3]
+    path = write(tmp_path / "c" / "Monday-WorkingHours.csv", IDS17, [ids17("BENIGN"), ids17("BENIGN", "2"), ids17("DDoS", "2"), ids17("BENIGN")])
+    assert [r.position for r in usable(read_flows(spark, "ids2017", path, **both)).collect()] == [0]
+    path = tmp_path / "day.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("a.csv", "\n".join(",".join(map(str, r)) for r in [DDOS, ddos("Syn"), ddos("Syn"), ddos("BENIGN", port=5)]) + "\n")
+    assert reasons(read_flows(spark, "ddos2019", str(path), **both)) == {"ambiguous_vector": 3}
+    assert reasons(read_flows(spark, "ddos2019", str(path), dedupe=True)) == {"duplicate_vector": 2}
+
+
+def test_equal_path_tails_keep_their_own_rank(spark, tmp_path):
+    for day in ("day1", "day2"):
+        write(tmp_path / day / "part" / "a.csv", IDS17, [ids17("BENIGN", day[-1])])
+    rows = read_flows(spark, "ids2017", str(tmp_path)).orderBy("file_rank").collect()
+    assert [(r.file_rank, "day1" in r.file) for r in rows] == [(0, True), (1, False)]
+
+
 DDOS = ["Unnamed: 0", "Flow ID", " Source IP", " Source Port", " Destination IP", " Destination Port", " Protocol", " Timestamp",
         " Flow Duration", "Total Length of Fwd Packets", " Total Length of Bwd Packets", "Flow Bytes/s", "SimillarHTTP", " Inbound", " Label"]
 
