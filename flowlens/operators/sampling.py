@@ -6,14 +6,13 @@ numbered by many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.scan import row_positions
-
-HASH_CELLS = 4096
+from flowlens.operators.scan import cell_count, row_positions
 
 
 def chronological(df: DataFrame, ts: str = "ts_us", seq: str = "seq") -> DataFrame:
@@ -74,9 +73,10 @@ def even_sample(df: DataFrame, order: Sequence[str], target: int, keys: Sequence
 
 
 def hash_rank(df: DataFrame, seed: int, identity: str, keys: Sequence[str], name: str = "hash_rank") -> DataFrame:
-    """0-based rank in the order of ``sha2(seed:id)`` per key; hash prefixes are even cells by nature."""
+    """0-based rank in the order of ``sha2(seed:id)`` per key; hash prefixes are even cells, 16 or more per reducer."""
     hashed = df.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(identity).cast("string")), 256))
-    cell = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    digits = math.ceil(math.log(16 * cell_count(df), 16))
+    cell = F.conv(F.substring("_h", 1, digits), 16, 10).cast("bigint")
     return row_positions(hashed, ["_h"], keys, name, cell=cell).drop("_h")
 
 

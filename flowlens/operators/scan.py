@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CELLS = 512
-
 
 def cell_count(df: DataFrame) -> int:
-    """Cells follow the session's shuffle width, so a hot key spreads over every reducer."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(MAX_CELLS, width))
+    """Cells follow the session's shuffle width without a bound, so a hot key spreads over every reducer."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def split_points(df: DataFrame, value: str | Column, cells: int | None = None) -> list:

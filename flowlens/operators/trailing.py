@@ -16,6 +16,8 @@ FEATURES = (
 )
 ORDER = ("t", "kind", "seq")
 HOT_ROWS = 4_000_000
+#: Units of ``c * log2(c)``: a port may hold 10^8 events of one window before a running total leaves 64 bits.
+UNIT = float(1 << 30)
 
 Totals = Callable[[DataFrame, Sequence[str], Mapping[str, Column]], DataFrame]
 
@@ -42,7 +44,8 @@ def _changes(events: DataFrame, keys: Sequence[str], window_us: int, bucket_us:
 def _sweep(changes: DataFrame, keys: Sequence[str], totals: Totals) -> DataFrame:
     """Running totals over the changes; ``totals`` says how a running total is computed."""
     group, sign = [*keys, "bucket"], F.col("sign")
-    weight = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    # In whole units, so that what an arrival adds its expiry takes away to the last bit.
+    weight = lambda c: F.when(c > 0, F.round(c * F.log2(c.cast("double")) * UNIT).cast("bigint")).otherwise(0)
     has_port = F.col("port").isNotNull()
     keyed = changes.withColumn("_port", F.coalesce(F.col("port").cast("bigint"), F.lit(-1)))
     counted = totals(totals(keyed, [*group, "dst"], {"on_dest": sign}), [*group, "_port"], {"on_port": sign})
@@ -50,7 +53,7 @@ def _sweep(changes: DataFrame, keys: Sequence[str], totals: Totals) -> DataFrame
         "*",
         F.when((sign > 0) & (F.col("on_dest") == 1), 1)
         .when((sign < 0) & (F.col("on_dest") == 0), -1).otherwise(0).alias("d_dests"),
-        F.when(has_port, weight(F.col("on_port")) - weight(F.col("on_port") - sign)).otherwise(F.lit(0.0))
+        F.when(has_port, weight(F.col("on_port")) - weight(F.col("on_port") - sign)).otherwise(0)
         .alias("d_weight"))
     return totals(steps, group, {
         "n": sign, "window_bytes": sign * F.col("bytes"), "window_duration": sign * F.col("duration_ms"),
@@ -106,7 +109,7 @@ def trailing_features(
         swept = _sweep(cold, keys, _within_group).unionByName(spread.drop("_at"))
     n, ports = F.col("n").cast("double"), F.col("ports").cast("double")
     span = F.lit(window_us / MICROS)
-    entropy = F.when(F.col("ports") > 0, F.greatest(F.lit(0.0), F.log2(ports) - F.col("weight") / ports))
+    entropy = F.when(F.col("ports") > 0, F.greatest(F.lit(0.0), F.log2(ports) - F.col("weight") / UNIT / ports))
     return swept.select(
         *keys, "seq", "ts_us", "n",
         (n / span).alias("event_rate"),

@@ -12,10 +12,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.scan import neighbours
+from flowlens.operators.scan import neighbours, running_sums
 from flowlens.schemas import ATTACK_GUARD_SECONDS, MICROS
 
 SEGMENT_WINDOWS = 256
@@ -258,9 +258,8 @@ def merged_intervals(
     chained = neighbours(cells.withColumnRenamed("_cell", "_at"), ["_at"], {"_prev": "_last"}, keys,
                          cell=F.col("_at") - F.pmod("_at", F.lit(reach * 4096)))
     opens = F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") > 2 * guard_us)
-    order = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = chained.withColumn("_island", F.sum(opens.cast("bigint")).over(order))
+    numbered = running_sums(chained, ["_at"], {"_island": opens.cast("bigint")}, keys,
+                            cell=F.col("_at") - F.pmod("_at", F.lit(reach * 4096)))
     return numbered.groupBy(*keys, "_island").agg(
         (F.min("_first") - guard_us).alias("span_start"),
         (F.max("_last") + guard_us).alias("span_end"),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import graph, models, windows
+from flowlens.operators import decide, graph, models, windows
 from flowlens.operators.trailing import FEATURES
 from flowlens.plans.detection import ANCHORED, hourly
 from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, ORACLES, flow, query, table
@@ -99,12 +99,19 @@ def separability_probe(spark, sf):
     return models.separability_probe(labelled, "window_start")
 
 
-@query("fast_lane_model")
+@query("fast_lane_model", f"""with {FLOW} select count(*) as rows, count(*) filter (where dst = 'error') as ones,
+ count(*) as in_range, count(*) as named, true as beats_the_share from flow""")
 def fast_lane_model(spark, sf):
-    """Trains the boosted trees on the trailing features and returns the verdict counts of all events."""
+    """Trains the boosted trees on the trailing features and states what must hold of the scores of all events."""
     from flowlens.operators.trailing import trailing_features
 
     rows = flow(spark, sf).select("*", (F.col("dst") == "error").cast("int").alias("y"))
     features = cut_lineage(trailing_features(rows, DAY, ["src"], bucket_windows=8).join(rows.select("seq", "y"), "seq"))
-    model = models.fit_fast(features, "seq", rounds=5)
-    return model.verdicts(features).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    model = models.fit_fast(features, "seq")
+    scored = cut_lineage(model.score(features).select("y", "p_flood"))
+    share = scored.agg(F.avg("y")).scalar()
+    loss = lambda p: -F.avg(F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))
+    named = decide.fast_verdicts(scored).filter(F.col("label").isin("flood", "benign", "uncertain")).agg(F.count(F.lit(1))).scalar()
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("y").alias("ones"), F.count_if(F.col("p_flood").between(0.0, 1.0)).alias("in_range"),
+        named.alias("named"), (loss(F.greatest(F.least("p_flood", F.lit(1 - 1e-12)), F.lit(1e-12))) < loss(share)).alias("beats_the_share"))
