@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import attention, flows, graph, windows
 from flowlens.operators.evaluate import long_form
+from flowlens.operators.graph import WINDOW_VECTOR
 from flowlens.operators.scan import exact_quantiles
 from flowlens.operators.trailing import FEATURES, trailing_features
 from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, flow, query, rounded, table
@@ -194,32 +195,35 @@ starts(cadence_us, stream, window_start) as (
          (select min(f.ts_us) from flow f where f.stream = s.stream and f.ts_us >= s.window_start + s.cadence_us)
   from starts s where exists (
     select 1 from flow f where f.stream = s.stream and f.ts_us >= s.window_start + s.cadence_us)),
-win as (select s.cadence_us, s.stream, s.window_start, f.src, f.dst, f.bytes
+win as (select s.cadence_us || '/' || s.stream || '/' || s.window_start as wk, f.src, f.dst, f.port, f.bytes, f.duration_ms
         from (select * from flow, widths) f
         asof join starts s on s.cadence_us = f.cadence_us and f.stream = s.stream and f.ts_us >= s.window_start),
-edge as (select cadence_us, stream, window_start, src, dst, sum(bytes) as bytes from win group by all),
-vec as (select cadence_us, stream, window_start, count(*) as n_edges, avg(bytes) as mean_bytes from edge group by all),
+""" + GRAPH_SQL.format(w="wk") + """, vec as (
+ select string_split(e.wk, '/')[1]::bigint as cadence_us, string_split(e.wk, '/')[2]::bigint as stream,
+        string_split(e.wk, '/')[3]::bigint as window_start, e.*, n.* exclude (wk) from
+ (select wk, cast(count(*) as double) as n_edges, avg(duration_mean_ms) as mean_edge_duration_ms, avg(bytes) as mean_edge_bytes,
+         max(port_entropy) as max_port_entropy, avg(flow_count) as mean_flow_count from edges group by wk) e
+ join (select wk, cast(count(*) as double) as n_nodes, cast(max(unique_ports_contacted) as double) as max_unique_ports,
+              max(degree_out) as max_degree_out, max(degree_in) as max_degree_in from nodes group by wk) n on n.wk = e.wk),
 lab as (select v.*, exists (select 1 from spans_m i where i.stream = v.stream
                              and v.window_start between i.span_start and i.span_end) as is_attack from vec v)
-select cadence_us, is_attack, count(*) as n, round(quantile_cont(cast(n_edges as double), 0.5), 6) as median_edges,
-       round(quantile_cont(mean_bytes, 0.5), 6) as median_bytes from lab group by all"""
+select cadence_us, is_attack, count(*) as n, """ + ", ".join(
+    f"round(quantile_cont({c}, 0.5), 6) + 0.0 as median_{c}" for c in WINDOW_VECTOR) + " from lab group by all"
 
 
 @query("cadence_sweep", CADENCE_SQL)
 def cadence_sweep(spark, sf):
+    """Window counts and the medians of all nine statistics, per cadence and class."""
     keys = ["cadence_us", "stream", "window_start"]
-    cut = windows.cadence_windows(flow(spark, sf).select("stream", "ts_us", "src", "dst", "bytes"), CADENCES, ["stream"])
-    edges = cut.groupBy(*keys, "src", "dst").agg(F.sum("bytes").alias("bytes"))
-    vectors = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), F.avg("bytes").alias("mean_bytes"))
+    rows = flow(spark, sf).select("stream", "ts_us", F.col("src").cast("string").alias("src"), "dst", "port", "bytes", "duration_ms")
+    counted = graph.port_counts(windows.cadence_windows(rows, CADENCES, ["stream"]), keys)
     # One small row per window, read several times below.
-    labelled = cut_lineage(windows.label_windows(vectors, attack_spans(spark, sf), ["stream"], DAY))
+    labelled = cut_lineage(windows.label_windows(graph.window_vectors(cut_lineage(counted), keys), attack_spans(spark, sf), ["stream"], DAY))
     by = ["cadence_us", "is_attack"]
-    values = long_form(labelled, ["n_edges", "mean_bytes"], by)
-    medians = exact_quantiles(values, "value", {"median": 0.5}, [*by, "feature"])
-    pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("median")))
-    out = medians.groupBy(*by).agg(F.max("n").alias("n"), pick("n_edges").alias("median_edges"),
-                                   pick("mean_bytes").alias("median_bytes"))
-    return rounded(out, "median_edges", "median_bytes")
+    medians = exact_quantiles(long_form(labelled, list(WINDOW_VECTOR), by), "value", {"median": 0.5}, [*by, "feature"])
+    pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("median"))).alias(f"median_{name}")
+    out = medians.groupBy(*by).agg(F.max("n").alias("n"), *[pick(c) for c in WINDOW_VECTOR])
+    return rounded(out, *[f"median_{c}" for c in WINDOW_VECTOR])
 
 
 @query("attack_intervals", f"with {FLOW}, {INTERVALS} select * from spans_m")
