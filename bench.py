@@ -18,6 +18,7 @@ HEADLINE = (
     "anchored_windows", "cadence_sweep", "attack_intervals", "outside_attack_rows", "flow_assembly",
     "stride_sample", "class_split", "label_quality", "class_medians", "score_stats", "auc", "best_f1_threshold",
     "psi_by_feature", "ks_by_feature", "decision_pipeline", "blocked_asof", "audit_chain_verify", "fast_lane_actions",
+    "read_ids2018", "read_dns_guarded", "stream_trailing_features", "stream_aligned_edges",
 )
 
 
