@@ -67,8 +67,12 @@ def stream_flows(packets: DataFrame, idle_us: int = int(FLOW_IDLE_SECONDS * MICR
 
 
 def stream_gate(verdicts: DataFrame, cap: int = BREAKER_CAP, window_us: int = BREAKER_WINDOW_SECONDS * MICROS,
-                ttl_us: int = 24 * 3600 * MICROS, delay: str = "10 seconds") -> DataFrame:
-    """Per verdict: is its window resolved, is the shard's cap reached. Input carries ``on_allowlist``."""
+                ttl_us: int | None = None, delay: str = "10 seconds") -> DataFrame:
+    """Per verdict: is its window resolved, is the shard's cap reached. Input carries ``on_allowlist``.
+
+    Without ``ttl_us`` a resolved window stays resolved, as in the batch rule, and the state keeps its id. With it the id is
+    forgotten that long after it acted: choose it longer than a verdict can be late, or a late one acts again.
+    """
     use_state_store(verdicts.sparkSession)
     ready = verdicts.withColumn("breaker_tripped", F.lit(False)).withColumn("acts", decide.acts())
     narrow = ready.select(F.col("shard").cast("string").alias("shard"), "seq", "ts_us", "window_id", "acts", "on_allowlist")
@@ -98,7 +102,10 @@ def finished_graphs(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def log_decisions(folder: str, chain: str = "shard") -> Callable[[DataFrame, int], None]:
-    """Fan-out of decided verdicts into the hash-chained log, one chain per shard, continued from the stored tips."""
+    """Fan-out of decided verdicts into the hash-chained log, one chain per shard.
+
+    Beside the log lies a table of tips, one row per chain and batch; a batch reads only the newest one before it.
+    """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = audit.decision_rows(batch).filter(F.col("entry_type") != "job")
@@ -106,11 +113,13 @@ def log_decisions(folder: str, chain: str = "shard") -> Callable[[DataFrame, int
             "chain", (F.col("seq") * 4 + F.col("step")).alias("seq"),
             F.concat_ws("-", "verdict_id", F.col("step").cast("string")).alias("entry_id"), "ts_us", "entry_type", "payload",
             F.lit("system").alias("actor"))
-        tips = None
-        if _exists(spark, folder):
-            tips = audit.chain_tips(spark.read.parquet(folder).filter(F.col("batch") < number))
-        linked = audit.append_chain(rows, tips)
-        linked.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        earlier = [n for n in _batches(spark, f"{folder}-tips") if n < number]
+        tips = spark.read.parquet(f"{folder}-tips/batch={max(earlier)}") if earlier else None
+        audit.append_chain(rows, tips).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        newest = audit.chain_tips(spark.read.parquet(f"{folder}/batch={number}"))
+        if tips is not None:
+            newest = newest.unionByName(tips.join(newest.select("chain"), "chain", "left_anti"))
+        newest.write.mode("overwrite").parquet(f"{folder}-tips/batch={number}")
     return write
 
 
@@ -121,11 +130,14 @@ def tail_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def explain_batch(folder: str, out: str) -> Callable[[DataFrame, int], None]:
-    """Cold path: detections that were logged (hence already enforced) and are not benign, explained."""
+    """Cold path: detections that were logged and decided and are not benign, explained; rejected verdicts are not."""
     def write(batch: DataFrame, number: int) -> None:
         fields = "verdict_id string, tier string, label string, confidence double, window_id string"
         seen = batch.filter(F.col("entry_type") == "detection").select(F.from_json("payload", fields).alias("p")).select("p.*")
         empty = F.array().cast("array<string>")
+        refused = batch.filter(F.col("entry_type") == "policy_decision").select(
+            F.from_json("payload", "verdict_id string, rejected boolean").alias("p")).filter("p.rejected").select("p.verdict_id")
+        seen = seen.join(refused, "verdict_id", "left_anti")
         notes = audit.narratives(seen.filter(F.col("label") != "benign").withColumn("node_ids", empty).withColumn("edge_ids", empty))
         notes.write.mode("overwrite").parquet(f"{out}/batch={number}")
     return write
@@ -141,9 +153,14 @@ def correct_batch(decisions: str, out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished batches of a table."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.exists(path) and len(system.listStatus(path)) > 0
+    if not system.exists(path):
+        return []
+    done = lambda p: system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return [int(s.getPath().getName().split("=")[1]) for s in system.listStatus(path)
+            if s.getPath().getName().startswith("batch=") and done(s.getPath())]
 
 

@@ -159,10 +159,11 @@ class AnchoredWindows(StatefulProcessor):
 class DecisionGate(StatefulProcessor):
     """First action per window and action cap per shard; the policy table itself stays an expression.
 
-    State: resolved window ids, forgotten ``ttl_us`` after they acted, and the times of at most ``cap`` blocks.
+    State: resolved window ids (forgotten ``ttl_us`` after they acted, if that is given) and the times of at most ``cap``
+    blocks. Verdicts of a batch are taken in order of time, then arrival, as in the batch rule.
     """
 
-    def __init__(self, cap: int, window_us: int, ttl_us: int) -> None:
+    def __init__(self, cap: int, window_us: int, ttl_us: int | None) -> None:
         self.cap = cap
         self.window_us = window_us
         self.ttl_us = ttl_us
@@ -175,7 +176,7 @@ class DecisionGate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         taken = deque(r[0] for r in self.taken.get())
         out, newest = [], None
-        frame = ordered(rows, "seq")
+        frame = ordered(rows, "ts_us", "seq")
         for seq, ts, window, acts, exempt in zip(*[frame[c] for c in ("seq", "ts_us", "window_id", "acts", "on_allowlist")]):
             done = bool(self.resolved.containsKey((window,))) if window is not None else False
             tripped = False
@@ -190,7 +191,7 @@ class DecisionGate(StatefulProcessor):
                         taken.append(int(ts))
             out.append((key[0], int(seq), done, tripped))
         self.taken.put([(t,) for t in taken])
-        if newest is not None and not any(True for _ in self.handle.listTimers()):
+        if self.ttl_us is not None and newest is not None and not any(True for _ in self.handle.listTimers()):
             self.handle.registerTimer(millis(newest + self.ttl_us))
         yield pd.DataFrame(out, columns=["shard", "seq", "already_resolved", "breaker_tripped"])
 

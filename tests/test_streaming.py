@@ -119,6 +119,11 @@ def test_gate_log_tail_and_explanations(spark, feed, tmp_path):
     assert all(r.intact for r in audit.verify_chains(stored).collect())
     notes = run(lanes.tail_log(spark, log), tmp_path, "notes", lanes.explain_batch(log, str(tmp_path / "notes")))
     assert notes.count() == frame.filter("label <> 'benign'").count()
+    assert spark.read.parquet(f"{log}-tips/batch=1").count() == 2
+    lanes.explain_batch(log, str(tmp_path / "refused"))(spark.createDataFrame(
+        [("detection", '{"verdict_id":"a","label":"flood"}'), ("policy_decision", '{"verdict_id":"a","rejected":true}'),
+         ("detection", '{"verdict_id":"b","label":"flood"}')], "entry_type string, payload string"), 0)
+    assert [r.verdict_id for r in spark.read.parquet(str(tmp_path / "refused")).collect()] == ["b"]
     decided.select("target", "ts_us", "seq", "decision_id").write.parquet(str(tmp_path / "decisions"))
     asks = spark.createDataFrame([("c", "h1", 10**12, 999, True), ("d", "nobody", 10**12, 1000, True)],
                                  "correction_id string, target string, ts_us bigint, seq bigint, is_false_positive boolean")
