@@ -81,9 +81,14 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, size: int = 1 << 24) -> None:
-    """Bounds the bytes of an Arrow batch, so that many long texts do not meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def prepare(spark: SparkSession, batch: int = 1 << 24) -> None:
+    """Settings of the session for operators with several steps or with texts in Python.
+
+    Arrow batches are bounded in bytes, so that many long texts do not meet in one; shuffle files go when the execution
+    that wrote them ends, since what later steps need is checkpointed or stored.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text",

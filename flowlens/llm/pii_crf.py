@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import small_batches
+from flowlens.llm.common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bound of the documents that join the labelled lines.
@@ -281,7 +281,7 @@ def sample_texts(docs: DataFrame, text: str, rows: int = FIT_ROWS, longest: int
 
 
 def fit_pii(docs: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> Crf:
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return fit_crf([(t, base_spans(t)) for t in sample_texts(docs, text, rows)] + labelled_lines() * 3)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_of_id, fresh, labelled_sample, small_batches
+from flowlens.llm.common import crc_of_id, fresh, labelled_sample, prepare
 from flowlens.llm.tokens import words_of
 
 #: Bound of the labelled sample the model is fitted on.
@@ -212,7 +212,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS)
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None,
                 rows: int = FIT_ROWS) -> Gam:
     """Fits on at most ``rows`` labelled documents; rows of a repeated id count once each, up to the bound."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     width = len(FEATURES)
 
     def extract(batches):

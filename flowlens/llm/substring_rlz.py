@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, small_batches
+from flowlens.llm.common import cut, prepare
 from flowlens.llm.tokens import NOT_SPACE, words_of
 
 WINDOW = 13
@@ -143,7 +143,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     nor parsed. Texts that share an id are no references for each other. Repeated rows repeat the result. A document
     under ``window`` words keeps them all. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     every = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     base = every.filter("_id is not null")
     mark = F.coalesce(F.xxhash64("_text"), F.lit(0))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import crc_of_id, cut, fresh, labelled_sample, small_batches
+from flowlens.llm.common import crc_of_id, cut, fresh, labelled_sample, prepare
 from flowlens.llm.tokens import LETTER, words_of
 
 #: Bounds of the labelled sample and of the terms kept.
@@ -172,7 +172,7 @@ class Neighbours:
 def fit_neighbours(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None,
                    rows: int = FIT_ROWS) -> Neighbours:
     """Chooses terms and fits the index on at most ``rows`` labelled documents; document frequencies are of all texts."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def sets(batches):
         for batch in batches:
