@@ -16,8 +16,8 @@ FEATURES = (
 )
 ORDER = ("t", "kind", "seq")
 HOT_ROWS = 4_000_000
-#: Units of ``c * log2(c)``: a port may hold 10^8 events of one window before a running total leaves 64 bits.
-UNIT = float(1 << 30)
+#: Units of ``c * log2(c)``: exact to 3e-11, and a window may hold 2 * 10^7 events before a total leaves 64 bits.
+UNIT = float(1 << 34)
 
 Totals = Callable[[DataFrame, Sequence[str], Mapping[str, Column]], DataFrame]
 
