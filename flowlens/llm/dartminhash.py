@@ -10,7 +10,8 @@ empty coordinate looks at twice the range.
 
 Bands of ``ROWS`` coordinates are the join keys. Texts with the same bag are one representative first, so a large group of
 copies is one row. Inside a bucket every member is held against one hub (a star, not all pairs); classes are formed, and only buckets that
-still hold more than one class go on, with another hub, until none is left untested. Verified links and the members of
+still hold more than one class go on, with another hub; after ``HUBS`` rounds what is left between classes is compared in
+full. Pairs whose weights differ too much to be similar are left out first. Verified links and the members of
 a class are never dropped or capped. A link is exact: the weighted Jaccard similarity of the two bags is at least 0.8.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, small_batches
+from flowlens.llm.common import cut, prepare
 from flowlens.llm.tokens import ALNUM, mixed, words_of
 
 SHINGLE = 5
@@ -31,7 +32,7 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
 #: Rounds with one hub per bucket; what is left then is compared in full.
-HUBS = 4
+HUBS = 2
 
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 #: Chances of at most 0, 1, ... darts in a cell of area 1.
@@ -115,24 +116,32 @@ def similarity(a, b) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``_id, _a, _b, _keys`` of ``_id, _text``: two hashes of the bag (null for no words) and the band keys."""
+    """``_id, _a, _b, _size, _keys`` of ``_id, _text``: two hashes of the bag (null for no words), weight and band keys."""
     def run(batches):
         for batch in batches:
-            a, b, keys = [], [], []
+            a, b, sizes, keys = [], [], [], []
             for items, counts in bags(batch.column(1)):
                 if len(items):
                     both = mixed(items * np.uint64(3) + mixed(counts.astype(np.uint64)))
                     a.append(both.sum().view(np.int64))
                     b.append(mixed(both + _SEED).sum().view(np.int64))
+                    sizes.append(int(counts.sum()))
                     keys.append(band_keys(items, counts))
                 else:
                     a.append(None)
                     b.append(None)
+                    sizes.append(0)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64()))], ["_id", "_a", "_b", "_keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["_id", "_a", "_b", "_size", "_keys"])
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {kind}, _a long, _b long, _keys array<long>")
+    return docs.mapInArrow(run, f"_id {kind}, _a long, _b long, _size long, _keys array<long>")
+
+
+def alike(a: str, b: str, least: float):
+    """Can two bags of these weights be similar enough? The smaller weight bounds what they share."""
+    return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -146,7 +155,9 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
              .join(texts.select(F.col("_rep").alias("_y"), F.col("_text").alias("_ty")), "_y")
              .select("_x", "_y", "_tx", "_ty"))
     kind = pairs.schema["_x"].dataType.simpleString()
-    return sided.mapInArrow(run, f"_x {kind}, _y {kind}")
+    # A skewed join runs as many small tasks; few of them have links to write.
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sided.mapInArrow(run, f"_x {kind}, _y {kind}").coalesce(width)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,36 +187,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     own; a null id is too, and its class is null. Repeated rows repeat the result. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     plain = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     bagged = cut(signed(plain))
     named = bagged.filter("_a is not null and _id is not null")
     reps = cut(named.groupBy("_a", "_b").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")))
     own = named.join(reps.select(F.col("_rep").alias("_id"), "_a", "_b"), ["_id", "_a", "_b"])
-    member = own.select(F.col("_id").alias("_rep"), F.explode("_keys").alias("_key"))
+    weights = own.select(F.col("_id").alias("_y"), F.col("_size").alias("_other"))
+    member = own.select(F.col("_id").alias("_rep"), "_size", F.explode("_keys").alias("_key"))
     sizes = member.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
     buckets = cut(member.join(sizes.select("_key", "_hub"), "_key"))
     shared = cut(buckets.select("_rep").distinct().join(plain.withColumnRenamed("_id", "_rep"), "_rep")
                  .dropDuplicates(["_rep"]))
-    pairs = buckets.filter("_rep <> _hub").select(F.col("_rep").alias("_x"), F.col("_hub").alias("_y")).distinct()
+    pairs = buckets.filter("_rep <> _hub").select(F.col("_rep").alias("_x"), "_size", F.col("_hub").alias("_y")).distinct()
+    pairs = pairs.join(weights, "_y").filter(alike("_size", "_other", least)).select("_x", "_y").distinct()
     links = cut(verified(pairs, shared, least))
     for round_ in range(1, HUBS + 1):
         classes = components(links)
-        placed = (buckets.select("_key", "_rep").join(classes, "_rep", "left")
+        placed = (buckets.select("_key", "_rep", "_size").join(classes, "_rep", "left")
                   .withColumn("_class", F.coalesce("_class", "_rep")))
         mixed_ = placed.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).filter("_lo < _hi")
         placed = cut(placed.join(mixed_.select("_key"), "_key"))
         if placed.isEmpty():
             break
         if round_ < HUBS:
-            draw = F.struct(F.xxhash64("_rep", F.lit(round_)), "_rep", "_class")
-            hub = placed.groupBy("_key").agg(F.min(draw).alias("_h")).select(
-                "_key", F.col("_h._rep").alias("_y"), F.col("_h._class").alias("_hc"))
-            pairs = placed.join(hub, "_key").filter("_class <> _hc").select(F.col("_rep").alias("_x"), "_y")
+            draw = F.struct(F.xxhash64("_rep", F.lit(round_)), "_rep", "_class", "_size")
+            other = placed.groupBy("_key").agg(F.min(draw).alias("_h")).select(
+                "_key", F.col("_h._rep").alias("_y"), F.col("_h._class").alias("_hc"), F.col("_h._size").alias("_other"))
+            open_ = F.col("_class") != F.col("_hc")
         else:
-            other = placed.select("_key", F.col("_rep").alias("_y"), F.col("_class").alias("_hc"))
-            pairs = placed.join(other, "_key").filter("_class <> _hc and _rep < _y").select(F.col("_rep").alias("_x"), "_y")
-        links = cut(links.union(verified(pairs.distinct(), shared, least)))
+            other = placed.select("_key", F.col("_rep").alias("_y"), F.col("_class").alias("_hc"), F.col("_size").alias("_other"))
+            open_ = (F.col("_class") != F.col("_hc")) & (F.col("_rep") < F.col("_y"))
+        pairs = placed.join(other, "_key").filter(open_ & alike("_size", "_other", least)).select(F.col("_rep").alias("_x"), "_y")
+        known = classes.filter("_rep <> _class").select(F.col("_rep").alias("_x"), F.col("_class").alias("_y"))
+        links = cut(known.union(verified(pairs.distinct(), shared, least)).distinct())
     else:
         classes = components(links)
     found = (reps.join(classes, "_rep", "left")
