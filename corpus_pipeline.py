@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import dartminhash, decontam, line_dedup, mixing, quality_gam
-from flowlens.llm.common import crc_of_id, fresh, shared_folder, table
+from flowlens.llm.common import crc_of_id, fresh, table
+from flowlens.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,13 +154,14 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     copied = cut(rows.groupBy("_id").agg(F.min("_copy").alias("_all"),
                                          F.collect_set(F.when(F.col("_copy"), F.col("_th"))).alias("_copies")))
     found = anchors(base, window)
-    shared = found.groupBy("_g").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).filter("_lo < _hi").select("_g")
+    # A result of its own, so that the join below has a shuffle on both sides and a frequent anchor can be split.
+    shared = cut(found.groupBy("_g").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).filter("_lo < _hi").select("_g"))
     spots = cut(found.join(shared, "_g").join(copied.filter("_all").select("_id"), "_id", "left_anti")
                 .groupBy("_id").agg(F.collect_list("_p").alias("_ps")))
     opened = base.join(spots, "_id").select("_id", "_text", F.shiftright(mark, 32).cast("int").alias("_th"), "_ps")
     blocks = blocks_at(opened, window)
-    known = (blocks.groupBy("_w").agg(F.min("_id").alias("_src"), F.max("_id").alias("_hi")).filter("_src < _hi")
-             .select("_w", "_src"))
+    known = cut(blocks.groupBy("_w").agg(F.min("_id").alias("_src"), F.max("_id").alias("_hi")).filter("_src < _hi")
+                .select("_w", "_src"))
     later = blocks.join(known, "_w").filter("_src < _id").select("_id", F.struct("_th", "_p", "_src").alias("_f"))
     parsed = later.groupBy("_id").agg(F.collect_list("_f").alias("_fs"))
     known_ids = copied.join(parsed, "_id", "left").select("_id", "_copies", "_fs")
