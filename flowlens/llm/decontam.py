@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import stored
+from flowlens.llm.common import prepare, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -86,6 +86,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     ``_key`` is (id as text, hash of the text). A document shorter than an item is one window. Null texts have no words.
     Ties go to the first window. Rows that repeat id and text give one row, items that repeat id and text too.
     """
+    prepare(docs.sparkSession)
     items = benchmark_items(benchmark, item_key, item_text)
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(key).alias("_id"), body.alias("_text"),
@@ -109,12 +110,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     prints = _fingerprinted(windows, ["_key", "_l", "_s"])
     filed = _fingerprinted(items.withColumn("_ws", F.col("_iw")), ["_item", "_l"]).withColumnRenamed("_fp", "_ifp")
     near = F.filter(F.sequence(F.lit(0), F.lit(65535)), lambda m: F.bit_count(m) <= NEAR)
-    index = (filed.select("_item", "_l", "_ifp", F.posexplode("_ifp").alias("_k", "_block"))
-             .select("_item", "_l", "_ifp", "_k", "_block", F.explode(near).alias("_m"))
-             .select("_item", "_l", "_ifp", "_k", F.col("_block").bitwiseXOR(F.col("_m")).alias("_v")))
+    # About ten thousand rows per item, so the index is shuffled and never broadcast, whatever the planner makes of it.
+    index = (filed.select("_item", "_l", F.posexplode("_ifp").alias("_k", "_block"))
+             .select("_item", "_l", "_k", "_block", F.explode(near).alias("_m"))
+             .select("_item", "_l", "_k", F.col("_block").bitwiseXOR(F.col("_m")).alias("_v")).hint("merge"))
     probes = prints.select("_key", "_l", "_s", "_fp", F.posexplode("_fp").alias("_k", "_v"))
     apart = F.aggregate(F.zip_with("_fp", "_ifp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    pairs = (probes.join(index, ["_l", "_k", "_v"]).filter(apart <= RADIUS).select("_key", "_s", "_item", "_l").distinct())
+    met = probes.join(index, ["_l", "_k", "_v"]).join(filed.select("_item", "_ifp"), "_item")
+    pairs = met.filter(apart <= RADIUS).select("_key", "_s", "_item", "_l").distinct()
     known = held.withColumnRenamed("_key", "_k").select("_k", "_id", "_w")
     sided = (pairs.join(known, F.col("_key").eqNullSafe(F.col("_k")))
              .select("_key", "_id", "_s", "_item", F.slice("_w", F.col("_s") + 1, F.col("_l")).alias("_ws"))
