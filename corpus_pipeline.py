@@ -26,11 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from the texts; a document that is left without words goes; ``n_chars`` follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs)
-    lost = cleaned.columns[-1]
-    emptied = (F.col(lost) > 0) & ~F.col("text").rlike(r"\S")
-    kept = cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    """Boilerplate lines go from the texts and no row goes; ``n_chars`` follows the text.
+
+    A text whose words all stand in boilerplate lines stays whole: it is one of many copies, and which of them stays is
+    for near dedup to say.
+    """
+    whole = fresh(docs.columns, "_whole")
+    cleaned = line_dedup.drop_boilerplate(docs.withColumn(whole, F.col("text")))
+    emptied = (F.col(cleaned.columns[-1]) > 0) & ~F.col("text").rlike(r"\S")
+    kept = cleaned.withColumn("text", F.when(emptied, F.col(whole)).otherwise(F.col("text"))).select(*docs.columns)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept

@@ -35,3 +35,19 @@ def test_stages_work_on_what_the_one_before_kept(spark, tmp_path):
 def test_run_equals_its_stages(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "copy"} <= set(rows[0].asDict())
+
+
+def test_line_stage_keeps_one_of_a_large_group_of_copies(spark):
+    copy = "\n".join(f"line {j} of a text that was copied over and over" for j in range(6))
+    rows = [(i, copy, "en", "s", len(copy)) for i in range(40)]
+    rows += [(100 + i, f"menu\nown words of page {i} and of no other page", "en", "s", 5) for i in range(80)]
+    rows += [(300, None, "en", "s", None), (301, "", "en", "s", 0), (302, "menu", "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.lines(spark, docs, SF)
+    got = {r["doc_id"]: r for r in cleaned.collect()}
+    assert sorted(got) == [r[0] for r in rows] and cleaned.columns == docs.columns
+    assert all(got[i]["text"] == copy and got[i]["n_chars"] == len(copy) for i in range(40))
+    assert got[105]["text"] == "own words of page 5 and of no other page"
+    assert (got[300]["text"], got[301]["text"], got[302]["text"]) == (None, "", "menu")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, cleaned, SF).collect()}
+    assert {i for i in left if i < 100} == {0}
