@@ -1,7 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates, by containment.
 
-A text block is a line, and a longer line is cut into overlapping windows of ``BLOCK`` words, so every run of ``STEP`` words
-lies in one block. Tokens are ordered by their frequency over all blocks, rarest first. A template of ``t`` tokens that
+A text block is a line, and a longer line is cut into overlapping windows of ``BLOCK`` words. The words of the whole text are
+cut in the same way, and the windows that span a line break are blocks too: every run of ``STEP`` words lies in one block,
+however the text is wrapped. Texts that hold too few tokens of every template have no block and are left out first. Tokens are ordered by their frequency over all blocks, rarest first. A template of ``t`` tokens that
 must be contained to at least ``THRESHOLD`` needs ``c = ceil(THRESHOLD * t)`` of them, so the first common token of a matching
 block is among its first ``t - c + 1``: only those are indexed (prefix filter). A block must hold ``c`` known tokens (length
 filter), and at the first common token enough tokens must be left on both sides (positional filter). What passes
@@ -83,17 +84,47 @@ def base_places(docs: DataFrame, text: str = "_text") -> DataFrame:
     return listed.withColumn("_places", places).drop("_words")
 
 
-def blocks(docs: DataFrame, text: str, vocabulary: list[str], least: int) -> DataFrame:
-    """One row per text block with at least ``least`` known tokens: its key and ``_tokens``, the known tokens once each."""
-    lines = docs.select("_key", F.explode(F.split(F.lower(F.col(text)), "\n", -1)).alias("_line"))
-    words = lines.select("_key", F.split(F.col("_line"), _BREAK).alias("_w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - STEP, F.lit(0)), F.lit(STEP))
-    cut = F.when(F.size("_w") <= BLOCK, F.array("_w")).otherwise(
-        F.transform(starts, lambda i: F.slice("_w", i + 1, BLOCK)))
+def _windows(words: Column) -> Column:
+    """Overlapping runs of ``BLOCK`` words, as starts and arrays of words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - STEP, F.lit(0)), F.lit(STEP))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(words, i + 1, BLOCK).alias("words")))
+
+
+def _wrapped(low: Column) -> Column:
+    """The windows of the whole text that span a line break.
+
+    What is used twice is bound as a lambda variable, so that no rule of the optimizer can copy it.
+    """
+    last = lambda z, b: F.least(b["at"] + BLOCK, F.size(z["l"])) - 1
+    spans = lambda z: F.filter(_windows(z["w"]), lambda b: F.get(z["l"], b["at"]) != F.get(z["l"], last(z, b)))
+    numbered = lambda lines: F.struct(
+        F.flatten(lines).alias("w"), F.flatten(F.transform(lines, lambda w, i: F.array_repeat(i, F.size(w)))).alias("l"))
+    lines = F.transform(F.split(low, "\n", -1), _words)
+    return F.flatten(F.transform(F.transform(F.array(lines), numbered), lambda z: F.transform(spans(z), lambda b: b["words"])))
+
+
+def blocks(docs: DataFrame, text: str, sets: list[list[str]], need: list[int]) -> DataFrame:
+    """One row per text block with enough known tokens for a template: its key and ``_tokens``, the known tokens once each."""
+    vocabulary = sorted({w for s in sets for w in s})
     known = F.array(*[F.lit(v) for v in vocabulary])
+
+    def may(found: Column) -> Column:
+        out = F.lit(False)
+        for tokens, c in zip(sets, need, strict=True):
+            out = out | (F.size(F.array_intersect(found, F.array(*[F.lit(t) for t in tokens]))) >= c)
+        return out
+
+    low = F.lower(F.col(text))
+    # Bound as a lambda variable: the filter looks at the tokens once per template, and they are found once per text.
+    held = (docs.filter(F.exists(F.array(F.array_intersect(F.split(low, _BREAK), known)), may))
+            .select("_key", low.alias("_low")))
+    lines = held.select("_key", F.explode(F.split("_low", "\n", -1)).alias("_line"))
+    words = lines.select("_key", F.split(F.col("_line"), _BREAK).alias("_w"))
+    cut = F.when(F.size("_w") <= BLOCK, F.array("_w")).otherwise(F.transform(_windows(F.col("_w")), lambda b: b["words"]))
     return (words.select("_key", F.explode(cut).alias("_block"))
+            .union(held.select("_key", F.explode_outer(_wrapped(F.col("_low")))))
             .select("_key", F.array_intersect("_block", known).alias("_tokens"))
-            .filter(F.size("_tokens") >= least))
+            .filter(F.size("_tokens") >= min(need)))
 
 
 def containment_join(docs: DataFrame, text: str = "_text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,7 +133,7 @@ def containment_join(docs: DataFrame, text: str = "_text", templates=TEMPLATES,
     sets = [(label, sorted(set(phrase.split()))) for label, phrase in templates]
     need = [math.ceil(threshold * len(s)) for _, s in sets]
     vocabulary = sorted({w for _, s in sets for w in s})
-    found = blocks(docs, text, vocabulary, min(need))
+    found = blocks(docs, text, [s for _, s in sets], need)
     # One row per template word at most.
     counts = {r["_t"]: r["n"] for r in found.select(F.explode("_tokens").alias("_t")).groupBy("_t")
               .agg(F.count(F.lit(1)).alias("n")).collect()}

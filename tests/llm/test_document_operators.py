@@ -341,6 +341,32 @@ def test_license_containment_equals_all_pairs(spark):
         assert got[i][0] == want and abs(got[i][1] - best) < 1e-9
 
 
+WRAPPED = {
+    "mit": """/* Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files (the
+ * "Software"), to deal in the Software without restriction. */""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:""",
+    "isc": """// Permission to use, copy, modify, and/or distribute this software for any
+// purpose with or without fee is hereby granted, provided that the above
+// copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_licenses_wrapped_over_lines_are_found(spark):
+    code = "\n".join(f"    let value{j} = compute(input{j}, {j});" for j in range(200))
+    rows = []
+    for i, notice in enumerate(WRAPPED.values()):
+        rows += [(10 * i, notice, "en", "s", 1), (10 * i + 1, notice.replace("\n", "\r\n\r\n"), "en", "s", 1)]
+        rows += [(10 * i + 2 + j, f"{code[:cut]}\n{notice}\n{code}", "en", "s", 1) for j, cut in enumerate((400, 437, 1200, 2900))]
+    rows.append((90, WRAPPED["bsd"].replace("\n", f"\n{code}\n"), "en", "s", 1))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got.pop(90) == ("", 0.0)
+    assert {i: v[0] for i, v in got.items()} == {i: list(WRAPPED)[i // 10] for i in got} and len(got) == 18
+    assert all(score >= 0.9 for _, score in got.values())
+
+
 def test_leaks_equal_all_windows(spark):
     random.seed(12)
     words = [f"q{i}" for i in range(400)]
