@@ -1,6 +1,7 @@
 """Operators of the document pipeline against plain versions, on awkward rows and on a slice of the shared tables."""
 
 import collections
+import fractions
 import hashlib
 import random
 import re
@@ -268,6 +269,23 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_ranks_large_components_exactly(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 256]) for i in range(200)]
+    rows += [(200 + i, [float(x) * 4096.0 ** (i % 4) for x in rng.integers(-9, 10, 8)]) for i in range(200)]
+    rows += [(450 + i, [2.0 ** 52 + j * 2 * (i % 3) for j in range(8)]) for i in range(6)]
+    rows += [(500, [1e308, -1e308] * 4), (501, [1.7e308, 2.0 ** -8] * 4), (502, [-1e308] * 8), (550, [1e300] + [0.0] * 7)]
+    got = topk_nra.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), row_block=90, query_block=3)
+    fine = {i: [int(fractions.Fraction(x) * 256 // 1) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in fine if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q)[:5]
+        want += [(q, r, i, -s if abs(s) < 2 ** 63 else None) for r, (s, i) in enumerate(scores, 1)]
+    key = lambda r: r[:2]
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert any(r[3] is None for r in want)
+
+
 def plain_pii(text):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
