@@ -8,7 +8,7 @@ against the blocks in the order of their upper bounds and stops when no block ca
 neighbours are those of a full comparison. Votes weigh ``similarity ** SHARPNESS`` against a prior of ``PRIOR`` votes, and
 a monotone map fitted on the examples (each left out of its own vote) makes the share of votes a probability.
 
-Everything that is collected is bounded by ``FIT_ROWS`` examples and ``TERMS`` terms. Scoring is one pass without a shuffle.
+Everything that is collected is bounded by the ``FIT_ROWS`` examples and their terms. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import crc_of_id, cut, fresh, labelled_sample, prepare
 from flowlens.llm.tokens import LETTER, words_of
 
-#: Bounds of the labelled sample and of the terms kept.
+#: Bound of the labelled sample.
 FIT_ROWS = 12_000
-TERMS = 512
 MIN_ROWS = 4
 #: Lengths, in bytes, of the word beginnings that are terms of their own.
 PREFIXES = (4, 6)
@@ -68,6 +67,13 @@ def term_counts(texts: pa.Array, vocabulary: np.ndarray):
     return tuple(np.concatenate([empty, *x]) for x in (texts_, terms_, counts_))
 
 
+def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from ``low`` up to ``high``, run after run, and the number of the run of each."""
+    size = high - low
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which], which
+
+
 class BlockMaxIndex:
     """Labelled vectors in blocks of ``BLOCK``: per block and term the postings, and the largest weight among them."""
 
@@ -81,23 +87,37 @@ class BlockMaxIndex:
         self.rows = np.lexsort((np.arange(n), labels, heaviest))
         place = np.empty(n, np.int64)
         place[self.rows] = np.arange(n)
-        blocks = -(-n // BLOCK)
-        #: Postings by block and term; a block's lists are short, so they are kept as rows of BLOCK weights.
-        self.postings = np.zeros((blocks, width, BLOCK), np.float32)
-        self.postings[place[rows] // BLOCK, terms, place[rows] % BLOCK] = weights
-        self.block_max = np.ascontiguousarray(self.postings.max(2).T) if n else np.zeros((width, 0), np.float32)
+        self.blocks = -(-n // BLOCK)
+        #: Postings in order of term and block; a cell is the run of one term and block, ``first`` is where each term's cells begin.
+        block = place[rows] // BLOCK
+        by_cell = np.lexsort((place[rows], block, terms))
+        self.spots, self.weights = (place[rows] % BLOCK)[by_cell], weights[by_cell]
+        cell, start = np.unique((terms * max(self.blocks, 1) + block)[by_cell], return_index=True)
+        self.start = np.append(start, len(by_cell))
+        self.cell_block = cell % max(self.blocks, 1)
+        self.cell_max = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(cell, np.arange(width + 1) * max(self.blocks, 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and cosines of the ``k`` nearest rows with a cosine over 0; ties go to the smaller row number."""
-        weights = weights.astype(np.float32)
-        bound = weights @ self.block_max[terms]
+        cells, which = _runs(self.first[terms], self.first[terms + 1])
+        blocks, factor = self.cell_block[cells], weights[which]
+        bound = np.bincount(blocks, factor * self.cell_max[cells], self.blocks)
+        turn = np.empty(self.blocks, np.int64)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        turn[order] = np.arange(self.blocks)
+        by_turn = np.argsort(turn[blocks], kind="stable")
+        cells, factor, turns = cells[by_turn], factor[by_turn], turn[blocks[by_turn]]
+        order, low = order[bound[order] > 0], 0
         rows, cosines = np.zeros(0, np.int64), np.zeros(0)
         step = 2
         while len(order) and (len(cosines) < k or bound[order[0]] >= cosines[k - 1] - 1e-5):
             now, order, step = order[:step], order[step:], step * 2
-            score = np.einsum("t,btr->br", weights, self.postings[now[:, None], terms[None, :]])
+            a, b = np.searchsorted(turns, (low, low + len(now)))
+            posts, which = _runs(self.start[cells[a:b]], self.start[cells[a:b] + 1])
+            score = np.bincount((turns[a:b][which] - low) * BLOCK + self.spots[posts], factor[a:b][which] * self.weights[posts],
+                                len(now) * BLOCK).reshape(-1, BLOCK)
+            low += len(now)
             block, spot = np.nonzero(score > 0)
             more = self.rows[now[block] * BLOCK + spot]
             values = score[block, spot].astype(float).round(6)
@@ -188,8 +208,8 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, label: str = "toxic", kee
               .select("_label", F.explode("_terms").alias("_term")).groupBy("_term")
               .agg(F.count(F.lit(1)).alias("_n"), F.sum("_label").alias("_ones")).filter(F.col("_n") >= MIN_ROWS))
     strength = F.abs(F.col("_ones") - F.lit(base) * F.col("_n")) / F.sqrt(F.lit(base * (1 - base)) * F.col("_n"))
-    chosen = (counts.withColumn("_s", strength).filter(F.col("_s") >= STRENGTH).orderBy(F.desc("_s"), "_term")
-              .limit(TERMS).select("_term").collect())
+    chosen = (counts.withColumn("_s", strength).filter(F.col("_s") >= STRENGTH)
+              .select("_term").collect())
     vocabulary = np.sort(np.array([r["_term"] for r in chosen], np.int64).view(np.uint64))
 
     def frequencies(batches):

@@ -145,6 +145,21 @@ def test_block_max_index_is_exact():
         assert np.allclose(cosines, want, atol=1e-5) and np.allclose((dense @ q)[found], cosines, atol=1e-5)
 
 
+def test_every_significant_term_is_a_term(spark):
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 2
+        side = "zq"[toxic]
+        words = [f"{side}{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in ((i // 2 + 37 * j) % 300 for j in range(8))]
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, toxic))
+    model = toxicity_knn.fit_neighbours(docs_of(spark, rows), labels_of(spark, labels))
+    assert len(model.vocabulary) > 512
+    words = {w for _, text, *_ in rows for w in text.split()}
+    known = toxicity_knn.term_counts(pa.array(sorted(words)), model.vocabulary)[0]
+    assert len(set(known.tolist())) == len(words)
+
+
 def test_mix_targets_and_repeats(spark):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 4}" if i % 9 else None, 1) for i in range(4000)]
     docs = docs_of(spark, rows)
