@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import dartminhash, decontam, license_scan, line_dedup, mixing, pii_crf, quality_gam, substring_rlz, topk_nra, toxicity_knn
+from flowlens.llm import (
+    dartminhash,
+    decontam,
+    license_scan,
+    line_blocks,
+    line_dedup,
+    middle_frames,
+    mixing,
+    periodic_runs,
+    pii_crf,
+    quality_gam,
+    substring_rlz,
+    topk_nra,
+    toxicity_knn,
+)
 from flowlens.llm.common import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -198,3 +212,76 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii")
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query("op11_html_text")
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op12_periodic_runs", r"""
+with recursive steps(n, c, k) as (
+  select range::bigint, range::bigint, 0 from range(256)
+  union all
+  select n, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+crc_table as (select list(c order by n) as t from steps where k = 8),
+docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         coalesce(doc_id::varchar, '') as name from documents),
+sums as (
+  select r, doc_id, w, len(w)::bigint as n,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(name) + 1), lambda i: ord(name[i])::bigint)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h
+  from docs, crc_table),
+drawn as (
+  select *, h // 10 as g, case when h % 10 = 0 and n > 0 and doc_id is not null then (h // 10) % n end as a from sums),
+places as (
+  select r, doc_id, n, i, w[1 + case when i >= a then a + (i - a) % (1 + (n - a) // (3 + g % 8)) else i end] as word
+  from (select *, unnest(range(n)) as i from drawn)),
+same as (
+  select x.r, y.i - x.i as q, x.i as i
+  from places x join places y on x.r = y.r and x.word = y.word and y.i > x.i and y.i - x.i <= x.n // 4),
+islands as (
+  select r, q, min(i) as s, count(*) + q as m
+  from (select *, i - row_number() over (partition by r, q order by i) as island from same) group by r, q, island),
+runs as (select r, s, m, min(q) as q from islands where m >= greatest(6, 4 * q) group by r, s, m),
+best as (
+  select r, count(*) as n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' order by s, q) as listed,
+         arg_min(row(s, m, q), row(-m::double / q::double, s, q)) as top
+  from runs group by r),
+gone as (select distinct r, unnest(range(s + q, s + m)) as i from runs),
+kept as (
+  select p.r, string_agg(p.word, ' ' order by p.i) as text from places p anti join gone g on p.r = g.r and p.i = g.i group by p.r)
+select d.doc_id, d.n::bigint as n_words, coalesce(n_runs, 0)::bigint as n_runs, top[1]::bigint as start, top[2]::bigint as length,
+       top[3]::bigint as period, (1000 * top[2] // top[3])::bigint as exponent_milli,
+       sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from sums d left join best b on d.r = b.r left join kept k on d.r = k.r""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.with_repeating_tails(F.col("text"), F.col("doc_id")).alias("text")))
+
+
+@query("op13_fill_in_middle", r"""
+with docs as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+units as (
+  select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, ('0x' || substr(h, 1, 8))::bigint as h1,
+         ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 25, 8))::bigint as h4 from docs),
+cuts as (
+  select *, len(u)::bigint as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b
+  from units),
+parts as (
+  select *, coalesce(array_to_string(list_slice(u, 1, a), ''), '') as pre, coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') as mid,
+         coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') as suf,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from cuts)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_frames.fill_in_middle(table(spark, sf_dir, "documents"))
