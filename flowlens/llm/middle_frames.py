@@ -33,6 +33,9 @@ MARKS = {"prefix": b"<P>", "suffix": b"<S>", "middle": b"<M>"}
 ORDERS = {"psm": ("prefix", "suffix", "middle"), "spm": ("suffix", "prefix", "middle"), "plain": ()}
 
 _NEWLINE = 0x0A
+# One context of each kind per process: a context holds far more memory than a text.
+_COMPRESS = zstandard.ZstdCompressor(level=1)
+_DECOMPRESS = zstandard.ZstdDecompressor()
 
 
 def _code_points(piece: bytes) -> int:
@@ -48,7 +51,6 @@ class Writer:
         self.bytes = self.units = self.chars = 0
         self.digest = hashlib.sha256()
         self._held = bytearray()
-        self._zstd = zstandard.ZstdCompressor(level=1)
 
     def write(self, piece: bytes) -> None:
         self.digest.update(piece)
@@ -59,7 +61,7 @@ class Writer:
     def _flush(self, size: int) -> None:
         piece = bytes(self._held[:size])
         del self._held[:size]
-        self.frames.append((self._zstd.compress(piece), self.bytes, self.units, self.chars))
+        self.frames.append((_COMPRESS.compress(piece), self.bytes, self.units, self.chars))
         self.bytes += len(piece)
         self.units += piece.count(b"\n")
         self.chars += _code_points(piece)
@@ -77,10 +79,9 @@ class Frames:
     def __init__(self, data, before, units, chars, total):
         self.data, self.total = data, total
         self.before, self.units, self.chars = (np.array(x, np.int64) for x in (before, units, chars))
-        self._zstd = zstandard.ZstdDecompressor()
 
     def frame(self, i: int) -> bytes:
-        return self._zstd.decompress(self.data[i])
+        return _DECOMPRESS.decompress(self.data[i])
 
     @property
     def lines(self) -> int:
@@ -233,11 +234,14 @@ def transform(stored: DataFrame, key: str = "doc_id", rate: int = RATE, spm: int
             .mapInArrow(run, schema).withColumnRenamed("_id", key))
 
 
+def _clear(frames: list[bytes]) -> str:
+    return b"".join(map(_DECOMPRESS.decompress, frames)).decode()
+
+
 def texts(stored: DataFrame, frames: str = "frames", text: str = "text") -> DataFrame:
     """Adds the stored text in clear as column ``text``."""
     def run(values: pa.Array) -> pa.Array:
-        zstd = zstandard.ZstdDecompressor()
-        return pa.array([b"".join(zstd.decompress(f["data"]) for f in (v.as_py() or [])).decode() for v in values])
+        return pa.array([_clear([f["data"] for f in v.as_py() or []]) for v in values], pa.string())
     return stored.withColumn(text, F.arrow_udf(run, "string")(F.col(frames)))
 
 
