@@ -8,11 +8,13 @@ dart of the lowest rank: the probability that two documents agree in a coordinat
 Only ranks up to about ``t / total weight`` are looked at, with ``t = k ln k + 2 k`` darts expected; a document with an
 empty coordinate looks at twice the range.
 
-Bands of ``ROWS`` coordinates are the join keys. Texts with the same bag are one representative first, so a large group of
-copies is one row. Inside a bucket every member is held against one hub (a star, not all pairs); classes are formed, and only buckets that
-still hold more than one class go on, with another hub; after ``HUBS`` rounds what is left between classes is compared in
-full. Pairs whose weights differ too much to be similar are left out first. Verified links and the members of
-a class are never dropped or capped. A link is exact: the weighted Jaccard similarity of the two bags is at least 0.8.
+Bands of ``ROWS`` coordinates are the join keys. Identity is the bag itself (its 128-bit hash), the id is only a name: texts with the
+same bag are one representative, so a large group of copies is one row. Inside a bucket every member is held against one
+hub (a star, not all pairs), classes are formed, and buckets that still hold more than one class go on with another
+hub. Members of buckets that are mixed even then are joined exactly among themselves: shingles in the order of their frequency,
+prefixes per class of partner sizes, positions as a bound. A member whose rare shingles are its own meets nobody there,
+so a large group of graded texts costs what its links cost, not its square. Verified links and the members of a
+class are never dropped or capped. A link is exact: the weighted Jaccard similarity of the two bags is at least 0.8.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, prepare
@@ -31,8 +33,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
-#: Rounds with one hub per bucket; what is left then is compared in full.
+#: Rounds with one hub per bucket; what is left then is joined over its rare shingles.
 HUBS = 2
+#: Ratio of the largest to the smallest size of one class of partner sizes.
+SIZES = 1.05
 
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 #: Chances of at most 0, 1, ... darts in a cell of area 1.
@@ -116,27 +120,84 @@ def similarity(a, b) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``_id, _a, _b, _size, _keys`` of ``_id, _text``: two hashes of the bag (null for no words), weight and band keys."""
+    """``_row, _bag, _size, _keys`` of ``_row, _text``: 128-bit hash of the bag (null for no words), weight and band keys."""
     def run(batches):
         for batch in batches:
-            a, b, sizes, keys = [], [], [], []
+            names, sizes, keys = [], [], []
             for items, counts in bags(batch.column(1)):
                 if len(items):
                     both = mixed(items * np.uint64(3) + mixed(counts.astype(np.uint64)))
-                    a.append(both.sum().view(np.int64))
-                    b.append(mixed(both + _SEED).sum().view(np.int64))
+                    names.append(np.array([both.sum(), mixed(both + _SEED).sum()], ">u8").tobytes())
                     sizes.append(int(counts.sum()))
                     keys.append(band_keys(items, counts))
                 else:
-                    a.append(None)
-                    b.append(None)
+                    names.append(None)
                     sizes.append(0)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["_id", "_a", "_b", "_size", "_keys"])
-    kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {kind}, _a long, _b long, _size long, _keys array<long>")
+                [batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["_row", "_bag", "_size", "_keys"])
+    kind = docs.schema["_row"].dataType.simpleString()
+    return docs.mapInArrow(run, f"_row {kind}, _bag binary, _size long, _keys array<long>")
+
+
+def tokens(texts: DataFrame) -> DataFrame:
+    """``_rep, _t`` of ``_rep, _text``: one token per shingle and occurrence, so that bags are sets of tokens."""
+    def run(batches):
+        for batch in batches:
+            for i, (items, counts) in enumerate(bags(batch.column(1))):
+                number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                token = mixed(np.repeat(items, counts) + _SEED * number.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(token), i))), pa.array(token.view(np.int64))],
+                                                 ["_rep", "_t"])
+    return texts.select("_rep", "_text").mapInArrow(run, "_rep binary, _t long")
+
+
+def _size_class(size):
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(SIZES)) + F.lit(1e-9))
+
+
+def rare_pairs(texts: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """``_x, _y``: all pairs of different classes in ``placed`` (``_rep, _size, _class``) that can be similar enough.
+
+    Two sets of ``a`` and ``b`` tokens need ``c = least / (1 + least) * (a + b)`` in common, so in any fixed order they share
+    one among the first ``a - c + 1`` and ``b - c + 1``. The order is by frequency, rare tokens first, and the first shared
+    place bounds what can follow. Tokens of one class of partners only are left out, and where several classes meet,
+    the members of the largest are not held against each other.
+    """
+    tiny = 1e-9
+    share = least / (1 + least)
+    every = cut(tokens(texts.join(placed.select("_rep"), "_rep", "left_semi")))
+    often = every.groupBy("_t").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    ranked = (every.join(often, "_t", "left").groupBy("_rep")
+              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("_df"), "_t"))).alias("_ts"))
+              .join(placed, "_rep"))
+    longest = F.col("_size") - F.ceil(F.lit(least) * F.col("_size") - tiny) + 1
+    low, high = _size_class(F.greatest(F.ceil(F.lit(least) * F.col("_size") - tiny), F.lit(1))), _size_class(F.floor(F.col("_size") / least + tiny))
+    spots = (ranked.select("_rep", "_size", "_class", F.posexplode(F.slice("_ts", F.lit(1), longest.cast("int"))).alias("_at", "_e"))
+             .filter("_e._df > 1")
+             .select("_rep", "_size", "_class", "_at", F.col("_e._t").alias("_t"), F.explode(F.sequence(low, high)).alias("_b")))
+    # The least size of a partner of that class bounds how much must be shared with it.
+    partner = F.greatest(F.ceil(F.pow(F.lit(SIZES), F.col("_b").cast("double")) * (1 - 1e-9)), F.ceil(F.lit(least) * F.col("_size") - tiny))
+    needed = F.ceil(F.lit(share) * (F.col("_size") + partner) - tiny)
+    own = _size_class(F.col("_size"))
+    spots = (spots.filter(F.col("_at") < F.col("_size") - needed + 1)
+             .select("_rep", "_size", "_class", "_at", "_t", F.least(own, "_b").alias("_b1"), F.greatest(own, "_b").alias("_b2")))
+    where = ["_t", "_b1", "_b2"]
+    spots = cut(spots)
+    members = spots.groupBy(*where, "_class").agg(F.count(F.lit(1)).alias("_n"))
+    mixed_ = members.groupBy(*where).agg(F.max(F.struct("_n", "_class")).alias("_top"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    placed_ = spots.join(mixed_.select(*where, F.col("_top._class").alias("_most")), where)
+    x = placed_.filter("_class <> _most").select(*where, F.col("_rep").alias("_x"), F.col("_size").alias("_sx"), F.col("_class").alias("_cx"),
+                                                 F.col("_at").alias("_ax"))
+    y = placed_.select(*[F.col(c).alias(f"{c}y") for c in where], F.col("_rep").alias("_y"), F.col("_size").alias("_sy"), F.col("_class").alias("_cy"), F.col("_at").alias("_ay"),
+                       (F.col("_class") == F.col("_most")).alias("_of_most"))
+    bound = 1 + F.least(F.col("_sx") - F.col("_ax") - 1, F.col("_sy") - F.col("_ay") - 1)
+    fits = (F.col("_cx") != F.col("_cy")) & (bound >= F.lit(share) * (F.col("_sx") + F.col("_sy")) - tiny) & alike("_sx", "_sy", least)
+    # Two members outside the largest class meet once only.
+    once = F.col("_of_most") | (F.col("_x") < F.col("_y"))
+    same = [F.col(c) == F.col(f"{c}y") for c in where]
+    return x.join(y, [*same, fits, once]).select("_x", "_y").distinct()
 
 
 def alike(a: str, b: str, least: float):
@@ -180,60 +241,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("_u").alias("_rep"), F.col("_l").alias("_class"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """``key, class_id, n_copies``: one row per document; the class is the smallest id it is connected with.
+def classes_of(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bags, and the class of each bag, of ``_row, _text`` (``_row`` names the text).
 
-    ``n_copies`` counts the rows with the same bag of shingles. Documents without words (null, empty) are classes of their
-    own; a null id is too, and its class is null. Repeated rows repeat the result. An empty table gives an empty result.
+    Returns ``_row, _bag`` (null where a text has no words) and ``_bag, _class`` with the smallest bag it is connected with;
+    bags without links are missing from the second.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    plain = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    bagged = cut(signed(plain))
-    named = bagged.filter("_a is not null and _id is not null")
-    reps = cut(named.groupBy("_a", "_b").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")))
-    own = named.join(reps.select(F.col("_rep").alias("_id"), "_a", "_b"), ["_id", "_a", "_b"])
-    weights = own.select(F.col("_id").alias("_y"), F.col("_size").alias("_other"))
-    member = own.select(F.col("_id").alias("_rep"), "_size", F.explode("_keys").alias("_key"))
-    sizes = member.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    buckets = cut(member.join(sizes.select("_key", "_hub"), "_key"))
-    shared = cut(buckets.select("_rep").distinct().join(plain.withColumnRenamed("_id", "_rep"), "_rep")
-                 .dropDuplicates(["_rep"]))
-    pairs = buckets.filter("_rep <> _hub").select(F.col("_rep").alias("_x"), "_size", F.col("_hub").alias("_y")).distinct()
-    pairs = pairs.join(weights, "_y").filter(alike("_size", "_other", least)).select("_x", "_y").distinct()
-    links = cut(verified(pairs, shared, least))
+    bagged = cut(signed(rows))
+    worded = bagged.filter("_bag is not null")
+    # One row per bag: copies of a text have the same keys.
+    named = worded.groupBy("_bag").agg(F.min("_row").alias("_row"), F.max("_size").alias("_size"), F.first("_keys").alias("_keys"))
+    member = named.select(F.col("_bag").alias("_rep"), "_size", F.explode("_keys").alias("_key"))
+    sizes = member.groupBy("_key").agg(F.min(F.struct("_rep", "_size")).alias("_h"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    buckets = cut(member.join(sizes.select("_key", "_h"), "_key"))
+    used = buckets.select(F.col("_rep").alias("_bag")).distinct().join(named.select("_bag", "_row"), "_bag")
+    texts = cut(rows.join(used, "_row").select(F.col("_bag").alias("_rep"), "_text").dropDuplicates(["_rep"]))
+    pairs = (buckets.filter((F.col("_rep") != F.col("_h._rep")) & alike("_size", "_h._size", least))
+             .select(F.col("_rep").alias("_x"), F.col("_h._rep").alias("_y")))
+    links = cut(verified(pairs.distinct(), texts, least))
     for round_ in range(1, HUBS + 1):
-        classes = components(links)
+        classes = cut(components(links))
         placed = (buckets.select("_key", "_rep", "_size").join(classes, "_rep", "left")
                   .withColumn("_class", F.coalesce("_class", "_rep")))
-        mixed_ = placed.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).filter("_lo < _hi")
-        placed = cut(placed.join(mixed_.select("_key"), "_key"))
+        open_ = placed.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).filter("_lo < _hi")
+        placed = cut(placed.join(open_.select("_key"), "_key"))
         if placed.isEmpty():
-            break
+            return bagged.select("_row", "_bag"), classes.withColumnRenamed("_rep", "_bag")
         if round_ < HUBS:
             draw = F.struct(F.xxhash64("_rep", F.lit(round_)), "_rep", "_class", "_size")
-            other = placed.groupBy("_key").agg(F.min(draw).alias("_h")).select(
-                "_key", F.col("_h._rep").alias("_y"), F.col("_h._class").alias("_hc"), F.col("_h._size").alias("_other"))
-            open_ = F.col("_class") != F.col("_hc")
+            hub = placed.groupBy("_key").agg(F.min(draw).alias("_h"))
+            pairs = (placed.join(hub, "_key").filter((F.col("_class") != F.col("_h._class")) & alike("_size", "_h._size", least))
+                     .select(F.col("_rep").alias("_x"), F.col("_h._rep").alias("_y")).distinct())
         else:
-            other = placed.select("_key", F.col("_rep").alias("_y"), F.col("_class").alias("_hc"), F.col("_size").alias("_other"))
-            open_ = (F.col("_class") != F.col("_hc")) & (F.col("_rep") < F.col("_y"))
-        pairs = placed.join(other, "_key").filter(open_ & alike("_size", "_other", least)).select(F.col("_rep").alias("_x"), "_y")
+            pairs = rare_pairs(texts, placed.select("_rep", "_size", "_class").distinct(), least)
         known = classes.filter("_rep <> _class").select(F.col("_rep").alias("_x"), F.col("_class").alias("_y"))
-        links = cut(known.union(verified(pairs.distinct(), shared, least)).distinct())
-    else:
-        classes = components(links)
-    found = (reps.join(classes, "_rep", "left")
-             .select("_a", "_b", F.coalesce("_class", "_rep").alias("_class"), "_n"))
-    alone = bagged.filter("_a is null or _id is null").select(F.col("_id"), F.col("_id").alias("_class"),
-                                                              F.lit(1).cast("bigint").alias("_n"))
-    joined = named.select("_id", "_a", "_b").join(found, ["_a", "_b"]).select("_id", "_class", "_n")
-    return joined.union(alone).select(F.col("_id").alias(key), F.col("_class").alias("class_id"),
-                                      F.col("_n").alias("n_copies"))
+        links = cut(known.union(verified(pairs, texts, least)).distinct())
+    return bagged.select("_row", "_bag"), components(links).withColumnRenamed("_rep", "_bag")
+
+
+def row_name(text: str, key: str) -> Column:
+    """A row is named by its id and the hashes of its text, so an id with several texts is several names; null ids come last."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("a"),
+                    F.xxhash64(F.lit(1), text).alias("b")).alias("_row")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """``key, class_id, n_copies``: one row per document; the class is the smallest id of the texts it is connected with.
+
+    ``n_copies`` counts the rows with the same bag of shingles. Documents without words (null, empty) are classes of their own.
+    An id with several texts has a row for each, with the class of that text; it gives its name to one of these classes, and to
+    another only where that has no other id. A null id is in the class of its text and names none: a class of null ids only has a null ``class_id``. Repeated rows repeat the result; other columns are not read. An empty table
+    gives an empty result.
+    """
+    prepare(docs.sparkSession)
+    rows, classes = classes_of(docs.select(row_name(text, key), F.col(text).alias("_text")), least)
+    worded = rows.filter("_bag is not null")
+    # An id with several texts names the class of one of them only.
+    owned = worded.groupBy(F.col("_row.id").alias("_id")).agg(F.min("_bag").alias("_bag")).groupBy("_bag").agg(F.min("_id").alias("_own"))
+    placed = (worded.groupBy("_bag").agg(F.min("_row.id").alias("_id"), F.count(F.lit(1)).alias("_n")).join(owned, "_bag", "left")
+              .join(classes, "_bag", "left").withColumn("_class", F.coalesce("_class", "_bag")))
+    placed = cut(placed)
+    heads = placed.groupBy("_class").agg(F.coalesce(F.min("_own"), F.min("_id")).alias("_head"))
+    named = placed.join(heads, "_class").select("_bag", "_head", "_n")
+    worded = worded.join(named, "_bag").select("_row", "_head", "_n")
+    alone = rows.filter("_bag is null").select("_row", F.col("_row.id").alias("_head"), F.lit(1).cast("bigint").alias("_n"))
+    return worded.union(alone).select(F.col("_row.id").alias(key), F.col("_head").alias("class_id"), F.col("_n").alias("n_copies"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """The documents whose id is their class's: one of each group stays. Repeated rows of one id stay together."""
-    classes = near_duplicates(docs, text, key, least)
-    gone = classes.filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    """One document of each group stays: the one of the smallest id, null ids last, ties by the hashes of the text.
+
+    Groups are those of ``near_duplicates``, so unrelated texts that share an id do not remove each other. Of rows that agree in
+    id and text, one stays. Documents without words all stay.
+    """
+    prepare(docs.sparkSession)
+    rows, classes = classes_of(docs.select(row_name(text, key), F.col(text).alias("_text")), least)
+    placed = cut(rows.filter("_bag is not null").groupBy("_bag", "_row").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_bag", "left")
+                 .select("_row", F.coalesce("_class", "_bag").alias("_class"), "_n"))
+    heads = placed.groupBy("_class").agg(F.min("_row").alias("_head"))
+    fate = (placed.join(heads, "_class").filter((F.col("_row") != F.col("_head")) | (F.col("_n") > 1))
+            .select("_row", (F.col("_row") == F.col("_head")).alias("_stays")))
+    whole = docs.select(F.struct("*").alias("_doc"), row_name(text, key))
+    once = whole.join(fate.filter("_stays").select("_row"), "_row").dropDuplicates(["_row"])
+    return whole.join(fate.select("_row"), "_row", "left_anti").select("_doc.*").union(once.select("_doc.*"))

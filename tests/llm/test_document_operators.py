@@ -219,6 +219,72 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: root(i) for i in ids}
 
 
+def brute_classes(texts):
+    """Smallest number connected with each text."""
+    bags, parent = [plain_bag(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(bags)):
+        for j in range(i):
+            common = sum((bags[i] & bags[j]).values())
+            if common >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - common):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(bags))]
+
+
+def graded(n, size, edits, seed):
+    """Texts that differ from one text in a few places each: many pairs a little under the threshold."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for i in rng.sample(range(size), rng.randrange(edits + 1)):
+            text[i] = rng.choice(["", f"n{rng.randrange(10**6)}", "x y"])
+        out.append(" ".join(w for w in text if w))
+    return out
+
+
+def test_a_large_graded_group_loses_no_class(spark):
+    texts = graded(260, 150, 8, 1) + graded(60, 40, 3, 2)
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs_of(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_rare_pairs_hold_every_link_between_classes(spark):
+    texts = sorted(set(graded(300, 150, 8, 3) + graded(80, 30, 3, 4) + ["a a a a a a a a a a a a", "a a a a a a a a a a a a a"]))
+    bags = [plain_bag(t) for t in texts]
+    rows = [(bytes([i // 256, i % 256]), t, sum(bags[i].values()), bytes([i // 256, i % 256])) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "_rep binary, _text string, _size long, _class binary")
+    got = {frozenset((bytes(r["_x"]), bytes(r["_y"]))) for r in dartminhash.rare_pairs(
+        frame.select("_rep", "_text"), frame.select("_rep", "_size", "_class"), 0.8).collect()}
+    want = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            common = sum((bags[i] & bags[j]).values())
+            if common >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - common):
+                want.add(frozenset((rows[i][0], rows[j][0])))
+    assert want <= got and len(got) < 0.5 * len(texts) * (len(texts) - 1) / 2
+
+
+def test_ids_are_only_names(spark):
+    a = "one two three four five six seven eight nine"
+    b = "red orange yellow green blue indigo violet black white"
+    docs = docs_of(spark, [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 1)])
+    got = {(r["doc_id"], r["class_id"]) for r in dartminhash.near_duplicates(docs).collect()}
+    of = {k: [c for d, c in got if d == k] for k in (1, 2, 3)}
+    assert of[2] != of[3] and set(of[1]) == {of[2][0], of[3][0]}
+    kept = dartminhash.keep_first(docs_of(spark, [(0, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(0, a), (1, b)]
+    kept = dartminhash.keep_first(docs_of(spark, [(None, a, "en", "s", 1), (4, a, "en", "s", 1), (4, a, "en", "s", 1), (4, a, "en", "s", 1),
+                                                  (None, b, "en", "s", 1), (None, b, "en", "s", 1), (None, "", "en", "s", 1)])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("4", a), ("None", ""), ("None", b)]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     random.seed(2)
     one = [random.choice("abcdefghij") for _ in range(300)]
