@@ -15,6 +15,7 @@ from flowlens.operators import decide, evaluate, sampling
 from flowlens.operators.contract import require_real
 from flowlens.operators.graph import WINDOW_VECTOR
 from flowlens.operators.scan import exact_quantiles
+from flowlens.operators.separability import held_out_scores
 from flowlens.operators.trailing import FEATURES, trailing_features
 from flowlens.operators.windows import in_intervals
 from flowlens.session import cut_lineage
@@ -115,18 +116,8 @@ def cross_day(features: DataFrame, identity: str, day: str = "day", label: str =
 def separability_probe(vectors: DataFrame, identity: str, label: str = "y", features: Sequence[str] = WINDOW_VECTOR,
                        folds: int = 3, seed: int = 42) -> DataFrame:
     """Cross-validated balanced logistic regression: how much a linear model sees at this window size."""
-    folded = sampling.hash_rank(vectors, seed, identity, [label], "_rank").withColumn("_fold", F.pmod("_rank", F.lit(folds)))
-    sizes = folded.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = sizes.agg(F.sum("_c")).scalar()
-    weighted = cut_lineage(folded.join(sizes, label).withColumn("_w", total / (F.col("_c") * 2.0)))
-    scored = None
-    for fold in range(folds):
-        learner = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=300)
-        model = learner.fit(assemble(weighted.filter(F.col("_fold") != fold), features))
-        part = model.transform(assemble(weighted.filter(F.col("_fold") == fold), features)).select(
-            identity, label, vector_to_array("probability")[1].alias("p"))
-        scored = part if scored is None else scored.unionByName(part)
-    report = evaluate.threshold_report(scored, "p", label, 0.5, points=GRID)
+    scored = cut_lineage(held_out_scores(vectors, [], identity, label, features, folds, seed))
+    report = evaluate.threshold_report(scored, "p", label, 0.5)
     medians = exact_quantiles(vectors, "n_edges", {"median": 0.5}, [label])
     pick = lambda v: medians.filter(F.col(label) == v).select("median").scalar()
     return (report.withColumn("windows", vectors.agg(F.count(F.lit(1))).scalar())

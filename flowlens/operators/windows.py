@@ -2,8 +2,10 @@
 
 Anchored windows are sequential by definition: each window starts at the first event outside the one
 before. They are still computed in parallel. A stream is cut into time segments; each segment is first
-reduced to a small table that says which anchor leaves it for every anchor that may enter it; those
-tables are chained per stream; then each segment is scanned on its own with its known entry.
+reduced to a small table that says which anchor leaves it for every anchor that may enter it. Such a table is a
+monotone step map, and two neighbouring ones compose into a third, so the maps are a parallel prefix: up a tree,
+``FAN`` neighbours become one map; down again, each node hands its children the anchors they start with. Then each segment is
+scanned on its own with its known entry. No task sees more than ``FAN`` maps of one node, however long a stream is.
 """
 
 from __future__ import annotations
@@ -19,6 +21,12 @@ from flowlens.operators.scan import neighbours, running_sums
 from flowlens.schemas import ATTACK_GUARD_SECONDS, MICROS
 
 SEGMENT_WINDOWS = 256
+#: Maps that one node of the tree composes.
+FAN = 512
+
+_MAP = ("_key string, _index bigint, _segment bigint, _width bigint, thresholds array<bigint>, leaving array<bigint>, "
+        "first_ts bigint, last_ts bigint, broken boolean")
+_ENTRY = "_key string, _index bigint, _segment bigint, _entry bigint, _seen bigint"
 
 
 # --- anchored windows ---------------------------------------------------------------------------
@@ -94,6 +102,7 @@ class _Cut:
                 leave = further
             segment = frame["_segment"].to_numpy(dtype=np.int64)
             width = frame["_width"].to_numpy(dtype=np.int64)
+            index = frame["_index"].to_numpy(dtype=np.int64)
             rows = []
             for begin, end in zip(starts, ends):
                 gaps = np.flatnonzero(gap[begin:end])
@@ -104,36 +113,76 @@ class _Cut:
                 keep = np.append(leaving[1:] != leaving[:-1], True)
                 rows.append((thresholds[keep], leaving[keep], ts[end - 1], bool(len(gaps))))
             yield pd.DataFrame({
-                "_key": frame["_key"].to_numpy()[starts], "_segment": segment[starts], "_width": width[starts],
+                "_key": frame["_key"].to_numpy()[starts], "_index": index[starts], "_segment": segment[starts],
+                "_width": width[starts],
                 "thresholds": [r[0] for r in rows], "leaving": [r[1] for r in rows],
                 "first_ts": ts[starts], "last_ts": [r[2] for r in rows], "broken": [r[3] for r in rows],
             })
 
-    def chain(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Carries the anchor from segment to segment; input sorted by key and segment."""
+    def leaves(self, table: tuple, anchor: int | None, seen: int | None) -> int:
+        """The anchor that leaves a map ``(segment, width, thresholds, leaving, first, last, broken)`` if ``anchor`` enters it."""
+        _, width, thresholds, leaving, first, _, broken = table
+        if anchor is None or (self.idle is not None and first - seen > self.idle):
+            return int(leaving[0])
+        at = int(np.searchsorted(thresholds, self.threshold(anchor, width), side="left"))
+        if at < len(thresholds):
+            return int(leaving[at])
+        return int(leaving[-1]) if broken else anchor
+
+    def compose(self, left: tuple, right: tuple) -> tuple:
+        """The map of two neighbours in one, with only the thresholds that an anchor before both can have."""
+        segment, width, thresholds, leaving, first, last, broken = left
+        _, _, reached, further, start, end, cut = right
+        if self.idle is not None and start - last > self.idle:
+            return segment, width, thresholds[-1:], further[:1], first, end, True
+        at = np.searchsorted(reached, self.threshold(leaving, width), side="left")
+        beyond = further[-1] if cut else leaving
+        onwards = np.where(at < len(reached), further[np.minimum(at, len(reached) - 1)], beyond)
+        if not broken:
+            thresholds, onwards = np.concatenate([thresholds, reached]), np.concatenate([onwards, further])
+        size = int(np.searchsorted(thresholds, self.threshold(segment, width), side="left")) + 1
+        thresholds, onwards = thresholds[:size], onwards[:size]
+        keep = np.append(onwards[1:] != onwards[:-1], True)
+        return segment, width, thresholds[keep], onwards[keep], first, end, broken or cut
+
+    def merge(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One map per node; input sorted by key, node and index."""
+        name, table = None, None
+
+        def made(rows: list) -> pd.DataFrame:
+            columns = [c.split()[0] for c in _MAP.split(", ")]
+            return pd.DataFrame([(key, node, *t) for (key, node), t in rows], columns=columns)
+
+        for frame in frames:
+            rows = []
+            for key, node, *piece in frame.itertuples(index=False, name=None):
+                if (key, node) == name:
+                    table = self.compose(table, tuple(piece))
+                    continue
+                if name is not None:
+                    rows.append((name, table))
+                name, table = (key, node), tuple(piece)
+            yield made(rows)
+        if name is not None:
+            yield made([(name, table)])
+
+    def hand_down(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The anchor that enters each map. Input sorted by key, node and index; what enters the node comes first, if anything."""
         current, anchor, seen = None, None, None
         for frame in frames:
-            entries = []
-            for row in frame.itertuples(index=False):
-                if row[0] != current:
-                    current, anchor, seen = row[0], None, None
-                _, _, width, thresholds, leaving, first_ts, last_ts, broken = row
-                if anchor is not None and self.idle is not None and first_ts - seen > self.idle:
+            rows = []
+            for key, node, index, entry, before, *table in frame.itertuples(index=False, name=None):
+                if (key, node) != current:
+                    current, anchor, seen = (key, node), None, None
+                if table[0] is None or table[0] != table[0]:
+                    anchor, seen = (None if pd.isna(entry) else int(entry)), (None if pd.isna(before) else int(before))
+                    continue
+                if anchor is not None and self.idle is not None and table[4] - seen > self.idle:
                     anchor = None
-                entries.append(anchor)
-                if anchor is None:
-                    anchor = int(leaving[0])
-                else:
-                    at = int(np.searchsorted(thresholds, self.threshold(anchor, width), side="left"))
-                    if at < len(thresholds):
-                        anchor = int(leaving[at])
-                    elif broken:
-                        anchor = int(leaving[-1])
-                seen = last_ts
-            yield pd.DataFrame({
-                "_key": frame["_key"], "_segment": frame["_segment"],
-                "_entry": pd.array(entries, dtype="Int64"),
-            })
+                rows.append((key, index, table[0], anchor, seen))
+                anchor, seen = self.leaves(tuple(table), anchor, seen), table[5]
+            out = pd.DataFrame(rows, columns=["_key", "_index", "_segment", "_entry", "_seen"])
+            yield out.astype({"_index": "Int64", "_segment": "Int64", "_entry": "Int64", "_seen": "Int64"})
 
     def assign(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Every distinct time with the anchor of its window."""
@@ -181,6 +230,7 @@ def anchored_windows(
     strict: bool = False,
     idle_us: int | None = None,
     segment_us: int | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Adds ``window_start``: the time of the event that opened the row's window.
 
@@ -189,24 +239,61 @@ def anchored_windows(
     differ from key to key.
     """
     keys = list(keys)
-    cut = _Cut(strict, idle_us)
     width = F.col(width_us) if isinstance(width_us, str) else F.lit(width_us)
     keyed = events.withColumn("_key", packed_key(keys))
-    segment = F.lit(segment_us) if segment_us else F.col("_width") * SEGMENT_WINDOWS
-    times = (keyed.select("_key", F.col(ts).alias("_ts"), width.cast("bigint").alias("_width")).distinct()
-             .withColumn("_segment", F.col("_ts") - F.pmod("_ts", segment)))
-    pieces = (times.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_ts")
-              .mapInPandas(cut.summarise, "_key string, _segment bigint, _width bigint, thresholds array<bigint>, "
-                           "leaving array<bigint>, first_ts bigint, last_ts bigint, broken boolean"))
-    entries = (pieces.repartition("_key").sortWithinPartitions("_key", "_segment")
-               .mapInPandas(cut.chain, "_key string, _segment bigint, _entry bigint"))
-    assigned = (times.join(entries, ["_key", "_segment"])
-                .repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_ts")
-                .mapInPandas(cut.assign, "_key string, _ts bigint, window_start bigint"))
+    times = keyed.select("_key", F.col(ts).alias("_ts"), width.cast("bigint").alias("_width")).distinct()
+    assigned = _window_starts(times, _Cut(strict, idle_us), segment_us, _levels(events, ts, width, segment_us, fan), fan)
     return (keyed.join(assigned.withColumnRenamed("_ts", ts), ["_key", ts]).drop("_key")
             .select(*events.columns, "window_start"))
 
 
+def _levels(events: DataFrame, ts: str, width: Column, segment_us: int | None, fan: int) -> int:
+    """Levels of the tree above the segments, from one narrow scan for the ends of the time range."""
+    ends = events.agg(F.min(ts).alias("low"), F.max(ts).alias("high"), F.min(width.cast("bigint")).alias("width")).first()
+    if ends["low"] is None:
+        return 0
+    maps = (ends["high"] - ends["low"]) // (segment_us or ends["width"] * SEGMENT_WINDOWS) + 2
+    levels = 0
+    # A node may meet its range at both ends, so no tree of fan two ends under four maps.
+    while maps > max(fan, 4):
+        maps, levels = maps // fan + 2, levels + 1
+    return levels
+
+
+def segment_maps(times: DataFrame, cut: _Cut, segment_us: int | None = None, levels: int = 0, fan: int = FAN) -> list[DataFrame]:
+    """The maps of ``_key, _ts, _width``: first those of the segments, then of every level of nodes above."""
+    segment = F.lit(segment_us) if segment_us else F.col("_width") * SEGMENT_WINDOWS
+    placed = (times.withColumn("_segment", F.col("_ts") - F.pmod("_ts", segment))
+              .withColumn("_index", (F.col("_segment") / segment).cast("bigint")))
+    tree = [placed.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_ts").mapInPandas(cut.summarise, _MAP)]
+    for _ in range(levels):
+        below = tree[-1].withColumn("_node", F.floor(F.col("_index") / fan))
+        names = [c for c in tree[-1].columns if c not in ("_key", "_index")]
+        tree.append(below.repartition("_key", "_node").sortWithinPartitions("_key", "_node", "_index")
+                    .select("_key", "_node", *names).mapInPandas(cut.merge, _MAP))
+    return tree
+
+
+def _window_starts(times: DataFrame, cut: _Cut, segment_us: int | None, levels: int, fan: int) -> DataFrame:
+    """``_key, _ts, window_start`` of distinct ``_key, _ts, _width``; one width per key."""
+    segment = F.lit(segment_us) if segment_us else F.col("_width") * SEGMENT_WINDOWS
+    placed = times.withColumn("_segment", F.col("_ts") - F.pmod("_ts", segment))
+    entries = None
+    for maps in reversed(segment_maps(times, cut, segment_us, levels, fan)):
+        node = F.floor(F.col("_index") / fan) if entries is not None else F.lit(0).cast("bigint")
+        none = F.lit(None).cast("bigint")
+        rows = maps.select("_key", node.alias("_node"), "_index", none.alias("_entry"), none.alias("_seen"),
+                           *[c for c in maps.columns if c not in ("_key", "_index")])
+        if entries is not None:
+            first = entries.select("_key", F.col("_index").alias("_node"), "_entry", "_seen")
+            rows = rows.unionByName(first, allowMissingColumns=True)
+        entries = (rows.repartition("_key", "_node").sortWithinPartitions("_key", "_node", F.col("_index").asc_nulls_first())
+                   .mapInPandas(cut.hand_down, _ENTRY))
+    return (placed.join(entries.select("_key", "_segment", "_entry"), ["_key", "_segment"])
+            .repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_ts")
+            .mapInPandas(cut.assign, "_key string, _ts bigint, window_start bigint"))
+
+
 def window_bounds(windowed: DataFrame, keys: Sequence[str], ts: str = "ts_us", cell_us: int = 24 * 3600 * MICROS,
                   ) -> DataFrame:
     """One row per window; ``window_end`` is the closing event's time, the last event's for the open one."""
@@ -230,10 +317,21 @@ def window_id(keys: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("window_start").cast("string")), 256)
 
 
-def cadence_windows(events: DataFrame, widths_us: Sequence[int], keys: Sequence[str], ts: str = "ts_us") -> DataFrame:
-    """The same stream windowed at several widths in one pass; adds ``cadence_us`` and ``window_start``."""
+def cadence_windows(events: DataFrame, widths_us: Sequence[int], keys: Sequence[str], ts: str = "ts_us",
+                    segment_us: int | None = None, fan: int = FAN) -> DataFrame:
+    """The same stream windowed at several widths in one pass; adds ``cadence_us`` and ``window_start``.
+
+    Only the distinct times are cut once per width; the rows meet their window starts in one join at the end.
+    """
     widths = F.array(*[F.lit(int(w)).cast("bigint") for w in widths_us])
-    return anchored_windows(events.withColumn("cadence_us", F.explode(widths)), "cadence_us", [*keys, "cadence_us"], ts)
+    keyed = events.withColumn("_key", packed_key(list(keys)))
+    times = (keyed.select("_key", F.col(ts).alias("_ts")).distinct().withColumn("_width", F.explode(widths))
+             .withColumn("_key", F.concat_ws("@", "_key", "_width")))
+    shortest = F.lit(int(min(widths_us)))
+    assigned = _window_starts(times, _Cut(False, None), segment_us, _levels(events, ts, shortest, segment_us, fan), fan)
+    named = assigned.select(F.substring_index("_key", "@", -1).cast("bigint").alias("cadence_us"), F.col("_ts").alias(ts),
+                            "window_start", F.regexp_replace("_key", "@[0-9]+$", "").alias("_key"))
+    return keyed.join(named, ["_key", ts]).select(*events.columns, "cadence_us", "window_start")
 
 
 # --- attack intervals ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import attention, flows, graph, windows
+from flowlens.operators import attention, flows, graph, separability, windows
 from flowlens.operators.evaluate import long_form
 from flowlens.operators.graph import WINDOW_VECTOR
 from flowlens.operators.scan import exact_quantiles
@@ -186,8 +186,10 @@ def attack_spans(spark, sf):
     return windows.merged_intervals(rows.filter(F.col("dst") == "error"), ["stream"], _guard)
 
 
-CADENCE_SQL = f"""with recursive {FLOW}, {INTERVALS},
-widths as (select unnest([{', '.join(map(str, CADENCES))}]) as cadence_us),
+#: A width that puts each stream in one window, so that one class is missing.
+WHOLE = 4000 * DAY
+CADENCE_LABELS = f"""with recursive {FLOW}, {INTERVALS},
+widths as (select unnest([{', '.join(map(str, (*CADENCES, WHOLE)))}]) as cadence_us),
 starts(cadence_us, stream, window_start) as (
   select cadence_us, stream, min(ts_us) from flow, widths group by all
   union all
@@ -207,18 +209,24 @@ win as (select s.cadence_us || '/' || s.stream || '/' || s.window_start as wk, f
               max(degree_out) as max_degree_out, max(degree_in) as max_degree_in from nodes group by wk) n on n.wk = e.wk),
 lab as (select v.*, exists (select 1 from spans_m i where i.stream = v.stream
                              and v.window_start between i.span_start and i.span_end) as is_attack from vec v)
-select cadence_us, is_attack, count(*) as n, """ + ", ".join(
-    f"round(quantile_cont({c}, 0.5), 6) + 0.0 as median_{c}" for c in WINDOW_VECTOR) + " from lab group by all"
+"""
+CADENCE_SQL = CADENCE_LABELS + "select cadence_us, is_attack, count(*) as n, " + ", ".join(
+    f"round(quantile_cont({c}, 0.5), 6) + 0.0 as median_{c}" for c in WINDOW_VECTOR) + f" from lab where cadence_us < {WHOLE} group by all"
+
+
+def labelled_cadences(spark, sf, cadences):
+    """One row per window of every cadence: its vector and whether it starts inside an attack."""
+    keys = ["cadence_us", "stream", "window_start"]
+    rows = flow(spark, sf).select("stream", "ts_us", F.col("src").cast("string").alias("src"), "dst", "port", "bytes", "duration_ms")
+    counted = graph.port_counts(windows.cadence_windows(rows, cadences, ["stream"]), keys)
+    # Small next to the events, and read several times by what follows.
+    return cut_lineage(windows.label_windows(graph.window_vectors(cut_lineage(counted), keys), attack_spans(spark, sf), ["stream"], DAY))
 
 
 @query("cadence_sweep", CADENCE_SQL)
 def cadence_sweep(spark, sf):
     """Window counts and the medians of all nine statistics, per cadence and class."""
-    keys = ["cadence_us", "stream", "window_start"]
-    rows = flow(spark, sf).select("stream", "ts_us", F.col("src").cast("string").alias("src"), "dst", "port", "bytes", "duration_ms")
-    counted = graph.port_counts(windows.cadence_windows(rows, CADENCES, ["stream"]), keys)
-    # One small row per window, read several times below.
-    labelled = cut_lineage(windows.label_windows(graph.window_vectors(cut_lineage(counted), keys), attack_spans(spark, sf), ["stream"], DAY))
+    labelled = labelled_cadences(spark, sf, CADENCES)
     by = ["cadence_us", "is_attack"]
     medians = exact_quantiles(long_form(labelled, list(WINDOW_VECTOR), by), "value", {"median": 0.5}, [*by, "feature"])
     pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("median"))).alias(f"median_{name}")
@@ -226,6 +234,37 @@ def cadence_sweep(spark, sf):
     return rounded(out, *[f"median_{c}" for c in WINDOW_VECTOR])
 
 
+def probed_cadences(spark, sf):
+    return labelled_cadences(spark, sf, (*CADENCES, WHOLE)).select(
+        "*", F.col("is_attack").cast("int").alias("y"), F.concat_ws("/", "stream", "window_start").alias("window"))
+
+
+SHARES_SQL = CADENCE_LABELS + """, m as (
+select cadence_us, count(*) as windows, count(*) filter (is_attack) as attacks, """ + ", ".join(
+    f"quantile_cont({c}, 0.5) filter (is_attack) as a_{c}, quantile_cont({c}, 0.5) filter (not is_attack) as b_{c}"
+    for c in WINDOW_VECTOR) + """ from lab group by all),
+k as (select *, attacks > 0 and attacks < windows as ok from m)
+select cadence_us, windows, ok as available, case when not ok then 'degenerate label distribution' end as reason,
+  case when ok then attacks end as attack_windows, case when ok then round(attacks / windows, 6) end as attack_fraction,
+  case when ok then round(greatest(attacks / windows, 1 - attacks / windows), 6) end as majority_class_accuracy,
+  case when ok then round(a_n_edges, 6) end as median_edges_attack, case when ok then round(b_n_edges, 6) end as median_edges_benign, """ + ", ".join(
+    f"case when ok then round(a_{c} / nullif(b_{c}, 0), 6) + 0.0 end as ratio_{c}" for c in WINDOW_VECTOR) + " from k"
+SHARES = ("attack_fraction", "majority_class_accuracy", "median_edges_attack", "median_edges_benign", *[f"ratio_{c}" for c in WINDOW_VECTOR])
+
+
+@query("cadence_shares", SHARES_SQL)
+def cadence_shares(spark, sf):
+    """Label shares, medians and the nine ratios of every cadence; the longest one has a single class and says so."""
+    return rounded(separability.label_shares(probed_cadences(spark, sf), ["cadence_us"]), *SHARES)
+
+
+@query("cadence_separability")
+def cadence_separability(spark, sf):
+    """The same with the AUC and F1 of one balanced linear model per cadence and fold, all fitted together."""
+    out = separability.separability(probed_cadences(spark, sf), ["cadence_us"], "window")
+    return rounded(out, *SHARES, "auc", "f1_attack")
+
+
 @query("attack_intervals", f"with {FLOW}, {INTERVALS} select * from spans_m")
 def attack_intervals(spark, sf):
     return attack_spans(spark, sf)
