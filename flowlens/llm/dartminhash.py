@@ -143,14 +143,23 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def tokens(texts: DataFrame) -> DataFrame:
     """``_rep, _t`` of ``_rep, _text``: one token per shingle and occurrence, so that bags are sets of tokens."""
+    def table(owners, found):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(found).view(np.int64))], ["_rep", "_t"])
+
     def run(batches):
         for batch in batches:
-            for i, (items, counts) in enumerate(bags(batch.column(1))):
+            owners, found, held = [], [], 0
+            for rep, (items, counts) in zip(batch.column(0).to_pylist(), bags(batch.column(1)), strict=True):
                 number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                token = mixed(np.repeat(items, counts) + _SEED * number.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(token), i))), pa.array(token.view(np.int64))],
-                                                 ["_rep", "_t"])
-    return texts.select("_rep", "_text").mapInArrow(run, "_rep binary, _t long")
+                found.append(mixed(np.repeat(items, counts) + _SEED * number.astype(np.uint64)))
+                owners.append(np.full(len(number), rep, np.int64))
+                held += len(number)
+                if held > 1 << 18:
+                    yield table(owners, found)
+                    owners, found, held = [], [], 0
+            if owners:
+                yield table(owners, found)
+    return texts.select("_rep", "_text").mapInArrow(run, "_rep long, _t long")
 
 
 def _size_class(size):
@@ -244,39 +253,43 @@ def components(links: DataFrame) -> DataFrame:
 def classes_of(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows with their bags, and the class of each bag, of ``_row, _text`` (``_row`` names the text).
 
-    Returns ``_row, _bag`` (null where a text has no words) and ``_bag, _class`` with the smallest bag it is connected with;
-    bags without links are missing from the second.
+    Returns ``_row, _bag`` (``_bag`` null where a text has no words) and ``_bag, _class``, the number of a connected class.
     """
     bagged = cut(signed(rows))
     worded = bagged.filter("_bag is not null")
-    # One row per bag: copies of a text have the same keys.
-    named = worded.groupBy("_bag").agg(F.min("_row").alias("_row"), F.max("_size").alias("_size"), F.first("_keys").alias("_keys"))
-    member = named.select(F.col("_bag").alias("_rep"), "_size", F.explode("_keys").alias("_key"))
-    sizes = member.groupBy("_key").agg(F.min(F.struct("_rep", "_size")).alias("_h"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    buckets = cut(member.join(sizes.select("_key", "_h"), "_key"))
-    used = buckets.select(F.col("_rep").alias("_bag")).distinct().join(named.select("_bag", "_row"), "_bag")
-    texts = cut(rows.join(used, "_row").select(F.col("_bag").alias("_rep"), "_text").dropDuplicates(["_rep"]))
-    pairs = (buckets.filter((F.col("_rep") != F.col("_h._rep")) & alike("_size", "_h._size", least))
-             .select(F.col("_rep").alias("_x"), F.col("_h._rep").alias("_y")))
-    links = cut(verified(pairs.distinct(), texts, least))
+    # One row per bag: copies of a text have the same keys. The numbers stand once they are checkpointed.
+    named = cut(worded.groupBy("_bag").agg(F.min("_row").alias("_row"), F.max("_size").alias("_size"), F.first("_keys").alias("_keys"))
+                .withColumn("_rep", F.monotonically_increasing_id()))
+    member = named.select("_rep", "_size", F.explode("_keys").alias("_key"))
+    hubs = member.groupBy("_key").agg(F.min("_rep").alias("_hub"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    buckets = cut(member.join(hubs.select("_key", "_hub"), "_key"))
+    texts = cut(rows.join(named.select("_row", "_rep").join(buckets.select("_rep").distinct(), "_rep"), "_row")
+                .select("_rep", "_text").dropDuplicates(["_rep"]))
+    weights = named.select(F.col("_rep").alias("_y"), F.col("_size").alias("_other"))
+    pairs = buckets.filter("_rep <> _hub").select(F.col("_rep").alias("_x"), "_size", F.col("_hub").alias("_y")).distinct()
+    links = cut(verified(pairs.join(weights, "_y").filter(alike("_size", "_other", least)).select("_x", "_y"), texts, least))
     for round_ in range(1, HUBS + 1):
         classes = cut(components(links))
         placed = (buckets.select("_key", "_rep", "_size").join(classes, "_rep", "left")
                   .withColumn("_class", F.coalesce("_class", "_rep")))
-        open_ = placed.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).filter("_lo < _hi")
-        placed = cut(placed.join(open_.select("_key"), "_key"))
+        open_ = placed.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi"), F.count(F.lit(1)).alias("_m")).filter("_lo < _hi")
+        placed = cut(placed.join(open_.select("_key", "_m"), "_key"))
         if placed.isEmpty():
-            return bagged.select("_row", "_bag"), classes.withColumnRenamed("_rep", "_bag")
+            break
         if round_ < HUBS:
-            draw = F.struct(F.xxhash64("_rep", F.lit(round_)), "_rep", "_class", "_size")
-            hub = placed.groupBy("_key").agg(F.min(draw).alias("_h"))
+            # The member that meets most others stands nearest to the middle of its group, where most links end.
+            central = placed.groupBy("_rep").agg(F.sum("_m").alias("_w"))
+            hub = placed.join(central, "_rep").groupBy("_key").agg(F.max(F.struct("_w", "_rep", "_class", "_size")).alias("_h"))
             pairs = (placed.join(hub, "_key").filter((F.col("_class") != F.col("_h._class")) & alike("_size", "_h._size", least))
                      .select(F.col("_rep").alias("_x"), F.col("_h._rep").alias("_y")).distinct())
         else:
             pairs = rare_pairs(texts, placed.select("_rep", "_size", "_class").distinct(), least)
         known = classes.filter("_rep <> _class").select(F.col("_rep").alias("_x"), F.col("_class").alias("_y"))
         links = cut(known.union(verified(pairs, texts, least)).distinct())
-    return bagged.select("_row", "_bag"), components(links).withColumnRenamed("_rep", "_bag")
+    else:
+        classes = components(links)
+    found = named.select("_bag", "_rep").join(classes, "_rep", "left").select("_bag", F.coalesce("_class", "_rep").alias("_class"))
+    return bagged.select("_row", "_bag"), found
 
 
 def row_name(text: str, key: str) -> Column:
@@ -299,7 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     # An id with several texts names the class of one of them only.
     owned = worded.groupBy(F.col("_row.id").alias("_id")).agg(F.min("_bag").alias("_bag")).groupBy("_bag").agg(F.min("_id").alias("_own"))
     placed = (worded.groupBy("_bag").agg(F.min("_row.id").alias("_id"), F.count(F.lit(1)).alias("_n")).join(owned, "_bag", "left")
-              .join(classes, "_bag", "left").withColumn("_class", F.coalesce("_class", "_bag")))
+              .join(classes, "_bag"))
     placed = cut(placed)
     heads = placed.groupBy("_class").agg(F.coalesce(F.min("_own"), F.min("_id")).alias("_head"))
     named = placed.join(heads, "_class").select("_bag", "_head", "_n")
@@ -316,8 +329,8 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     """
     prepare(docs.sparkSession)
     rows, classes = classes_of(docs.select(row_name(text, key), F.col(text).alias("_text")), least)
-    placed = cut(rows.filter("_bag is not null").groupBy("_bag", "_row").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_bag", "left")
-                 .select("_row", F.coalesce("_class", "_bag").alias("_class"), "_n"))
+    placed = cut(rows.filter("_bag is not null").groupBy("_bag", "_row").agg(F.count(F.lit(1)).alias("_n")).join(classes, "_bag")
+                 .select("_row", "_class", "_n"))
     heads = placed.groupBy("_class").agg(F.min("_row").alias("_head"))
     fate = (placed.join(heads, "_class").filter((F.col("_row") != F.col("_head")) | (F.col("_n") > 1))
             .select("_row", (F.col("_row") == F.col("_head")).alias("_stays")))
