@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import decide, graph, models, windows
 from flowlens.operators.trailing import FEATURES
+from flowlens.plans.decisions import OUTCOME, allowlist
 from flowlens.plans.detection import ANCHORED, hourly
-from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, ORACLES, flow, query, table
+from flowlens.plans.flagship import LANE
+from flowlens.plans.registry import DAY, FLOW, HOUR, MINUTE, ORACLES, flow, query, rounded, table
 from flowlens.session import cut_lineage, shared_folder
 from flowlens.sources.streams import file_events
 from flowlens.streaming import lanes
@@ -21,8 +23,36 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    raw = file_events(spark, sf, table(spark, sf, "events").schema, glob="events.parquet")
+PARTS = 4
+
+
+def staged(spark: SparkSession, sf: str, parts: int = PARTS) -> str:
+    """``events`` as files in order of time, one micro-batch each, and a last one that ends the input.
+
+    The end is a row without a user, ten years on: it moves the watermark past every open window.
+    """
+    folder = f"{scratch(spark)}/in"
+    events = table(spark, sf, "events")
+    events.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(folder)
+    gone = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    end = events.agg(F.max("ts").alias("last")).select(
+        *[(F.col("last") + F.expr("interval 10 years")).alias(c) if c == "ts" else gone(c) for c in events.columns])
+    end.coalesce(1).write.parquet(f"{folder}-end")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(jvm.Path(f"{folder}-end")):
+        if status.getPath().getName().startswith("part-"):
+            system.rename(status.getPath(), jvm.Path(folder, "part-end.parquet"))
+    found = sorted(s.getPath().getName() for s in system.listStatus(path) if s.getPath().getName().startswith("part-"))
+    # The file source takes the oldest files first.
+    for i, name in enumerate(found):
+        system.setTimes(jvm.Path(folder, name), 1_600_000_000_000 + i * 60_000, -1)
+    return folder
+
+
+def event_stream(spark: SparkSession, sf: str, parts: int = PARTS) -> DataFrame:
+    raw = file_events(spark, staged(spark, sf, parts), table(spark, sf, "events").schema, glob="part-*", files_per_batch=1)
     return raw.select(
         F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.pmod("user_id", F.lit(4)).alias("stream"), F.col("user_id").alias("src"), F.col("event_type").alias("dst"),
@@ -30,7 +60,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod(F.col("event_id") * 37, F.lit(500)).alias("duration_ms"))
 
 
-def drained(stream: DataFrame) -> DataFrame:
+def drained(stream: DataFrame, handle=None) -> DataFrame:
     """Runs a stream over everything there is and returns what it wrote."""
     spark, folder = stream.sparkSession, scratch(stream.sparkSession)
     # One state partition per core: more of them only add workers to every micro-batch.
@@ -38,7 +68,7 @@ def drained(stream: DataFrame) -> DataFrame:
     before = spark.conf.get(width)
     spark.conf.set(width, str(min(int(before), spark.sparkContext.defaultParallelism)))
     try:
-        lanes.start(stream, lanes.to_table(f"{folder}/out"), f"{folder}/state", once=True).awaitTermination()
+        lanes.start(stream, (handle or lanes.to_table)(f"{folder}/out"), f"{folder}/state", once=True).awaitTermination()
     finally:
         spark.conf.set(width, before)
     return spark.read.parquet(f"{folder}/out").drop("batch")
@@ -46,30 +76,63 @@ def drained(stream: DataFrame) -> DataFrame:
 
 @query("stream_trailing_features", ORACLES["trailing_features"])
 def stream_trailing_features(spark, sf):
-    out = drained(lanes.stream_features(event_stream(spark, sf), DAY))
+    events = event_stream(spark, sf).filter("seq is not null")
+    out = drained(lanes.stream_features(events, DAY)).filter(~F.col("late"))
     fine = [F.round(c, 6 if c == "dest_port_entropy" else 9).alias(c) for c in FEATURES]
     return out.select(F.col("src").cast("bigint").alias("src"), "seq", *fine)
 
 
-# Windows the stream has closed by the end of the input: by an event, or because their time has passed.
-@query("stream_anchored_windows", ANCHORED.format(width=6 * HOUR) + f""", g as (
- select stream, window_start, max(next_start) as next_start, count(*) as n_events from win group by all)
-select stream, window_start, n_events from g
-where next_start is not null or window_start + {6 * HOUR} <= (select max(ts_us) from flow)""")
+@query("stream_anchored_windows", ANCHORED.format(width=6 * HOUR) + "select stream, window_start, count(*) as n_events from win group by all")
 def stream_anchored_windows(spark, sf):
     out = drained(lanes.stream_windows(event_stream(spark, sf), 6 * HOUR, delay="0 seconds"))
-    return out.filter(~F.col("late")).groupBy(F.col("stream").cast("bigint").alias("stream"), "window_start").agg(
+    return out.filter(~F.col("late") & F.col("stream").isNotNull()).groupBy(F.col("stream").cast("bigint").alias("stream"), "window_start").agg(
         F.sum("flows").alias("n_events"))
 
 
-@query("stream_aligned_edges", f"""with {FLOW}, e as (select ts_us - ts_us % {HOUR} as window_start, src, dst, cast(sum(bytes) as double) as bytes,
- count(*) as flow_count, round(avg(duration_ms), 6) as duration_mean_ms from flow group by all)
-select * from e where window_start + {HOUR} <= (select max(ts_us) from flow)""")
+@query("stream_aligned_edges", f"""with {FLOW} select ts_us - ts_us % {HOUR} as window_start, src, dst, cast(sum(bytes) as double) as bytes,
+ count(*) as flow_count, round(avg(duration_ms), 6) as duration_mean_ms from flow group by all""")
 def stream_aligned_edges(spark, sf):
-    out = drained(lanes.stream_aligned_edges(event_stream(spark, sf), "1 hour", "0 seconds"))
+    out = drained(lanes.stream_aligned_edges(event_stream(spark, sf), "1 hour", "0 seconds")).filter("src is not null")
     return out.withColumn("duration_mean_ms", F.round("duration_mean_ms", 6))
 
 
+def streamed_counts(spark, sf):
+    return drained(lanes.stream_port_counts(event_stream(spark, sf), "1 hour", "0 seconds")).filter("src is not null")
+
+
+@query("stream_graph_edges", ORACLES["graph_edges_aligned"])
+def stream_graph_edges(spark, sf):
+    """Edges with port entropy of the windows a stream has closed, all of them."""
+    out = graph.edges(streamed_counts(spark, sf), ["window_start"]).withColumn("src", F.col("src").cast("bigint"))
+    return rounded(out, "port_entropy", "duration_mean_ms")
+
+
+@query("stream_graph_nodes", ORACLES["graph_nodes_aligned"])
+def stream_graph_nodes(spark, sf):
+    return graph.nodes(streamed_counts(spark, sf), ["window_start"])
+
+
+def lane_verdicts(features):
+    """The fixed score of the fast lane and its verdict columns."""
+    logit = F.col("n") * 0.6 + F.col("dest_port_entropy") * 0.4 - F.col("same_dest_ratio") * 2.0 - 2.0
+    user = F.col("src").cast("bigint")
+    scored = features.withColumn("p_flood", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
+    return decide.fast_verdicts(scored).select(
+        "seq", "ts_us", "event_time", "late", "tier", "label", "confidence", F.concat(F.lit("v"), "seq").alias("verdict_id"),
+        F.concat(F.lit("w"), "src", F.lit("-"), F.floor(F.col("ts_us") / HOUR).cast("bigint").cast("string")).alias("window_id"),
+        F.pmod(user, F.lit(4)).cast("string").alias("shard"),
+        F.concat(F.lit("10.0.0."), F.pmod(user, F.lit(50)).cast("string")).alias("target"))
+
+
+@query("online_fast_lane", LANE + OUTCOME + " select seq, label, round(confidence, 6) as confidence, action, reason from d")
+def online_fast_lane(spark, sf):
+    """Features, score, gate and policy in one streaming query over several micro-batches; every event's decision."""
+    lane = lanes.online(event_stream(spark, sf).filter("seq is not null"), lane_verdicts, allowlist(spark, sf), DAY, 20, HOUR)
+    out = drained(lane)
+    return out.filter(~F.col("late")).select("seq", "label", F.round("confidence", 6).alias("confidence"), "action",
+                                             F.try_element_at("reason_codes", F.lit(1)).alias("reason"))
+
+
 # --- models: no SQL form, checked by rows here and by value in the tests ---
 
 def fixed_weights(hidden: int = 8, embed: int = 3) -> dict:

@@ -23,25 +23,30 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def clocked(events: DataFrame, delay: str) -> DataFrame:
-    """Adds the event-time column of the processors and its watermark."""
-    return events.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
+def clocked(events: DataFrame, delay: str, held: bool = False) -> DataFrame:
+    """Adds the event-time column of the processors and its watermark.
+
+    Spark drops rows behind its watermark before a processor can count them. ``held`` keeps that watermark a horizon further back;
+    the processors reckon the watermark of ``delay`` from it, mark what is behind and let it through.
+    """
+    late = f"{state.HORIZON_MS // 1000} seconds {delay}" if held else delay
+    return events.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", late)
 
 
 def stream_features(events: DataFrame, window_us: int = WINDOW_US, delay: str = "10 seconds") -> DataFrame:
-    """Fast lane: trailing features per source."""
+    """Fast lane: trailing features per source. Rows behind the watermark are marked ``late`` and have no features."""
     use_state_store(events.sparkSession)
-    keyed = clocked(events.withColumn("src", F.col("src").cast("string")), delay).groupBy("src")
+    keyed = clocked(events.withColumn("src", F.col("src").cast("string")), delay, held=True).groupBy("src")
     return keyed.transformWithStateInPandas(
         statefulProcessor=state.TrailingFeatures(window_us), outputStructType=state.FEATURE_ROWS,
-        outputMode="Append", timeMode="EventTime")
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="event_time")
 
 
 def stream_windows(events: DataFrame, width_us: int = WINDOW_US, delay: str = "10 seconds", grace_us: int = 0) -> DataFrame:
     """Deep lane: anchored windows per stream as counts per host pair and port; late rows are marked."""
     use_state_store(events.sparkSession)
     text = events.withColumn("src", F.col("src").cast("string")).withColumn("stream", F.col("stream").cast("string"))
-    return clocked(text, delay).groupBy("stream").transformWithStateInPandas(
+    return clocked(text, delay, held=True).groupBy("stream").transformWithStateInPandas(
         statefulProcessor=state.AnchoredWindows(width_us, grace_us), outputStructType=state.WINDOW_ROWS,
         outputMode="Append", timeMode="EventTime")
 
@@ -54,6 +59,18 @@ def stream_aligned_edges(events: DataFrame, width: str = "2 seconds", delay: str
     ).select(F.unix_micros("window.start").alias("window_start"), "src", "dst", "bytes", "flow_count", "duration_mean_ms")
 
 
+def stream_port_counts(events: DataFrame, width: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
+    """Epoch-aligned deep lane: counts per window, host pair and port, each window whole in the batch that closes it.
+
+    ``graph.edges``, ``graph.nodes`` and ``graph.window_vectors`` take them from there, key ``window_start``.
+    """
+    src = F.col("src").cast("string").alias("src")
+    return clocked(events, delay).groupBy(F.window("event_time", width), src, "dst", "port").agg(
+        F.count(F.lit(1)).alias("flows"), F.sum(F.col("bytes").cast("bigint")).alias("bytes"),
+        F.sum(F.col("duration_ms").cast("bigint")).alias("duration"),
+    ).select(F.unix_micros("window.start").alias("window_start"), "src", "dst", "port", "flows", "bytes", "duration")
+
+
 def stream_flows(packets: DataFrame, idle_us: int = int(FLOW_IDLE_SECONDS * MICROS),
                  active_us: int = int(FLOW_ACTIVE_SECONDS * MICROS), delay: str = "10 seconds") -> DataFrame:
     """Flows from a live packet stream."""
@@ -81,6 +98,60 @@ def stream_gate(verdicts: DataFrame, cap: int = BREAKER_CAP, window_us: int = BR
         outputMode="Append", timeMode="EventTime")
 
 
+def stream_decisions(verdicts: DataFrame, cap: int = BREAKER_CAP, window_us: int = BREAKER_WINDOW_SECONDS * MICROS,
+                     ttl_us: int | None = None) -> DataFrame:
+    """Verdicts of a stream through first action, cap and policy table, as ``decide.decide`` does for a table.
+
+    Input: the columns of ``state.VERDICT_ROWS`` but ``acts``, with the event time of an operator before. Windows resolve
+    within their shard. A late verdict keeps its row and gets no decision.
+    """
+    ready = verdicts.withColumn("breaker_tripped", F.lit(False)).withColumn("acts", decide.acts() & ~F.col("late"))
+    narrow = ready.select(*state.names(state.VERDICT_ROWS))
+    first = narrow.groupBy("shard", "window_id").transformWithStateInPandas(
+        statefulProcessor=state.FirstAction(ttl_us), outputStructType=f"{state.VERDICT_ROWS}, already_resolved boolean",
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="event_time")
+    asks = F.col("acts") & ~F.col("already_resolved") & ~F.col("on_allowlist")
+    lane = F.when(asks, F.concat(F.lit("cap/"), "shard")).otherwise(F.concat(F.lit("pass/"), F.coalesce("window_id", F.lit(""))))
+    capped = first.withColumn("asks", asks).withColumn("lane", lane).groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=state.ActionCap(cap, window_us),
+        outputStructType=f"{state.VERDICT_ROWS}, already_resolved boolean, breaker_tripped boolean",
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="event_time")
+    return decide.policy(capped)
+
+
+def online(events: DataFrame, verdicts: Callable[[DataFrame], DataFrame], allowlist: DataFrame, window_us: int = WINDOW_US,
+           cap: int = BREAKER_CAP, cap_window_us: int = BREAKER_WINDOW_SECONDS * MICROS, ttl_us: int | None = None,
+           delay: str = "10 seconds") -> DataFrame:
+    """The fast lane as one streaming query: features, score, verdict, gate and policy, one row out per event in.
+
+    ``verdicts`` turns feature rows into verdict rows (``shard, verdict_id, window_id, tier, label, confidence, target``, keeping
+    ``seq, ts_us, event_time, late``); the three stateful steps pass the event time on. ``fan_out`` writes what comes out.
+    """
+    judged = verdicts(stream_features(events, window_us, delay))
+    return stream_decisions(decide.flag_allowlist(judged, allowlist), cap, cap_window_us, ttl_us)
+
+
+def fan_out(folder: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch of ``online`` to ``decisions``, ``late`` and the hash-chained ``log``; each step replaces its own repeat."""
+    log, decisions, late = log_decisions(f"{folder}/log"), to_table(f"{folder}/decisions"), to_table(f"{folder}/late")
+    last = keep_last_decisions(f"{folder}/last")
+
+    def write(batch: DataFrame, number: int) -> None:
+        # Every sink below reads the batch, and the stateful steps behind it are not run again for each.
+        batch.persist()
+        try:
+            on_time = batch.filter(~F.col("late")).drop("event_time", "acts").withColumn(
+                "decision_id", F.concat(F.lit("d-"), "verdict_id"))
+            decisions(on_time, number)
+            late(batch.filter("late").select("shard", "seq", "ts_us"), number)
+            if not on_time.isEmpty():
+                log(on_time, number)
+                last(on_time, number)
+        finally:
+            batch.unpersist()
+    return write
+
+
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
     """Starts one lane with its own checkpoint; lanes share nothing and never wait for each other."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append")
@@ -101,25 +172,84 @@ def finished_graphs(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graph.edges(whole, keys), graph.nodes(whole, keys)
 
 
-def log_decisions(folder: str, chain: str = "shard") -> Callable[[DataFrame, int], None]:
-    """Fan-out of decided verdicts into the hash-chained log, one chain per shard.
+def newest_batch(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The table that the newest finished batch (before a number) has written, None if there is none."""
+    done = [n for n in _batches(spark, folder) if before is None or n < before]
+    return spark.read.parquet(f"{folder}/batch={max(done)}") if done else None
+
+
+def append_log(folder: str) -> Callable[[DataFrame, int], None]:
+    """Appends entries (``chain, seq, entry_id, ts_us, entry_type, payload, actor``) to the hash-chained log.
 
     Beside the log lies a table of tips, one row per chain and batch; a batch reads only the newest one before it.
     """
+    def write(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        tips = newest_batch(spark, f"{folder}-tips", number)
+        audit.append_chain(rows, tips).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        newest = audit.chain_tips(spark.read.parquet(f"{folder}/batch={number}"))
+        if tips is not None:
+            newest = newest.unionByName(tips.join(newest.select("chain"), "chain", "left_anti"))
+        newest.write.mode("overwrite").parquet(f"{folder}-tips/batch={number}")
+    return write
+
+
+def log_decisions(folder: str, chain: str = "shard") -> Callable[[DataFrame, int], None]:
+    """Fan-out of decided verdicts into the hash-chained log, one chain per shard."""
+    append = append_log(folder)
+
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = audit.decision_rows(batch).filter(F.col("entry_type") != "job")
         rows = rows.join(batch.select("seq", F.col(chain).cast("string").alias("chain")), "seq").select(
             "chain", (F.col("seq") * 4 + F.col("step")).alias("seq"),
             F.concat_ws("-", "verdict_id", F.col("step").cast("string")).alias("entry_id"), "ts_us", "entry_type", "payload",
             F.lit("system").alias("actor"))
-        earlier = [n for n in _batches(spark, f"{folder}-tips") if n < number]
-        tips = spark.read.parquet(f"{folder}-tips/batch={max(earlier)}") if earlier else None
-        audit.append_chain(rows, tips).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        newest = audit.chain_tips(spark.read.parquet(f"{folder}/batch={number}"))
-        if tips is not None:
-            newest = newest.unionByName(tips.join(newest.select("chain"), "chain", "left_anti"))
-        newest.write.mode("overwrite").parquet(f"{folder}-tips/batch={number}")
+        append(rows, number)
+    return write
+
+
+def keep_last_decisions(folder: str) -> Callable[[DataFrame, int], None]:
+    """The last decision of every target as a small table per batch: the one before it with this batch's laid over."""
+    def write(batch: DataFrame, number: int) -> None:
+        newest = batch.filter(F.col("action").isNotNull()).select(
+            F.col("target"), F.struct("ts_us", "seq", "decision_id", "shard").alias("d"))
+        before = newest_batch(batch.sparkSession, folder, number)
+        if before is not None:
+            newest = newest.unionByName(before.select("target", F.struct("ts_us", "seq", "decision_id", "shard").alias("d")))
+        newest.groupBy("target").agg(F.max("d").alias("d")).select("target", "d.*").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return write
+
+
+def record_corrections(decisions: str, out: str) -> Callable[[DataFrame, int], None]:
+    """Operator corrections (``correction_id, target, operator, is_false_positive, ts_us, seq``) as audit rows.
+
+    Each one names the last decision of its target, from the newest table of ``keep_last_decisions``; one without is an
+    error row. ``log`` gets the audit rows (one chain per shard, actor ``operator:<name>``), ``reversals`` the blocks that end,
+    ``errors`` what had no decision, and ``drift`` the counts of the batch.
+    """
+    append = append_log(f"{out}/log")
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = newest_batch(batch.sparkSession, decisions)
+        last = (known.select("target", "decision_id", "shard") if known is not None else
+                batch.select("target").limit(0).withColumns({"decision_id": F.lit(""), "shard": F.lit("")}))
+        was = F.when(F.col("is_false_positive"), "false_positive").otherwise("true_positive")
+        found = batch.join(last, "target", "left").withColumn("verdict_was", was).persist()
+        try:
+            hit = found.filter(F.col("decision_id").isNotNull())
+            body = F.to_json(F.struct("decision_id", "operator", "verdict_was"))
+            append(hit.select(F.concat(F.lit("corrections-"), "shard").alias("chain"), F.col("seq").cast("bigint").alias("seq"),
+                              F.col("correction_id").alias("entry_id"), "ts_us", F.lit("correction").alias("entry_type"),
+                              body.alias("payload"), F.concat(F.lit("operator:"), "operator").alias("actor")), number)
+            # A reversal takes effect even where no decision is known to correct.
+            for name, rows in (("reversals", found.filter("is_false_positive").select("target", "ts_us", "seq")),
+                               ("errors", found.filter("decision_id is null").select(
+                                   "correction_id", "target", F.lit("no_decision_for_target").alias("error"))),
+                               ("drift", found.agg(F.count_if(F.col("decision_id").isNotNull()).alias("corrections"),
+                                                   F.count_if(F.col("decision_id").isNotNull() & F.col("is_false_positive")).alias("false_positives")))):
+                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        finally:
+            found.unpersist()
     return write
 
 
@@ -139,7 +269,22 @@ def explain_batch(folder: str, out: str) -> Callable[[DataFrame, int], None]:
             F.from_json("payload", "verdict_id string, rejected boolean").alias("p")).filter("p.rejected").select("p.verdict_id")
         seen = seen.join(refused, "verdict_id", "left_anti")
         notes = audit.narratives(seen.filter(F.col("label") != "benign").withColumn("node_ids", empty).withColumn("edge_ids", empty))
-        notes.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        notes.withColumn("job_id", F.concat(F.lit("job-"), "verdict_id")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    return write
+
+
+def log_explanations(log: str, out: str) -> Callable[[DataFrame, int], None]:
+    """``explain_batch`` with an audit row per note: job, verdict, narrative and technique, chained beside the decisions."""
+    explain, append = explain_batch(log, out), append_log(f"{out}-log")
+
+    def write(batch: DataFrame, number: int) -> None:
+        explain(batch, number)
+        place = batch.filter(F.col("entry_type") == "detection").select(
+            F.get_json_object("payload", "$.verdict_id").alias("verdict_id"), "chain", "seq", "ts_us")
+        notes = batch.sparkSession.read.parquet(f"{out}/batch={number}").join(place, "verdict_id")
+        body = F.to_json(F.struct("job_id", "narrative", "technique_id", "verdict_id"))
+        append(notes.select(F.concat(F.lit("explanations-"), "chain").alias("chain"), "seq", F.col("job_id").alias("entry_id"), "ts_us",
+                            F.lit("explanation").alias("entry_type"), body.alias("payload"), F.lit("explainer").alias("actor")), number)
     return write
 
 

@@ -16,10 +16,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowlens.schemas import MICROS
 
 FEATURE_ROWS = ("src string, seq bigint, ts_us bigint, n bigint, event_rate double, byte_rate double, "
-                "dest_port_entropy double, unique_dest_count double, avg_duration_ms double, same_dest_ratio double")
+                "dest_port_entropy double, unique_dest_count double, avg_duration_ms double, same_dest_ratio double, "
+                "late boolean, event_time timestamp")
 WINDOW_ROWS = ("stream string, window_start bigint, window_end bigint, closed boolean, late boolean, src string, dst string, "
                "port int, flows bigint, bytes bigint, duration bigint")
 FLAG_ROWS = "shard string, seq bigint, already_resolved boolean, breaker_tripped boolean"
+VERDICT_ROWS = ("shard string, seq bigint, ts_us bigint, event_time timestamp, verdict_id string, window_id string, tier string, "
+                "label string, confidence double, target string, on_allowlist boolean, late boolean, acts boolean")
 FLOW_ROWS = ("flow_key string, start_us bigint, end_us bigint, source_ip string, source_port int, dest_ip string, dest_port int, "
              "packets bigint, total_bytes bigint, packets_fwd bigint, bytes_fwd bigint")
 
@@ -30,6 +33,25 @@ def ordered(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(list(by), kind="stable")
 
 
+#: How far behind its delay Spark's own watermark is held, so that late rows reach the processors that count them.
+HORIZON_MS = 365 * 24 * 3600 * 1000
+
+
+def own_watermark_us(timer_values) -> int | None:
+    """The watermark of the stated delay, from one that is held back by the horizon; None before the first one."""
+    held = timer_values.getCurrentWatermarkInMs()
+    return (held + HORIZON_MS) * 1000 if held > 0 else None
+
+
+def held_millis(us: int) -> int:
+    """Timer time of an event time under the held-back watermark."""
+    return max(millis(us) - HORIZON_MS, 1)
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def millis(us: int) -> int:
     """Timer time: the first millisecond not before ``us``."""
     return -(-us // 1000)
@@ -40,29 +62,73 @@ def opt_int(value) -> int | None:
 
 
 class TrailingFeatures(StatefulProcessor):
-    """Trailing window per source. State: the source's events of the last window."""
+    """Trailing window per source; rows behind the watermark come out marked ``late``, without features.
+
+    State: a ring of time buckets, each an appended list of its events. A batch writes its own events and nothing else: it
+    appends to the bucket it continues, starts the buckets it opens and clears those that left the window.
+    """
+
+    #: Buckets of the ring; a window touches one fewer than this at most.
+    SLOTS = 6
 
     def __init__(self, window_us: int) -> None:
         self.window_us = window_us
+        self.bucket_us = -(-window_us // (self.SLOTS - 2)) or 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.history = handle.getListState("history", _EVENT)
+        self.held = handle.getValueState("held", "buckets array<bigint>")
+        self.ring = [handle.getListState(f"bucket{i}", _EVENT) for i in range(self.SLOTS)]
+
+    def load(self) -> tuple[list[int], list[tuple]]:
+        """Bucket numbers of the slots (-1: empty) and the stored events in order of time."""
+        held = [int(b) for b in self.held.get()[0]] if self.held.exists() else [-1] * self.SLOTS
+        events = [tuple(r) for slot, b in enumerate(held) if b >= 0 for r in self.ring[slot].get()]
+        return held, sorted(events, key=lambda e: (e[0], e[1]))
+
+    def save(self, held: list[int], new: list[tuple], newest: int) -> None:
+        oldest = max((newest - self.window_us) // self.bucket_us, 0)
+        fresh: dict[int, list] = {}
+        for event in new:
+            if event[0] // self.bucket_us >= oldest:
+                fresh.setdefault(event[0] // self.bucket_us, []).append(event)
+        for slot in range(self.SLOTS):
+            if 0 <= held[slot] < oldest and not any(b % self.SLOTS == slot for b in fresh):
+                self.ring[slot].clear()
+                held[slot] = -1
+        for bucket, events in fresh.items():
+            slot = bucket % self.SLOTS
+            if held[slot] == bucket:
+                self.ring[slot].appendList(events)
+            else:
+                self.ring[slot].put(events)
+                held[slot] = bucket
+        self.held.update((held,))
 
     def handleInputRows(self, key, rows, timerValues):
-        past: deque = deque(tuple(r) for r in self.history.get())
+        frame, bar = ordered(rows, "ts_us", "seq"), own_watermark_us(timerValues)
+        behind = frame["ts_us"] < bar if bar is not None else frame["ts_us"] != frame["ts_us"]
+        late, frame = frame[behind], frame[~behind]
+        if len(late):
+            yield pd.DataFrame({c: (late[c] if c in ("seq", "ts_us", "event_time") else key[0] if c == "src" else True if c == "late" else None)
+                                for c in names(FEATURE_ROWS)}, index=late.index).astype({"n": "Int64"})
+        if not len(frame):
+            return
+        held, past = self.load()
+        past, new, newest = deque(past), [], 0
         dests, ports = Counter(), Counter()
         total = spent = 0
         for e in past:
             dests[e[2]] += 1
-            total, spent = total + e[4], spent + e[5]
+            total, spent, newest = total + e[4], spent + e[5], e[0]
             if opt_int(e[3]) is not None:
                 ports[e[3]] += 1
         out, span = [], self.window_us / MICROS
-        frame = ordered(rows, "ts_us", "seq")
         for ts, seq, dst, port, size, duration in zip(*[frame[c] for c in ("ts_us", "seq", "dst", "port", "bytes", "duration_ms")]):
             event = (int(ts), int(seq), dst, opt_int(port), int(size), int(duration))
             past.append(event)
+            new.append(event)
+            newest = max(newest, event[0])
             dests[dst] += 1
             total, spent = total + event[4], spent + event[5]
             if event[3] is not None:
@@ -79,16 +145,20 @@ class TrailingFeatures(StatefulProcessor):
                 total, spent = total - old[4], spent - old[5]
             n, known = len(past), sum(ports.values())
             h = max(0.0, math.log2(known) - sum(c * math.log2(c) for c in ports.values()) / known) if known else 0.0
-            out.append((key[0], event[1], event[0], n, n / span, total / span, h, float(len(dests)), spent / n, dests[dst] / n))
-        self.history.put(list(past))
+            out.append((key[0], event[1], event[0], n, n / span, total / span, h, float(len(dests)), spent / n, dests[dst] / n, False))
+        self.save(held, new, newest)
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer[0] if isinstance(timer, (tuple, list)) else timer)
-        self.handle.registerTimer(millis(past[-1][0] + self.window_us) + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURE_ROWS.split(", ")])
+        self.handle.registerTimer(held_millis(newest + self.window_us) + 1)
+        made = pd.DataFrame(out, columns=names(FEATURE_ROWS)[:-1])
+        made["event_time"] = frame["event_time"].to_numpy()
+        yield made
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Nothing of the source can be in a window any more."""
-        self.history.clear()
+        for slot in self.ring:
+            slot.clear()
+        self.held.clear()
         yield from ()
 
     def close(self) -> None:
@@ -111,37 +181,42 @@ class AnchoredWindows(StatefulProcessor):
         return [(key[0], start, end, closed, late, s, d, None if p == -1 else p, *v) for (s, d, p), v in counts.items()]
 
     def handleInputRows(self, key, rows, timerValues):
-        start = self.start.get()[0] if self.start.exists() else None
+        bar = own_watermark_us(timerValues)
+        start = opened = self.start.get()[0] if self.start.exists() else None
         counts = {tuple(k): list(v) for k, v in self.counts.iterator()} if start is not None else {}
-        out, late = [], {}
+        out, late, touched = [], {}, set()
         frame = ordered(rows, "ts_us", "seq")
         for ts, src, dst, port, size, duration in zip(*[frame[c] for c in ("ts_us", "src", "dst", "port", "bytes", "duration_ms")]):
             ts, port = int(ts), opt_int(port)
             group = (src, dst, -1 if port is None else port)
-            if start is not None and ts < start:
+            if (bar is not None and ts < bar) or (start is not None and ts < start):
                 into = late  # its window is closed; reported, never mixed into the open one
             else:
                 if start is None or ts - start >= self.width_us:
                     if start is not None:
                         out += self.rows_of(key, start, ts, True, False, counts)
-                    start, counts = ts, {}
+                    start, counts, touched = ts, {}, set()
                 into = counts
+                touched.add(group)
             cell = into.setdefault(group, [0, 0, 0])
             cell[0] += 1
             cell[1] += int(size)
             cell[2] += int(duration)
         out += self.rows_of(key, None, None, True, True, late)
-        self.save(start, counts)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOW_ROWS.split(", ")]).astype({"port": "Int32", "window_start": "Int64", "window_end": "Int64"})
-
-    def save(self, start, counts):
-        self.start.update((start,))
-        self.counts.clear()
-        for group, cell in counts.items():
-            self.counts.updateValue(group, tuple(cell))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, (tuple, list)) else timer)
-        self.handle.registerTimer(millis(start + self.width_us + self.grace_us))
+        if touched:
+            self.save(start, opened, counts, touched)
+        yield pd.DataFrame(out, columns=names(WINDOW_ROWS)).astype({"port": "Int32", "window_start": "Int64", "window_end": "Int64"})
+
+    def save(self, start, opened, counts, touched):
+        """Writes the cells that the batch has changed; a new window drops those of the one before."""
+        if start != opened:
+            self.start.update((start,))
+            self.counts.clear()
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer[0] if isinstance(timer, (tuple, list)) else timer)
+            self.handle.registerTimer(held_millis(start + self.width_us + self.grace_us))
+        for group in touched:
+            self.counts.updateValue(group, tuple(counts[group]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """No event closed the window in time: flush it at its full width."""
@@ -211,6 +286,73 @@ class DecisionGate(StatefulProcessor):
         pass
 
 
+class FirstAction(StatefulProcessor):
+    """Marks the verdicts of a window after the first one that acts. Key: shard and window; state: that one's time.
+
+    A window is a row of state of its own, so a shard with a million windows has a million small rows and no large one.
+    """
+
+    def __init__(self, ttl_us: int | None = None) -> None:
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "ts_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame, done = ordered(rows, "ts_us", "seq"), self.first.exists()
+        acts = frame["acts"].to_numpy(dtype=bool)
+        before = acts.cumsum() - acts > 0
+        if acts.any() and not done:
+            first = int(frame["ts_us"].to_numpy()[acts.argmax()])
+            self.first.update((first,))
+            if self.ttl_us is not None:
+                self.handle.registerTimer(held_millis(first + self.ttl_us))
+        yield frame[names(VERDICT_ROWS)].assign(already_resolved=before | done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Too old for another verdict of the window to come."""
+        self.first.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class ActionCap(StatefulProcessor):
+    """Caps the candidates of a shard. Key: the shard for candidates, anything that spreads them for other verdicts.
+
+    State: the times of at most ``cap`` blocks of a shard; verdicts that ask for no block pass without state.
+    """
+
+    def __init__(self, cap: int, window_us: int) -> None:
+        self.cap = cap
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getListState("taken", "ts_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = ordered(rows, "ts_us", "seq")
+        columns = [*names(VERDICT_ROWS), "already_resolved"]
+        if not frame["asks"].iloc[0]:
+            yield frame[columns].assign(breaker_tripped=False)
+            return
+        taken, tripped = deque(r[0] for r in self.taken.get()), []
+        for ts in frame["ts_us"].tolist():
+            while taken and ts - taken[0] > self.window_us:
+                taken.popleft()
+            tripped.append(len(taken) >= self.cap)
+            if not tripped[-1]:
+                taken.append(ts)
+        self.taken.put([(t,) for t in taken])
+        yield frame[columns].assign(breaker_tripped=tripped)
+
+    def close(self) -> None:
+        pass
+
+
 class OpenFlow(StatefulProcessor):
     """Flow assembly per 5-tuple and capture. State: the open flow's sums; an event-time timer ends an idle flow."""
 

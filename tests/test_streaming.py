@@ -1,5 +1,7 @@
 import random
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from flowlens.operators import audit, decide, flows
 from flowlens.operators.trailing import FEATURES, trailing_features
 from flowlens.operators.windows import anchored_windows, window_bounds
 from flowlens.sources.streams import file_events, keyed_messages
-from flowlens.streaming import lanes
+from flowlens.streaming import lanes, state
 
 EVENT = "seq bigint, ts_us bigint, stream string, src string, dst string, port int, bytes bigint, duration_ms bigint"
 S = 1_000_000
@@ -134,3 +136,162 @@ def test_gate_log_tail_and_explanations(spark, feed, tmp_path):
 def test_messages_are_keyed_by_source(spark):
     row = spark.createDataFrame([("e", "1.1.1.1", 5)], "event_id string, source_ip string, bytes bigint")
     assert keyed_messages(row).first()["key"] == "1.1.1.1"
+
+
+# --- state layout, late rows and the whole lane -------------------------------------------------
+
+
+class Kept:
+    """State handle of one key that counts what is written."""
+
+    def __init__(self):
+        self.data, self.written, self.timers = {}, 0, []
+
+    def cell(self, name):
+        kept = self
+
+        def put(rows):
+            kept.data[name] = list(rows)
+            kept.written += len(kept.data[name])
+
+        def append(rows):
+            kept.data.setdefault(name, []).extend(rows)
+            kept.written += len(rows)
+
+        def update(value):
+            kept.data[name] = value
+            kept.written += 1
+
+        def update_value(key, value):
+            kept.data.setdefault(name, {})[key] = value
+            kept.written += 1
+        return types.SimpleNamespace(
+            put=put, appendList=append, update=update, updateValue=update_value, clear=lambda: kept.data.pop(name, None),
+            exists=lambda: name in kept.data, get=lambda: kept.data.get(name, []), iterator=lambda: list(kept.data.get(name, {}).items()))
+
+    def getListState(self, name, schema):
+        return self.cell(name)
+
+    getValueState = getMapState = lambda self, name, *schema: self.cell(name)
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def clock(ms=0):
+    return types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+
+def frame_of(rows):
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in EVENT.split(", ")]).drop(columns="stream")
+    return out.assign(event_time=pd.to_datetime(out["ts_us"], unit="us"))
+
+
+def test_a_batch_writes_its_own_events_only():
+    rows = [(i, 1_700_000_000 * S + i * 10_000, "p", "a", "xyz"[i % 3], 80, 5, 1) for i in range(1200)]
+    store, lane = Kept(), state.TrailingFeatures(2 * S)
+    lane.init(store)
+    got, writes = [], []
+    for low in range(0, len(rows), 40):
+        before = store.written
+        got += [f for f in lane.handleInputRows(("a",), iter([frame_of(rows[low:low + 40])]), clock())]
+        writes.append(store.written - before)
+    assert max(writes) <= 41 and sum(len(v) for k, v in store.data.items() if k.startswith("bucket")) <= 2 * 200
+    assert pd.concat(got)["n"].tolist() == [min(i + 1, 201) for i in range(1200)]
+    store, lane = Kept(), state.AnchoredWindows(10 * S)
+    lane.init(store)
+    for low in range(0, 900, 30):
+        before = store.written
+        list(lane.handleInputRows(("p",), iter([frame_of(rows[low:low + 30])]), clock()))
+        assert store.written - before <= 4
+
+
+def test_gate_state_is_one_time_per_window_and_a_capped_list_per_shard():
+    stores = {}
+    columns = {c: None for c in state.names(state.VERDICT_ROWS)}
+    for i in range(500):
+        store = stores.setdefault(i % 250, Kept())
+        gate = state.FirstAction()
+        gate.init(store)
+        frame = pd.DataFrame([{**columns, "seq": i, "ts_us": i, "acts": True}])
+        assert next(gate.handleInputRows(("s", f"w{i % 250}"), iter([frame]), clock()))["already_resolved"].tolist() == [i >= 250]
+    assert all(s.data == {"first": (i,)} for i, s in stores.items())
+    store, cap = Kept(), state.ActionCap(5, 100)
+    cap.init(store)
+    for i in range(300):
+        next(cap.handleInputRows(("cap/s",), iter([pd.DataFrame([{**columns, "seq": i, "ts_us": i, "acts": True, "asks": True, "already_resolved": False}])]), clock()))
+        assert len(store.data["taken"]) <= 5
+    store = Kept()
+    cap.init(store)
+    list(cap.handleInputRows(("pass/w",), iter([pd.DataFrame([{**columns, "seq": 1, "ts_us": 1, "acts": False, "asks": False, "already_resolved": False}])]), clock()))
+    assert store.data == {}
+
+
+def test_on_time_and_late_rows_are_the_input(spark, feed, tmp_path):
+    rows = events(120)
+    late = [(1000 + i, rows[10][1] + i, "p", "a", "x", 80, 5, 1) for i in range(7)]
+    given = rows[:80] + rows[80:100] + late[:4] + rows[100:] + late[4:]
+    got = run(lanes.stream_features(feed(given, EVENT, 3), delay="1 seconds"), tmp_path, "features")
+    assert sorted(r.seq for r in got.collect()) == sorted(r[0] for r in given)
+    marked = {r.seq for r in got.filter("late").collect()}
+    assert {r[0] for r in late} <= marked and got.filter("late and n is not null").count() == 0
+    # The rule: behind the newest event of the batches before, less the delay.
+    size, newest, want = -(-len(given) // 3), None, set()
+    for low in range(0, len(given), size):
+        want |= {r[0] for r in given[low:low + size] if newest is not None and r[1] < (newest // 1000) * 1000 - S}
+        newest = max([r[1] for r in given[low:low + size]] + [newest or 0])
+    assert marked == want
+    windows = run(lanes.stream_windows(feed(given, EVENT, 3), delay="1 seconds"), tmp_path, "windows")
+    counts = {r.late: r.n for r in windows.groupBy("late").agg(F.sum("flows").alias("n")).collect()}
+    assert counts.get(True, 0) >= len(late)
+
+
+def judged(features):
+    return decide.fast_verdicts(features.withColumn("p_flood", F.least(F.col("n") / 4, F.lit(1.0)))).select(
+        "seq", "ts_us", "event_time", "late", "tier", "label", "confidence", F.concat(F.lit("v"), "seq").alias("verdict_id"),
+        F.concat_ws("-", "src", F.floor(F.col("ts_us") / (3 * S)).cast("string")).alias("window_id"),
+        F.when(F.col("src") == "a", "left").otherwise("right").alias("shard"), F.concat(F.lit("t"), "src").alias("target"))
+
+
+def test_the_online_lane_equals_the_batch_path(spark, feed, tmp_path):
+    rows, out = events(240), str(tmp_path / "lane")
+    late = [(5000, rows[5][1], "p", "a", "x", 80, 5, 1)]
+    allow = spark.createDataFrame([("tc",)], "ip string")
+    lane = lanes.online(feed(rows + late, EVENT, 5), judged, allow, 2 * S, 2, 20 * S, delay="1 seconds")
+    lanes.start(lane, lanes.fan_out(out), str(tmp_path / "lane-state"), once=True).awaitTermination(300)
+    features = trailing_features(spark.createDataFrame(rows, EVENT), keys=["src"], window_us=2 * S).withColumn(
+        "event_time", F.timestamp_micros("ts_us")).withColumn("late", F.lit(False))
+    want = decide.decide(judged(features), allow, ["shard"], 2, 20 * S)
+    pick = lambda df: {r.seq: (r.label, round(r.confidence, 9), r.already_resolved, r.breaker_tripped, r.action) for r in df.collect()}
+    got = spark.read.parquet(f"{out}/decisions")
+    assert got.select("batch").distinct().count() >= 4 and {v[4] for v in pick(want).values()} >= {"block", "dry_run"}
+    assert pick(got) == pick(want)
+    assert [r.seq for r in spark.read.parquet(f"{out}/late").collect()] == [5000]
+    log = spark.read.parquet(f"{out}/log")
+    assert all(r.intact for r in audit.verify_chains(log).collect())
+    assert log.filter("entry_type = 'detection'").count() == len(rows)
+    acted = want.filter(F.col("action").isin("block", "throttled")).count()
+    assert log.filter("entry_type = 'enforcement'").count() == acted > 0
+    # Cold path and corrections, each with audit rows of its own.
+    run(lanes.tail_log(spark, f"{out}/log"), tmp_path, "notes", lanes.log_explanations(f"{out}/log", str(tmp_path / "notes")))
+    told = spark.read.parquet(str(tmp_path / "notes-log"))
+    assert told.count() == want.filter("label <> 'benign' and action is not null").count()
+    assert all(r.intact for r in audit.verify_chains(told).collect()) and {r.entry_type for r in told.collect()} == {"explanation"}
+    asks = spark.createDataFrame([("c1", "ta", "kim", True, 10**16, 1), ("c2", "ta", "kim", False, 10**16, 2), ("c3", "nobody", "kim", True, 10**16, 3)],
+                                 "correction_id string, target string, operator string, is_false_positive boolean, ts_us bigint, seq bigint")
+    fixes = str(tmp_path / "fixes")
+    lanes.record_corrections(f"{out}/last", fixes)(asks, 0)
+    rows_ = {r.entry_id: r for r in spark.read.parquet(f"{fixes}/log").collect()}
+    last = want.filter("target = 'ta' and action is not null").agg(F.max_by("verdict_id", F.struct("ts_us", "seq"))).first()[0]
+    assert set(rows_) == {"c1", "c2"} and rows_["c1"].actor == "operator:kim" and f'"decision_id":"d-{last}"' in rows_["c1"].payload
+    assert '"verdict_was":"true_positive"' in rows_["c2"].payload
+    assert {r.target for r in spark.read.parquet(f"{fixes}/reversals").collect()} == {"ta", "nobody"}
+    assert [r.correction_id for r in spark.read.parquet(f"{fixes}/errors").collect()] == ["c3"]
+    drift = spark.read.parquet(f"{fixes}/drift").first()
+    assert (drift.corrections, drift.false_positives) == (2, 1)
