@@ -84,7 +84,8 @@ def stream_trailing_features(spark, sf):
 
 @query("stream_anchored_windows", ANCHORED.format(width=6 * HOUR) + "select stream, window_start, count(*) as n_events from win group by all")
 def stream_anchored_windows(spark, sf):
-    out = drained(lanes.stream_windows(event_stream(spark, sf), 6 * HOUR, delay="0 seconds"))
+    events = event_stream(spark, sf).withColumn("src", F.col("src").cast("string")).na.fill("end", ["src", "dst"]).na.fill(0, ["bytes", "duration_ms"])
+    out = drained(lanes.stream_windows(events, 6 * HOUR, delay="0 seconds"))
     return out.filter(~F.col("late") & F.col("stream").isNotNull()).groupBy(F.col("stream").cast("bigint").alias("stream"), "window_start").agg(
         F.sum("flows").alias("n_events"))
 
