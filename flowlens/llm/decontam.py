@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import prepare, stored
+from flowlens.llm.common import fresh, prepare, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,9 +36,17 @@ def word_hashes(text: Column) -> Column:
 
 
 def shingles(words: str) -> Column:
-    """Hashes of every five consecutive words of the array column ``words``; empty if it has fewer."""
-    hashed = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
-    last = F.size(words) - SHINGLE
+    """Hashes of every five consecutive words of the array column ``words``; one to four words are one short shingle."""
+    short = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= SHINGLE, _runs(words, SHINGLE)).otherwise(short)
+
+
+def _runs(words: str, length: int) -> Column:
+    """Hashes of every ``length`` consecutive words; empty if there are fewer."""
+    hashed = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(length)])
+    if length < SHINGLE:
+        hashed = lambda i: F.xxhash64(F.slice(words, i + 1, length))
+    last = F.size(words) - length
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -73,10 +81,14 @@ def _weight(a: str, b: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``_item, _l, _iw, _ish``: word count, word and shingle hashes; items under five words (or null) take no part."""
-    words = benchmark.select(F.col(key).alias("_item"), word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("_iw"))
-    items = words.select("_item", F.size("_iw").alias("_l"), "_iw", shingles("_iw").alias("_ish"))
-    return stored(items.filter(F.col("_l") >= SHINGLE).distinct())
+    """``_item, _iid, _l, _iw, _ish``: a name made of id and words, the id, word count, word and shingle hashes.
+
+    Items under five words are one short shingle; those without words take no part.
+    """
+    words = benchmark.select(F.col(key).alias("_iid"), word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("_iw"))
+    name = F.xxhash64(F.coalesce(F.col("_iid").cast("string"), F.lit("")), F.col("_iid").isNull(), "_iw").alias("_item")
+    items = words.select(name, "_iid", F.size("_iw").alias("_l"), "_iw", shingles("_iw").alias("_ish"))
+    return stored(items.filter(F.col("_l") > 0).distinct())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
@@ -84,7 +96,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     """``_key, doc id, item id, first_word, similarity``: the best window of each document and item that leaks.
 
     ``_key`` is (id as text, hash of the text). A document shorter than an item is one window. Null texts have no words.
-    Ties go to the first window. Rows that repeat id and text give one row, items that repeat id and text too.
+    Ties go to the first window. Rows that repeat id and text give one row, items that repeat id and text too. A null item
+    id is an id like any other. An item under five words leaks where its words stand in a row.
     """
     prepare(docs.sparkSession)
     items = benchmark_items(benchmark, item_key, item_text)
@@ -93,17 +106,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
                         F.struct(F.col(key).cast("string").alias("id"), F.xxhash64(body).alias("h")).alias("_key"))
     grams = stored(items.select("_item", "_l", F.explode(F.array_distinct("_ish")).alias("_gram")))
     hashed = keyed.select("_key", word_hashes(F.col("_text")).alias("_w"))
-    opened = (hashed.select("_key", F.explode(shingles("_w")).alias("_gram"))
+    # One to four words at most: as many more passes over the words as there are such lengths among the items.
+    lengths = [r["_l"] for r in items.filter(F.col("_l") < SHINGLE).select("_l").distinct().collect()]
+    spots = lambda words: F.concat(*[F.transform(_runs(words, k), lambda h, i: F.struct(i.alias("p"), h.alias("gram")))
+                                     for k in (SHINGLE, *sorted(lengths))])
+    opened = (hashed.select("_key", F.explode(spots("_w")["gram"]).alias("_gram"))
               .join(grams.select("_gram").distinct(), "_gram", "left_semi").select("_key").distinct())
     opened = stored(opened)
     held = stored(keyed.join(opened.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
                   .dropDuplicates(["_key"]).select("_key", "_id", word_hashes(F.col("_text")).alias("_w")))
     last = F.greatest(F.size("_w") - F.col("_l"), F.lit(0))
-    seeds = (held.select("_key", F.size("_w").alias("_n"), F.posexplode(shingles("_w")).alias("_p", "_gram"))
+    seeds = (held.select("_key", F.explode(spots("_w")).alias("_spot")).select("_key", F.col("_spot.p").alias("_p"), F.col("_spot.gram").alias("_gram"))
              .join(grams, "_gram").select("_key", "_l", "_p").distinct())
     starts = (seeds.join(held.withColumnRenamed("_key", "_k").select("_k", "_w"), F.col("_key").eqNullSafe(F.col("_k")))
               .select("_key", "_l", F.explode(F.sequence(
-                  F.greatest(F.col("_p") - F.col("_l") + SHINGLE, F.lit(0)),
+                  F.greatest(F.col("_p") - F.col("_l") + F.least(F.col("_l"), F.lit(SHINGLE)), F.lit(0)),
                   F.greatest(F.least(F.col("_p"), last), F.lit(0)))).alias("_s")).distinct())
     windows = (starts.join(held.withColumnRenamed("_key", "_k").select("_k", "_w"), F.col("_key").eqNullSafe(F.col("_k")))
                .select("_key", "_l", "_s", F.slice("_w", F.col("_s") + 1, F.col("_l")).alias("_ws")))
@@ -126,12 +143,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     found = sided.withColumn("_sim", _weight("_wsh", "_ish")).filter(F.col("_sim") >= similarity)
     best = found.groupBy("_key", "_item").agg(
         F.max(F.struct(F.col("_sim"), (-F.col("_s")).alias("_s"), F.col("_id"))).alias("_b"))
-    return best.select("_key", F.col("_b._id").alias(key), F.col("_item").alias(item_key),
-                       (-F.col("_b._s")).cast("bigint").alias("first_word"), F.col("_b._sim").alias("similarity"))
+    return best.join(items.select("_item", "_iid"), "_item").select(
+        "_key", F.col("_b._id").alias(key), F.col("_iid").alias(item_key),
+        (-F.col("_b._s")).cast("bigint").alias("first_word"), F.col("_b._sim").alias("similarity"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents without those that hold a benchmark item."""
-    leaks = find_leaks(docs, benchmark, text, key, **options).select("_key").distinct()
+    found = find_leaks(docs, benchmark, text, key, **options)
+    name = fresh(docs.columns, "_key")
     mark = F.struct(docs[key].cast("string").alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"))
-    return docs.join(stored(leaks), mark.eqNullSafe(F.col("_key")), "left_anti")
+    leaks = stored(found.select(F.col("_key").alias(name)).distinct())
+    return docs.join(leaks, mark.eqNullSafe(leaks[name]), "left_anti")

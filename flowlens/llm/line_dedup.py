@@ -17,6 +17,8 @@ from flowlens.llm.common import fresh, stored
 RATIO = 0.02
 MIN_PAGES = 5
 
+_BLANK = " \t\n\x0b\x0c\r"
+
 
 def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
@@ -27,10 +29,15 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
+def _blank(line: Column) -> Column:
+    """Nothing but ASCII white space."""
+    return F.btrim(line, F.lit(_BLANK)) == ""
+
+
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """``_host, _marks``: marks of the lines that stand on at least ``min_pages`` pages and over ``ratio`` of them all."""
-    lines = F.filter(_lines(text), lambda x: F.trim(x) != "")
+    lines = F.filter(_lines(text), lambda x: ~_blank(x))
     pages = docs.select(F.col(host).cast("string").alias("_host"),
                         F.array_distinct(F.transform(lines, _mark)).alias("_marks"))
     totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
@@ -45,18 +52,20 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source",
                      min_pages: int = MIN_PAGES) -> DataFrame:
     """The documents with boilerplate lines gone from ``text``, and counts ``n_lines``, ``n_dropped``.
 
-    Every row counts as a page, repeated rows too. Lines are compared byte by byte. Blank lines are never boilerplate.
+    Every row counts as a page, repeated rows too. Lines are compared byte by byte. Blank lines (ASCII white space only) are never boilerplate.
     Null text stays null with 0 lines; the empty text has one (blank) line. Null hosts are one host. A count column whose
     name the table already has gets a trailing underscore. An empty table gives an empty result.
     """
     marks = stored(boilerplate(docs, text, host, ratio, min_pages))
-    known = marks.select(F.col("_host").alias("_bh"), F.col("_marks").alias("_bm"))
-    joined = docs.join(known, docs[host].cast("string").eqNullSafe(known["_bh"]), "left")
-    kept = F.when(F.col("_bm").isNull(), _lines(text)).otherwise(
-        F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bm"), _mark(x))))
+    # The table's own columns may have any name, so what is added takes names that are free.
+    at, bad, left = (fresh(docs.columns, name) for name in ("_bh", "_bm", "_kept"))
+    known = marks.select(F.col("_host").alias(at), F.col("_marks").alias(bad))
+    joined = docs.join(known, docs[host].cast("string").eqNullSafe(known[at]), "left")
+    kept = F.when(F.col(bad).isNull(), _lines(text)).otherwise(
+        F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains(F.col(bad), _mark(x))))
     before = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("bigint")
-    after = F.coalesce(F.size("_kept"), F.lit(0)).cast("bigint")
+    after = F.coalesce(F.size(left), F.lit(0)).cast("bigint")
     n_lines, n_dropped = fresh(docs.columns, "n_lines"), fresh(docs.columns, "n_dropped")
-    return joined.withColumn("_kept", kept).select(
-        *[F.array_join("_kept", "\n").alias(text) if c == text else docs[c] for c in docs.columns],
+    return joined.withColumn(left, kept).select(
+        *[F.array_join(left, "\n").alias(text) if c == text else docs[c] for c in docs.columns],
         before.alias(n_lines), (before - after).alias(n_dropped))

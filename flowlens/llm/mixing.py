@@ -4,14 +4,14 @@ The sizes of all documents are summed per source (partial sums before the shuffl
 task). Targets are the capped proportional shares: ``target = min(cap * size, level * weight)`` with the one level at
 which the targets add up to the total. The level is found among the sources ordered by ``size / weight`` with
 two-level running sums, so the number of sources is unbounded too. Every document is then taken ``floor(rate)`` times
-plus one more time where a draw, seeded by its id and equal on every run, falls under the fraction of the rate.
+plus one more time where a draw, seeded by its id and text and equal on every run, falls under the fraction of the rate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, fresh, md5_unit, stored
@@ -59,22 +59,23 @@ def source_rates(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int =
     return stored(targets.select(F.col("_source").alias("_named"), "_total", "_target", rate.alias("_rate")))
 
 
-def _copies(key: str, seed: str):
-    """Whole copies, and one more where the draw of the id falls under the fraction."""
-    return F.floor("_rate") + (md5_unit(F.lit(seed), key) < F.col("_rate") - F.floor("_rate")).cast("bigint")
+def _copies(rate: str, key: str, digest: Column, seed: str) -> Column:
+    """Whole copies, and one more where the draw of the id and the text falls under the fraction."""
+    return F.floor(rate) + (md5_unit(F.lit(seed), key, digest) < F.col(rate) - F.floor(rate)).cast("bigint")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
         weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per input document: ``key, size, source_size, target, rate, copies, taken``.
 
-    Null or empty text has size 0 and takes nothing; documents of a null source form one source; rows that repeat an id
-    share its draw; a null id is a seed like any other. An empty table gives an empty result.
+    Null or empty text has size 0 and takes nothing; documents of a null source form one source; the draw is
+    seeded by id and text, so documents without an id draw by their texts, and rows that repeat both share it. An empty table gives an empty result.
     """
     sized = cut(docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"),
-                            _size(text).alias("_size")))
+                            _size(text).alias("_size"), F.md5(text).alias("_digest")))
     rates = source_rates(sized, weights, cap)
-    joined = sized.join(rates, F.col("_source").eqNullSafe(F.col("_named"))).withColumn("_copies", _copies("_key", seed))
+    joined = (sized.join(rates, F.col("_source").eqNullSafe(F.col("_named")))
+              .withColumn("_copies", _copies("_rate", "_key", F.col("_digest"), seed)))
     return joined.select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
                          F.col("_target").alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"),
                          (F.col("_size") * F.col("_copies")).alias("taken"))
@@ -88,7 +89,11 @@ def copies_of(docs: DataFrame, text: str = "text", source: str = "source", key:
     one already.
     """
     rates = source_rates(docs.select(F.col(source).cast("string").alias("_source"), _size(text).alias("_size")), weights, cap)
-    joined = docs.join(rates, docs[source].cast("string").eqNullSafe(rates["_named"])).withColumn("_copies", _copies(key, seed))
-    return joined.filter("_copies > 0").select(
+    # The documents' columns may have any name, so what is added takes names that are free.
+    named, rate, times = (fresh(docs.columns, name) for name in ("_named", "_rate", "_copies"))
+    rates = rates.select(F.col("_named").alias(named), F.col("_rate").alias(rate))
+    joined = (docs.join(rates, docs[source].cast("string").eqNullSafe(rates[named]))
+              .withColumn(times, _copies(rate, key, F.md5(text), seed)))
+    return joined.filter(F.col(times) > 0).select(
         *[docs[c] for c in docs.columns],
-        F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))).alias(fresh(docs.columns, "copy")))
+        F.explode(F.sequence(F.lit(0), (F.col(times) - 1).cast("int"))).alias(fresh(docs.columns, "copy")))

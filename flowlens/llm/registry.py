@@ -26,7 +26,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 @query("op2_source_mix", r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+  select doc_id, source, md5(text) as digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
 totals as (select source, sum(size)::bigint as total from sized group by source),
 weighed as (
   select source, total,
@@ -42,12 +42,12 @@ levels as (
 level as (select arg_min(level, row(total / weight, place)) as level from levels where 3 * (total / weight) >= level),
 targets as (select source, total, least(total * 3.0::double, level.level * weight) as target from weighed, level),
 rates as (
-  select s.doc_id, s.size, t.total, t.target,
+  select s.doc_id, s.digest, s.size, t.total, t.target,
          case when t.total > 0 then least(t.target / t.total, 3.0::double) else 0.0::double end as rate
   from sized s join targets t on s.source is not distinct from t.source),
 copies as (
   select *, floor(rate)::bigint + (case when
-      ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double
+      ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, 'null') || '|' || coalesce(digest, 'null')), 1, 13))::bigint / 4503599627370496.0::double
       < rate - floor(rate) then 1 else 0 end) as copies
   from rates)
 select doc_id, size::bigint as size, total as source_size, round(target, 6) as target, (size * copies)::bigint as taken
@@ -66,7 +66,7 @@ with lines as (
 pages as (select source, count(*) as pages from documents group by source),
 bad as (
   select l.source, l.line from lines l join pages p on l.source is not distinct from p.source
-  where trim(l.line) <> '' group by l.source, l.line, p.pages
+  where trim(l.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' group by l.source, l.line, p.pages
   having count(distinct l.r) >= 5 and count(distinct l.r) > 0.02::double * p.pages),
 kept as (
   select l.r, count(*) as n, count(b.line) as dropped,
@@ -148,36 +148,36 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_decontamination", r"""
 with docs as (
-  select distinct doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+  select row_number() over () as r, * from (
+    select distinct doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents)),
 items as (
-  select distinct item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as iw
-  from benchmark),
-grams as (
-  select distinct item_id, len(iw) as l, array_to_string(iw[i + 1 : i + 5], ' ') as gram
-  from (select *, unnest(range(len(iw) - 4)) as i from items where len(iw) >= 5)),
+  select row_number() over () as k, * from (
+    select distinct item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') as iw from benchmark)
+  where len(iw) > 0),
+gram_items as (
+  select k, len(iw) as l, least(5, len(iw)) as g, array_to_string(iw[i + 1 : i + least(5, len(iw))], ' ') as gram
+  from (select *, unnest(range(len(iw) - least(5, len(iw)) + 1)) as i from items)),
 spots as (
-  select doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') as gram
-  from (select *, unnest(range(len(w) - 4)) as p from docs where len(w) >= 5)),
-seeds as (select distinct doc_id, item_id, l, p from spots join grams using (gram)),
+  select r, p, g, array_to_string(w[p + 1 : p + g], ' ') as gram
+  from (select *, unnest(range(len(w) - g + 1)) as p from docs, (select distinct g from gram_items) where len(w) >= g)),
+seeds as (select distinct r, k, l, g, p from spots join gram_items using (gram, g)),
 starts as (
-  select distinct s.doc_id, item_id, l, unnest(range(greatest(p - l + 5, 0), greatest(least(p, len(w) - l), 0) + 1)) as s
-  from seeds s join docs using (doc_id)),
+  select distinct s.r, w, k, l, unnest(range(greatest(p - l + g, 0), greatest(least(p, len(w) - l), 0) + 1)) as s
+  from seeds s join docs using (r)),
+cut as (select r, k, s, w[s + 1 : s + l] as v from starts),
 bags as (
-  select doc_id, item_id, s, array_to_string(w[s + i + 1 : s + i + 5], ' ') as gram, count(*) as n
-  from (select *, unnest(range(least(l, len(w)) - 4)) as i from starts join docs using (doc_id)) group by all),
-item_bags as (
-  select item_id, array_to_string(iw[i + 1 : i + 5], ' ') as gram, count(*) as n
-  from (select *, unnest(range(len(iw) - 4)) as i from items where len(iw) >= 5) group by all),
-sizes as (select doc_id, item_id, s, sum(n) as n from bags group by all),
-item_sizes as (select item_id, sum(n) as n from item_bags group by all),
+  select r, k, s, array_to_string(v[i + 1 : i + least(5, len(v))], ' ') as gram, count(*) as n
+  from (select *, unnest(range(len(v) - least(5, len(v)) + 1)) as i from cut) group by all),
+item_bags as (select k, gram, count(*) as n from gram_items group by all),
+sizes as (select r, k, s, sum(n) as n from bags group by all),
+item_sizes as (select k, sum(n) as n from item_bags group by all),
 common as (
-  select b.doc_id, b.item_id, b.s, sum(least(b.n, i.n)) as c
-  from bags b join item_bags i on b.item_id = i.item_id and b.gram = i.gram group by all),
+  select b.r, b.k, b.s, sum(least(b.n, i.n)) as c from bags b join item_bags i on b.k = i.k and b.gram = i.gram group by all),
 sims as (
-  select c.doc_id, c.item_id, c.s, c.c::double / (z.n + i.n - c.c)::double as sim
-  from common c join sizes z using (doc_id, item_id, s) join item_sizes i on c.item_id = i.item_id)
+  select d.doc_id, t.item_id, c.r, c.k, c.s, c.c::double / (z.n + i.n - c.c)::double as sim
+  from common c join sizes z using (r, k, s) join item_sizes i on c.k = i.k join docs d on c.r = d.r join items t on c.k = t.k)
 select doc_id, item_id, arg_min(s, row(-sim, s))::bigint as first_word, max(sim) as similarity
-from sims where sim >= 0.8 group by doc_id, item_id""")
+from sims where sim >= 0.8 group by r, k, doc_id, item_id""")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "first_word", "similarity")

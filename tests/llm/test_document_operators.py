@@ -495,3 +495,44 @@ def test_leaks_equal_all_windows(spark):
                 if sim >= 0.8:
                     want[i, item] = max(sim, want.get((i, item), 0))
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+TAKEN = ("_kept", "_bm", "_bh", "_named", "_rate", "_copies", "_gone", "_key", "_row", "_doc", "_stays", "_id", "_text", "_source", "_size",
+         "_digest", "_hub", "_rep", "_class", "_n", "_item", "_h", "_w", "_k")
+
+
+def test_internal_names_are_no_reserved_words(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", None]
+    docs = docs_of(spark, [(i, t, "en", "s", 3, *["v"] * len(TAKEN)) for i, t in enumerate(texts)], "".join(f", {n} string" for n in TAKEN))
+    benchmark = spark.createDataFrame([(0, "seven eight nine ten eleven twelve", "x", "y")], "item_id long, text string, _item string, _iw string")
+    rows = {name: df.collect() for name, df in (
+        ("lines", line_dedup.drop_boilerplate(docs)), ("copies", mixing.copies_of(docs)), ("mix", mixing.mix(docs)),
+        ("first", dartminhash.keep_first(docs)), ("near", dartminhash.near_duplicates(docs)), ("clean", decontam.drop_leaks(docs, benchmark)))}
+    assert [len(rows[n]) for n in ("lines", "copies", "mix", "first", "near", "clean")] == [3, 3, 3, 3, 3, 2]
+    for name in ("lines", "first", "clean"):
+        assert all(r[c] == "v" for r in rows[name] for c in TAKEN)
+
+
+def test_items_without_id_and_short_items_are_found(spark):
+    docs = docs_of(spark, [(1, "say: alpha beta gamma delta epsilon zeta eta", "en", "s", 1), (2, "nothing to see here at all", "en", "s", 1),
+                           (3, "before tiny phrase after it all", "en", "s", 1), (4, "tiny phrase", "en", "s", 1), (5, "phrase tiny", "en", "s", 1)])
+    benchmark = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta eta"), (7, "tiny phrase"), (8, "tiny phrase"), (9, ""), (None, None)],
+                                      "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["similarity"]) for r in decontam.find_leaks(docs, benchmark).collect()}
+    assert got == {(1, None, 1, 1.0), *((d, i, p, 1.0) for d, p in ((3, 1), (4, 0)) for i in (7, 8))}
+    assert sorted(r["doc_id"] for r in decontam.drop_leaks(docs, benchmark).collect()) == [2, 5]
+
+
+def test_blank_lines_stay(spark):
+    rows = [(i, f"own {i}\n\t\nmenu\n\r\n ", "en", "x", 1) for i in range(40)]
+    got = line_dedup.drop_boilerplate(docs_of(spark, rows)).collect()
+    assert all(r["text"] == f"own {r['doc_id']}\n\t\n\r\n " and r["n_dropped"] == 1 for r in got)
+
+
+def test_documents_without_id_draw_by_their_texts(spark):
+    rows = [(None, f"{'w ' * 9}t{i}", "en", f"s{i % 3}", 1) for i in range(1500)]
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for r in mixing.mix(docs_of(spark, rows)).collect():
+        by[r["target"]][0] += r["taken"]
+        by[r["target"]][1] = r["target"]
+    assert len(by) == 3 and all(abs(taken - target) < 0.12 * 5000 for taken, target in by.values())
