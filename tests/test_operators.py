@@ -241,3 +241,26 @@ def test_contract_rules(spark):
     timed = sessions.withColumn("started_at", F.to_timestamp("started_at")).withColumn("ended_at", F.to_timestamp("ended_at"))
     event = contract.check_events(fields.sessions_to_events(timed)).first()
     assert event.duration_ms == 2500 and event.honeypot_detail.session_duration_ms == 2500 and event.reject_reason is None
+
+
+def test_exact_ks_tail_counts_all_orders(spark):
+    from itertools import combinations
+    from math import comb
+
+    from flowlens.operators.drift import exact_ks_tail
+
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 4)):
+        gaps = []
+        for own in combinations(range(n + m), n):
+            i = j = worst = 0
+            for place in range(n + m):
+                i, j = (i + 1, j) if place in own else (i, j + 1)
+                worst = max(worst, abs(i * m - j * n))
+            gaps.append(worst)
+        for gap in range(n * m + 2):
+            assert exact_ks_tail(n, m, gap) == pytest.approx(sum(g >= gap for g in gaps) / comb(n + m, n), abs=1e-12)
+    # Where samples are large the count and the series agree.
+    assert abs(exact_ks_tail(3000, 2500, round(0.035 * 3000 * 2500)) - 0.0695) < 0.004
+    rows = lambda values: spark.createDataFrame([("f", float(v)) for v in values], "feature string, value double")
+    got = drift.ks(rows([1, 2, 3, 4, 5]), rows([3.5, 6, 7])).first()
+    assert got.ks == pytest.approx(2 / 3 + 0.0, abs=0.14) and got.p_value == pytest.approx(exact_ks_tail(5, 3, round(got.ks * 15)))
