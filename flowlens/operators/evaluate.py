@@ -174,6 +174,21 @@ def prediction_breakdown(rows: DataFrame, truth: str, predicted: str, positive:
         share.alias("positive_share"), F.greatest(share, 1 - share).alias("majority_accuracy"))
 
 
+def fold_abstentions(predicted: Column, into: str, abstention: str = "uncertain") -> Column:
+    """Gray verdicts counted as the class they lean to; how many there were is ``predictions_by_label``'s to say."""
+    return F.when(predicted == abstention, F.lit(into)).otherwise(predicted)
+
+
+def predictions_by_label(rows: DataFrame, truth: str, predicted: str, into: str, abstention: str = "uncertain") -> DataFrame:
+    """Per true label: rows, abstentions and their share, hits before and after abstentions are folded into a class."""
+    p, folded = F.col(predicted), fold_abstentions(F.col(predicted), into, abstention)
+    return rows.groupBy(F.col(truth).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(p == abstention).alias("abstained"),
+        ratio(F.count_if(p == abstention), F.count(F.lit(1))).alias("abstained_share"),
+        F.count_if(p == F.col(truth)).alias("hits"), F.count_if(folded == F.col(truth)).alias("hits_folded"),
+        F.count_if(folded == into).alias("predicted_as_folded"))
+
+
 def latency_report(calls: DataFrame, latency: str, status: str, wall_seconds: float) -> DataFrame:
     """Latency percentiles, throughput and status classes of a request log."""
     points = exact_quantiles(calls, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99})

@@ -138,6 +138,30 @@ def prediction_breakdown(spark, sf):
                    "positive_share", "majority_accuracy")
 
 
+@query("predictions_by_label", f"""with {SCORED}, g as (select *, case when predicted = 'uncertain' then 'port_scan' else predicted end as folded from s)
+select truth as label, count(*) as n, count(*) filter (predicted = 'uncertain') as abstained,
+ round(count(*) filter (predicted = 'uncertain') / count(*), 6) as abstained_share, count(*) filter (predicted = truth) as hits,
+ count(*) filter (folded = truth) as hits_folded, count(*) filter (folded = 'port_scan') as predicted_as_folded from g group by truth""")
+def predictions_by_label(spark, sf):
+    return rounded(evaluate.predictions_by_label(scored(spark, sf), "truth", "predicted", "port_scan"), "abstained_share")
+
+
+FOLDED_LABELS = ("benign", "port_scan", "flood")
+
+
+@query("folded_report", f"""with {SCORED}, g as (select truth, case when predicted = 'uncertain' then 'port_scan' else predicted end as p from s),
+m as (select l.label, count(*) filter (truth = label and p = label) as tp, count(*) filter (truth <> label and p = label) as fp,
+        count(*) filter (truth = label and p <> label) as fn from g, (select unnest({list(FOLDED_LABELS)}) as label) l group by l.label)
+select label, tp + fn as support, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision,
+ round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall,
+ round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1 from m""")
+def folded_report(spark, sf):
+    """Precision, recall and F1 with gray verdicts counted as the class they lean to."""
+    rows = scored(spark, sf).withColumn("folded", evaluate.fold_abstentions(F.col("predicted"), "port_scan"))
+    out = evaluate.class_metrics(rows, "truth", "folded", FOLDED_LABELS).select("label", "support", "precision", "recall", "f1")
+    return rounded(out, "precision", "recall", "f1")
+
+
 @query("latency_report", f"""with {FLOW}, c as (select duration_ms + value as latency,
  case when port % 50 = 0 then 500 when port % 20 = 0 then 404 else 200 end as status from flow)
 select count(*) as requests, round(avg(latency), 6) as mean, round(max(latency), 6) as max,
