@@ -108,16 +108,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     hashed = keyed.select("_key", word_hashes(F.col("_text")).alias("_w"))
     # One to four words at most: as many more passes over the words as there are such lengths among the items.
     lengths = [r["_l"] for r in items.filter(F.col("_l") < SHINGLE).select("_l").distinct().collect()]
-    spots = lambda words: F.concat(*[F.transform(_runs(words, k), lambda h, i: F.struct(i.alias("p"), h.alias("gram")))
-                                     for k in (SHINGLE, *sorted(lengths))])
-    opened = (hashed.select("_key", F.explode(spots("_w")["gram"]).alias("_gram"))
+    def grams_of(words: str) -> list[Column]:
+        return [_runs(words, k) for k in (SHINGLE, *sorted(lengths))]
+
+    every = grams_of("_w")
+    opened = (hashed.select("_key", F.explode(F.concat(*every) if lengths else every[0]).alias("_gram"))
               .join(grams.select("_gram").distinct(), "_gram", "left_semi").select("_key").distinct())
     opened = stored(opened)
     held = stored(keyed.join(opened.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
                   .dropDuplicates(["_key"]).select("_key", "_id", word_hashes(F.col("_text")).alias("_w")))
     last = F.greatest(F.size("_w") - F.col("_l"), F.lit(0))
-    seeds = (held.select("_key", F.explode(spots("_w")).alias("_spot")).select("_key", F.col("_spot.p").alias("_p"), F.col("_spot.gram").alias("_gram"))
-             .join(grams, "_gram").select("_key", "_l", "_p").distinct())
+    spots = held.select("_key", F.posexplode(every[0]).alias("_p", "_gram"))
+    for short in every[1:]:
+        spots = spots.union(held.select("_key", F.posexplode(short).alias("_p", "_gram")))
+    seeds = spots.join(grams, "_gram").select("_key", "_l", "_p").distinct()
     starts = (seeds.join(held.withColumnRenamed("_key", "_k").select("_k", "_w"), F.col("_key").eqNullSafe(F.col("_k")))
               .select("_key", "_l", F.explode(F.sequence(
                   F.greatest(F.col("_p") - F.col("_l") + F.least(F.col("_l"), F.lit(SHINGLE)), F.lit(0)),
