@@ -23,7 +23,7 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-PARTS = 4
+PARTS = 3
 
 
 def staged(spark: SparkSession, sf: str, parts: int = PARTS) -> str:
