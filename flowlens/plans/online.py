@@ -51,6 +51,15 @@ def staged(spark: SparkSession, sf: str, parts: int = PARTS) -> str:
     return folder
 
 
+#: Events of a micro-batch whose keys are few and each take a large part of it.
+BATCH_ROWS = 1_000_000
+
+
+def batches(spark: SparkSession, sf: str) -> int:
+    """Micro-batches of at most about ``BATCH_ROWS`` events, so that what a task holds of a stream does not grow with the input."""
+    return max(PARTS, -(-table(spark, sf, "events").count() // BATCH_ROWS))
+
+
 def event_stream(spark: SparkSession, sf: str, parts: int = PARTS) -> DataFrame:
     raw = file_events(spark, staged(spark, sf, parts), table(spark, sf, "events").schema, glob="part-*", files_per_batch=1)
     return raw.select(
@@ -84,7 +93,7 @@ def stream_trailing_features(spark, sf):
 
 @query("stream_anchored_windows", ANCHORED.format(width=6 * HOUR) + "select stream, window_start, count(*) as n_events from win group by all")
 def stream_anchored_windows(spark, sf):
-    events = event_stream(spark, sf).withColumn("src", F.col("src").cast("string")).na.fill("end", ["src", "dst"]).na.fill(0, ["bytes", "duration_ms"])
+    events = event_stream(spark, sf, batches(spark, sf)).withColumn("src", F.col("src").cast("string")).na.fill("end", ["src", "dst"]).na.fill(0, ["bytes", "duration_ms"])
     out = drained(lanes.stream_windows(events, 6 * HOUR, delay="0 seconds"))
     return out.filter(~F.col("late") & F.col("stream").isNotNull()).groupBy(F.col("stream").cast("bigint").alias("stream"), "window_start").agg(
         F.sum("flows").alias("n_events"))

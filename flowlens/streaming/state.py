@@ -167,7 +167,13 @@ class TrailingFeatures(StatefulProcessor):
 
 
 class AnchoredWindows(StatefulProcessor):
-    """Anchored windows per stream. State: the open window's start and its counts per host pair and port."""
+    """Anchored windows per stream. State: the open window's start and its counts per host pair and port.
+
+    Of a batch only numbers are held, names as codes; closed windows leave as soon as they fill a frame.
+    """
+
+    #: Rows of a frame that goes out.
+    FRAME = 10_000
 
     def __init__(self, width_us: int, grace_us: int = 0) -> None:
         self.width_us = width_us
@@ -181,32 +187,52 @@ class AnchoredWindows(StatefulProcessor):
     def rows_of(self, key, start, end, closed, late, counts):
         return [(key[0], start, end, closed, late, s, d, None if p == -1 else p, *v) for (s, d, p), v in counts.items()]
 
+    def arrays(self, frames: Iterator[pd.DataFrame]) -> tuple[list[np.ndarray], list]:
+        """Time, source, target, port (-1: none), bytes and duration in order of time and arrival, and the names behind the codes."""
+        names, pieces = {}, []
+        for frame in frames:
+            coded = [np.array([names.setdefault(n, len(names)) for n in frame[c]], dtype=np.int32) for c in ("src", "dst")]
+            port = frame["port"].astype("Float64").fillna(-1).to_numpy(dtype=np.int32)
+            numbers = [values.to_numpy(dtype=np.int64) for values in (
+                frame["ts_us"], frame["seq"].fillna(0), frame["bytes"], frame["duration_ms"])]
+            pieces.append((numbers[0], numbers[1], *coded, port, *numbers[2:]))
+        columns = [np.concatenate(c) for c in zip(*pieces)]
+        pieces.clear()
+        order = np.lexsort((columns[1], columns[0]))
+        return [c[order] for i, c in enumerate(columns) if i != 1], list(names)
+
+    def made(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names(WINDOW_ROWS)).astype({"port": "Int32", "window_start": "Int64", "window_end": "Int64"})
+
     def handleInputRows(self, key, rows, timerValues):
         bar = own_watermark_us(timerValues)
         start = opened = self.start.get()[0] if self.start.exists() else None
         counts = {tuple(k): list(v) for k, v in self.counts.iterator()} if start is not None else {}
         out, late, touched = [], {}, set()
-        frame = ordered(rows, "ts_us", "seq")
-        for ts, src, dst, port, size, duration in zip(*[frame[c] for c in ("ts_us", "src", "dst", "port", "bytes", "duration_ms")]):
-            ts, port = int(ts), opt_int(port)
-            group = (src, dst, -1 if port is None else port)
-            if (bar is not None and ts < bar) or (start is not None and ts < start):
-                into = late  # its window is closed; reported, never mixed into the open one
-            else:
-                if start is None or ts - start >= self.width_us:
-                    if start is not None:
-                        out += self.rows_of(key, start, ts, True, False, counts)
-                    start, counts, touched = ts, {}, set()
-                into = counts
-                touched.add(group)
-            cell = into.setdefault(group, [0, 0, 0])
-            cell[0] += 1
-            cell[1] += int(size)
-            cell[2] += int(duration)
+        columns, known = self.arrays(rows)
+        for low in range(0, len(columns[0]), self.FRAME):
+            for ts, src, dst, port, size, duration in zip(*[c[low:low + self.FRAME].tolist() for c in columns]):
+                group = (known[src], known[dst], port)
+                if (bar is not None and ts < bar) or (start is not None and ts < start):
+                    into = late  # its window is closed; reported, never mixed into the open one
+                else:
+                    if start is None or ts - start >= self.width_us:
+                        if start is not None:
+                            out += self.rows_of(key, start, ts, True, False, counts)
+                        start, counts, touched = ts, {}, set()
+                    into = counts
+                    touched.add(group)
+                cell = into.setdefault(group, [0, 0, 0])
+                cell[0] += 1
+                cell[1] += size
+                cell[2] += duration
+            if len(out) >= self.FRAME:
+                yield self.made(out)
+                out = []
         out += self.rows_of(key, None, None, True, True, late)
         if touched:
             self.save(start, opened, counts, touched)
-        yield pd.DataFrame(out, columns=names(WINDOW_ROWS)).astype({"port": "Int32", "window_start": "Int64", "window_end": "Int64"})
+        yield self.made(out)
 
     def save(self, start, opened, counts, touched):
         """Writes the cells that the batch has changed; a new window drops those of the one before."""

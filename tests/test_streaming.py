@@ -318,3 +318,23 @@ def test_windows_share_a_key_and_keep_a_row_of_state_each():
         got += [v for f in gate.handleInputRows(("s", 3), iter([mixed]), clock()) for v in f["already_resolved"]]
     assert got == want
     assert store.data["held"] == (len(done),) == (len(store.data["first"]),)
+
+
+def test_closed_windows_leave_in_frames_of_bounded_size():
+    rows = [(i, 1_700_000_000 * S + i * 10_000, "p", f"h{i % 7}", "xyz"[i % 3], [80, None][i % 2], 5, 1) for i in range(60_000)]
+    store, lane = Kept(), state.AnchoredWindows(S)
+    lane.init(store)
+    mixed = frame_of(rows).sample(frac=1, random_state=2)
+    got = list(lane.handleInputRows(("p",), iter([mixed.iloc[:25_000], mixed.iloc[25_000:]]), clock()))
+    assert len(got) > 1 and max(len(f) for f in got) <= 2 * lane.FRAME
+    made = pd.concat(got)
+    assert made["flows"].sum() == 60_000 - 100 and made.groupby("window_start")["flows"].sum().eq(100).all()
+    assert made["port"].isna().sum() > 0 and set(made["port"].dropna()) == {80}
+
+
+def test_micro_batches_grow_with_the_events(spark, monkeypatch):
+    from flowlens.plans import online
+
+    assert online.batches(spark, "/root/testdata/sf0.001") == online.PARTS
+    monkeypatch.setattr(online, "BATCH_ROWS", 100)
+    assert online.batches(spark, "/root/testdata/sf0.001") == -(-spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() // 100)
