@@ -94,23 +94,30 @@ def score_windows(edges: DataFrame, nodes: DataFrame, window: Sequence[str], wei
         side = lambda end, tag, cols: projected.select(
             *window, F.col("node").alias(end), *[F.col(c).alias(f"{tag}{c}") for c in cols])
         term = F.col("terms")[layer]
-        forward = links.join(side("src", "s", ["_v", "_send", "_receive"]), [*window, "src"]).join(
-            side("dst", "d", ["_v", "_send", "_receive"]), [*window, "dst"])
-        ahead, back = _leaky(F.col("s_send") + F.col("d_receive") + term), _leaky(F.col("d_send") + F.col("s_receive") + term)
-        both = F.array(
-            F.struct(F.col("dst").alias("node"), F.col("s_v").alias("_v"), ahead.alias("score")),
-            F.struct(F.col("src").alias("node"), F.col("d_v").alias("_v"), back.alias("score")))
-        messages = forward.select(*window, F.explode(both).alias("_m")).select(*window, "_m.*")
-        peaks = messages.groupBy(*window).agg(F.max("score").alias("peak"))
-        raised = messages.join(peaks, window).withColumn("e", F.exp(F.col("score") - F.col("peak")))
-        sums = raised.groupBy(*window, "node").agg(
-            F.sum("e").alias("total"), F.array(*[F.sum(F.col("e") * F.col("_v")[k]) for k in range(size)]).alias("mixed"))
+        # The scores alone meet their peaks; the vectors are joined to the weights, and summed before they are shuffled.
+        ends = links.join(side("src", "s", ["_send", "_receive"]), [*window, "src"]).join(
+            side("dst", "d", ["_send", "_receive"]), [*window, "dst"])
+        scored = cut_lineage(ends.select(
+            *links.columns, _leaky(F.col("s_send") + F.col("d_receive") + term).alias("ahead"),
+            _leaky(F.col("d_send") + F.col("s_receive") + term).alias("back")))
+        peaks = scored.groupBy(*window).agg(F.max(F.greatest("ahead", "back")).alias("peak"))
+        weighed = cut_lineage(scored.select(*window, "src", "dst", "ahead", "back").join(peaks, window).select(
+            *window, "src", "dst", F.exp(F.col("ahead") - F.col("peak")).alias("ahead"), F.exp(F.col("back") - F.col("peak")).alias("back")))
+
+        def mixed_from(sender: str, receiver: str, weight: str) -> DataFrame:
+            sent = weighed.select(*window, sender, F.col(receiver).alias("node"), F.col(weight).alias("e")).join(
+                side(sender, "o", ["_v"]), [*window, sender])
+            return sent.groupBy(*window, "node").agg(
+                F.sum("e").alias("total"), *[F.sum(F.col("e") * F.col("o_v")[k]).alias(f"m{k}") for k in range(size)])
+
+        sums = mixed_from("src", "dst", "ahead").unionByName(mixed_from("dst", "src", "back")).groupBy(*window, "node").agg(
+            F.sum("total").alias("total"), F.array(*[F.sum(f"m{k}") for k in range(size)]).alias("mixed"))
         joined = projected.join(sums, [*window, "node"], "left")
         mixed = F.coalesce("mixed", F.array_repeat(F.lit(0.0), size))
         total = F.coalesce("total", F.lit(0.0)) + F.lit(1e-12)
         state = joined.select(*window, "node", F.zip_with(mixed, "_v", lambda m, v: _leaky(m / total + v)).alias("h"))
-        scored = segment_softmax(forward.withColumn("score", ahead).select(*links.columns, "score"), window, "score", "dst", "share")
-        links = cut_lineage(scored.withColumn("rollout", F.col("rollout") + F.col("share")).select(*links.columns))
+        shares = segment_softmax(scored.select(*links.columns, F.col("ahead").alias("score")), window, "score", "dst", "share")
+        links = cut_lineage(shares.withColumn("rollout", F.col("rollout") + F.col("share")).select(*links.columns))
     size = np.asarray(weights["classifier"]).shape[0]
     pooled = state.groupBy(*window).agg(*[F.avg(F.col("h")[k]).alias(f"g{k}") for k in range(size)])
     logits = [sum((F.col(f"g{k}") * float(np.asarray(weights["classifier"])[k, c]) for k in range(size)), F.lit(0.0))
