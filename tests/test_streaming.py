@@ -1,5 +1,7 @@
+import math
 import random
 import types
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -338,3 +340,49 @@ def test_micro_batches_grow_with_the_events(spark, monkeypatch):
     assert online.batches(spark, "/root/testdata/sf0.001") == online.PARTS
     monkeypatch.setattr(online, "BATCH_ROWS", 100)
     assert online.batches(spark, "/root/testdata/sf0.001") == -(-spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() // 100)
+
+
+def in_the_window(e, seen, window_us):
+    """The features of an event by their definition, from all events of its source."""
+    held = [h for h in seen if h[3] == e[3] and e[1] - window_us <= h[1] and (h[1], h[0]) <= (e[1], e[0])]
+    ports = Counter(h[5] for h in held if h[5] is not None)
+    known, span, n = sum(ports.values()), window_us / S, len(held)
+    return (n, n / span, sum(h[6] for h in held) / span, -sum(c / known * math.log2(c / known) for c in ports.values()),
+            len({h[4] for h in held}), sum(h[7] for h in held) / n, sum(h[4] == e[4] for h in held) / n)
+
+
+@pytest.mark.parametrize("unit", [1, 1 << 53])
+def test_sources_share_a_key_and_have_windows_of_their_own(unit):
+    """One call takes all sources of a slot; rows that come late within the delay still find their whole window."""
+    rng, rows = random.Random(8), []
+    for seq in range(900):
+        at = 1_700_000_000 * S + seq // 3 * 60_000 - rng.choice([0, 0, 1_500_000])
+        rows.append((seq, at, "p", rng.choice([None, *"abcdefghij"]), rng.choice("xyz"), rng.choice([None, 80, 53, 22]), rng.randrange(900) * unit, rng.randrange(40)))
+    store, lane = Kept(), state.TrailingFeatures(2 * S, 2 * S)
+    lane.init(store)
+    got, writes = {}, []
+    for low, high in ((0, 400), (400, 410), (410, 700), (700, 900)):
+        before, mixed = store.written, frame_of(rows[low:high]).sample(frac=1, random_state=1)
+        for f in lane.handleInputRows((3,), iter([mixed.iloc[:7], mixed.iloc[7:]]), clock()):
+            assert not f["late"].any() and (f["event_time"] == pd.to_datetime(f["ts_us"], unit="us")).all()
+            got.update({r.seq: (r.src, tuple(r)[3:10]) for r in f.itertuples(index=False)})
+        writes.append(store.written - before)
+        for e in rows[low:high]:
+            src, features = got[e[0]]
+            assert src == e[3] and features == pytest.approx(in_the_window(e, rows[:high], 2 * S), abs=1e-9)
+    assert len(got) == 900 and max(writes) <= state.TrailingFeatures.SLOTS + 1
+    list(lane.handleExpiredTimer((3,), clock(), None))
+    assert store.data == {}
+
+
+def test_a_feature_stream_has_a_bounded_number_of_keys(spark, feed, tmp_path):
+    rows = [(i, 1_700_000_000 * S + i, "p", f"h{i}", "x", 80, 5, 1) for i in range(1500)]
+    out, seen = lanes.stream_features(feed(rows, EVENT, 1)), []
+
+    def keep(batch, number):
+        seen.append(batch.count())
+    query = lanes.start(out, keep, str(tmp_path / "state"), once=True)
+    query.awaitTermination(300)
+    assert seen[0] == 1500
+    # One row of ring slots, one block and the timer rows of each key.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 1500 * 2
